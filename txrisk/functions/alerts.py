@@ -34,7 +34,9 @@ def present(c):
 
 
 def detected_at():
-    return F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
+    """Processing time in UTC, whatever zone the session runs in."""
+    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+    return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 
 def as_json(*columns):
