@@ -4,18 +4,40 @@ from functools import reduce
 
 from pyspark.sql import Window, functions as F
 
+from txrisk.functions import text
 from txrisk.functions.scoring import percentage
-from txrisk.functions.text import is_missing
 
 
 def raw_profile(raw):
     """One row, one scan: the row count and the missing cells of every column."""
     return raw.agg(
         F.count(F.lit(1)).alias("row_count"),
-        *(F.count_if(is_missing(c)).alias(f"{c}_missing") for c in raw.columns),
+        *(F.count_if(text.is_missing(c)).alias(f"{c}_missing") for c in raw.columns),
     )
 
 
+def id_profile(raw):
+    """One row: surplus copies of ids, and how many ids have at least one valid row.
+
+    The second number is what cleaning must leave, found without running the cleaning itself.
+    """
+    checked = raw.select(
+        "id",
+        (text.timestamp("date").isNotNull() & _usable(text.money("amount"))).alias("valid"),
+    )
+    per_id = checked.where(F.col("id").isNotNull()).groupBy("id").agg(
+        F.count(F.lit(1)).alias("copies"), F.max("valid").alias("valid")
+    )
+    return per_id.agg(
+        F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"),
+        F.count_if("valid").alias("valid_ids"),
+    )
+
+
+def _usable(amount):
+    return amount.isNotNull() & ~F.isnan(amount) & (amount >= 0)
+
+
 def totals(**frames):
     """(name, rows) for each named frame."""
     counts = [

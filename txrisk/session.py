@@ -39,11 +39,12 @@ def scratch_path(spark, name):
     return f"{base.rstrip('/')}/txrisk/{name}-{uuid.uuid4().hex}"
 
 
-def written(df, name):
+def written(df, name, *partition_columns):
     """Write ``df`` to the shared scratch folder and read it back.
 
     Cuts the lineage with a table every executor can reach again after a loss.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    writer = df.write.partitionBy(*partition_columns) if partition_columns else df.write
+    writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
