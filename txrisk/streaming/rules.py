@@ -11,9 +11,11 @@ from txrisk.settings import HIGH_AMOUNT_THRESHOLD, MIN_ANOMALY_SCORE, NEEDS_REVI
 
 
 def parsed(records):
-    """Record text and its fields, parsed once."""
-    fields = records.select("value", alerts.parse_event().alias("event")).select("value", "event.*")
-    return fields.withColumn("number", alerts.number("amount"))
+    """Record text and its fields, parsed once. ``readable`` is false unless it is an object."""
+    events = records.select("value", alerts.parse_event().alias("event"))
+    readable = F.col("event").isNotNull() & F.col("event._corrupt_record").isNull()
+    fields = events.select("value", readable.alias("readable"), "event.*")
+    return fields.withColumn("number", F.when(F.col("readable"), alerts.number("amount")))
 
 
 def high_amounts(events, threshold=HIGH_AMOUNT_THRESHOLD):
@@ -90,7 +92,7 @@ def anomaly_alerts(records, scorer, minimum=MIN_ANOMALY_SCORE, stamp=True):
 def dead_letters(records, need_time=False):
     """Records that cannot be used: no JSON object, or (for scoring) no usable amount or time."""
     events = parsed(records)
-    cause = F.when(F.col("_corrupt_record").isNotNull(), "not a JSON object")
+    cause = F.when(~F.col("readable"), "not a JSON object")
     if need_time:
         cause = cause.when(F.col("number").isNull(), "no finite amount").when(
             text.iso_timestamp("transaction_time").isNull(), "no readable time"
