@@ -12,9 +12,9 @@ ALERT = '"transactionId", "accountId", amount, currency, threshold, status, reas
 
 
 def _records(v):
-    """The events as a stream of JSON text."""
+    """The events as a stream of JSON text. The glob takes a single file as well as a folder."""
     schema = v.table("events").schema
-    return v.records(endpoints.table_source(v.spark, f"{v.folder}/events.parquet", schema))
+    return v.records(endpoints.table_source(v.spark, f"{v.folder}/events.parquet*", schema))
 
 
 def _run(v, stream, name):
