@@ -393,11 +393,11 @@ def _(v):
 
 @query(
     "win_03_recommended_model",
-    """SELECT slug, threshold, round(f1, 6) AS f1, pr_auc FROM chosen JOIN validation_auc USING (slug)
-       ORDER BY pr_auc DESC, f1 DESC, precision DESC, slug LIMIT 1""",
+    """SELECT slug, threshold, round(f1, 6) AS f1, round(v.pr_auc, 6) AS pr_auc
+       FROM chosen JOIN validation_auc v USING (slug) ORDER BY v.pr_auc DESC, f1 DESC, precision DESC, slug LIMIT 1""",
 )
 def _(v):
-    selection = choose_thresholds(v.scored(v.splits["validation"]))
+    selection = choose_thresholds(v.stored_scores(v.splits["validation"]))
     best = metrics.recommend_model(selection).select("slug", "threshold", "f1", "pr_auc")
     return rounded(best, "f1", "pr_auc")
 
@@ -598,7 +598,7 @@ def _(v):
             FROM scored_test JOIN (SELECT slug, threshold FROM chosen) USING (slug) GROUP BY slug, threshold))""",
 )
 def _(v):
-    selection = choose_thresholds(v.scored(v.splits["validation"])).collect()
+    selection = choose_thresholds(v.stored_scores(v.splits["validation"])).collect()
     chosen = {row["slug"]: row["threshold"] for row in selection}
     decided = decide(v.scored(v.splits["test"]), chosen)
     result = metrics.binary_metrics(decided)

@@ -23,13 +23,13 @@ class Fitted:
 
     def training_rows(self, slug):
         balancing = classifiers.model_spec(slug).balancing
+        if balancing == "None":
+            return self.train
         rows = {r["class"]: r for r in sampling.class_weights(self.splits["train"]).collect()}
         if balancing == "Class Weight":
             return sampling.with_class_weight(self.train, rows[0]["weight"], rows[1]["weight"])
-        if balancing == "Undersampling":
-            thinned = sampling.undersample(self.splits["train"], rows[0]["rows"], rows[1]["rows"])
-            return self.preprocessor.transform(thinned)
-        return self.train
+        thinned = sampling.undersample(self.splits["train"], rows[0]["rows"], rows[1]["rows"])
+        return self.preprocessor.transform(thinned)
 
     def fit(self, slug):
         rows = self.training_rows(slug).persist()

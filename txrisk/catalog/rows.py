@@ -302,18 +302,15 @@ def _(v):
 
 @query(
     "set_03_table_differences",
-    """(SELECT slug, threshold, 'left' AS side FROM (
-          (SELECT slug, threshold FROM chosen) EXCEPT ALL (SELECT DISTINCT slug, 0.2::DOUBLE FROM scored)))
+    """SELECT transaction_id, client_id, 'left' AS side FROM (
+         SELECT transaction_id, client_id FROM parsed_tx EXCEPT ALL SELECT transaction_id, client_id FROM clean_tx)
        UNION ALL
-       (SELECT slug, threshold, 'right' AS side FROM (
-          (SELECT DISTINCT slug, 0.2::DOUBLE AS threshold FROM scored) EXCEPT ALL (SELECT slug, threshold FROM chosen)))""",
+       SELECT transaction_id, client_id, 'right' AS side FROM (
+         SELECT transaction_id, client_id FROM clean_tx EXCEPT ALL SELECT transaction_id, client_id FROM parsed_tx)""",
 )
 def _(v):
-    from txrisk.plans.evaluate import choose_thresholds
-
-    chosen = choose_thresholds(v.scored(v.splits["validation"])).select("slug", "threshold")
-    expected = v.scored().select("slug", F.lit(0.2).alias("threshold")).distinct()
-    return audits.differences(chosen, expected)
+    columns = ("transaction_id", "client_id")
+    return audits.differences(v.parsed.select(*columns), v.clean.select(*columns))
 
 
 # --- functions ---------------------------------------------------------------

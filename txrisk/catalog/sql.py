@@ -40,10 +40,10 @@ def counts(label, prediction):
     )
 
 
-def pr_auc(source, score):
+def pr_auc(source, score, digits=6):
     """Exact area under the precision-recall curve per slug, from distinct scores."""
     return f"""
-        SELECT slug, round(coalesce(sum(strip), 0), 6) AS pr_auc FROM (
+        SELECT slug, round(coalesce(sum(strip), 0), {digits}) AS pr_auc FROM (
           SELECT slug, pos / nullif(positives, 0)
                  * (tp / (tp + fp) + coalesce((tp - pos) / nullif(tp - pos + fp - neg, 0), tp / (tp + fp))) / 2 AS strip
           FROM (
@@ -200,7 +200,8 @@ CTES = {
         SELECT * EXCLUDE (place) FROM (
           SELECT *, row_number() OVER (PARTITION BY slug ORDER BY f1 DESC, precision DESC, recall DESC, threshold DESC) AS place
           FROM validation_sweep) WHERE place = 1""",
-    "validation_auc": pr_auc("scored_validation", "fraud_probability"),
+    # Models are ranked by this, so it keeps all digits that engines can agree on.
+    "validation_auc": pr_auc("scored_validation", "fraud_probability", 12),
     "score_buckets": """
         SELECT model AS slug, least(199, floor(fraud_probability * 200)::INTEGER) AS score_bucket,
                count(*) FILTER (actual_class = 1) AS positives,

@@ -77,7 +77,7 @@ def _(v):
 @query("src_06_selection_metadata", "SELECT slug, threshold FROM chosen")
 def _(v):
     base = scratch_path(v.spark, "selection")
-    chosen = choose_thresholds(v.scored(v.splits["validation"])).collect()
+    chosen = choose_thresholds(v.stored_scores(v.splits["validation"])).collect()
     selection = {"thresholds_by_model": {row["slug"]: row["threshold"] for row in chosen}}
     writers.write_report(v.spark, {"selection": selection}, f"{base}/metadata/phase4_summary.json")
     found = readers.read_selection(v.spark, base)["thresholds_by_model"]

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from txrisk.functions.hashing import md5_bucket
 from txrisk.operators import cleaning, features, reports, sampling
+from txrisk.session import written
 
 # Intercept, weight per 100,000 of amount, weight per hour of the day.
 FIXED_MODELS = {
@@ -103,16 +104,15 @@ class Views:
     def raw_labels(self):
         """Untidy labels per order: any rare line makes it Yes; some come twice."""
         per_order = self.line_labels.groupBy("transaction_id").agg(
-            F.max("label").alias("word"),
+            F.bool_or(F.col("label") == "Yes").alias("rare"),
             F.count(F.lit(1)).alias("lines"),
             F.max("l_linenumber").alias("last"),
         )
         return per_order.selectExpr(
             "IF(lines >= 10, NULL, transaction_id) AS transaction_id",
-            """CASE WHEN word = 'No' AND last = 1 THEN 'maybe'
-                    WHEN word = 'Yes' AND lines % 2 = 0 THEN ' yes '
-                    WHEN word = 'No' AND lines % 2 = 0 THEN 'NO'
-                    ELSE word END AS label""",
+            """CASE WHEN rare THEN IF(lines % 2 = 0, ' yes ', 'Yes')
+                    WHEN last = 1 THEN 'maybe'
+                    ELSE IF(lines % 2 = 0, 'NO', 'No') END AS label""",
             "explode(IF(lines >= 6, array(0, 1), array(0))) AS copy",
         ).drop("copy")
 
@@ -154,11 +154,17 @@ class Views:
             F.inline(scores).alias("slug", "fraud_probability"),
         )
 
-    def decided(self, rows=None):
+    def stored_scores(self, rows=None):
+        """The same, written out once for reports that read it more than once."""
+        return written(self.scored(rows), "scores", "slug")
+
+    @staticmethod
+    def at_half(scored):
+        return scored.withColumn("prediction", (F.col("fraud_probability") >= 0.5).cast("int"))
+
+    def decided(self):
         """Fixed scores with the decision at 0.5."""
-        return self.scored(rows).withColumn(
-            "prediction", (F.col("fraud_probability") >= 0.5).cast("int")
-        )
+        return self.at_half(self.scored())
 
     @cached_property
     def predictions(self):
@@ -169,7 +175,7 @@ class Views:
     def metrics_by_model(self):
         from txrisk.plans.evaluate import evaluate_scored
 
-        return evaluate_scored(self.decided())
+        return evaluate_scored(self.at_half(self.stored_scores()))
 
     @staticmethod
     def records(events):

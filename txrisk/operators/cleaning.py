@@ -27,7 +27,9 @@ def parse_transactions(raw):
 
 
 def usable_amount(c="amount"):
-    return F.col(c).isNotNull() & ~F.isnan(c) & (F.col(c) >= 0)
+    """A number that is not negative. Null and NaN both stand in as -1, so it is read once."""
+    number = F.col(c) if isinstance(c, str) else c
+    return F.coalesce(F.nanvl(number, F.lit(-1.0)), F.lit(-1.0)) >= 0
 
 
 def valid_transaction():

@@ -63,7 +63,7 @@ def tree_samples(pool, rows, trees, sample_size, seed, key="transaction_id"):
     """Deals pool rows to trees: about four samples' worth of rows per tree.
 
     A pool large enough gives every row to few trees; a tiny one gives all rows to all trees.
-    The dealt table has at most about ``4 * trees * sample_size`` rows whatever the input.
+    The dealt table has at most ``4 * trees * sample_size + rows`` rows, and the pool is bounded.
     """
     draws = math.ceil(4 * trees * sample_size / max(rows, 1))
     if draws >= trees:

@@ -8,6 +8,7 @@ from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window, functions as F
 
 from txrisk.functions.scoring import ratio
+from txrisk.session import written
 from txrisk.settings import THRESHOLDS
 
 COUNTS = ("tp", "tn", "fp", "fn")
@@ -78,27 +79,29 @@ def threshold_sweep(df, score, thresholds=THRESHOLDS, by=("slug",), label="class
     return with_rates(wide.select(*by, F.inline(lines)))
 
 
-def _score_cuts(df, score, blocks):
-    """Approximate score quantiles: at most ``blocks`` numbers, whatever the row count."""
+def _score_cuts(per_score, score, blocks):
+    """Quantiles of the distinct scores: at most ``blocks`` numbers, whatever the row count."""
     steps = [i / blocks for i in range(1, blocks)]
-    found = df.agg(F.percentile_approx(score, steps, blocks * 4).alias("cuts")).first()["cuts"]
+    found = per_score.agg(F.percentile_approx(score, steps, blocks * 4)).first()[0]
     return [float("-inf"), *sorted(set(found or [])), float("inf")]
 
 
 def area_under_pr(df, score, by=("slug",), label="class", blocks=512):
     """Exact area under the precision-recall curve, one point per distinct score.
 
-    Rows are first folded to counts per distinct score. The running counts over those are then
-    taken in two levels: totals per score block (at most ``blocks`` per model) give each block
-    its starting point, and the running sum inside a block is its own window partition. Blocks
-    are cut at score quantiles, so no task sees more than its share however scores are spread.
+    Rows are folded to counts per distinct score, which are stored: the rows are read once. The
+    running counts are then taken in two levels: totals per score block (at most ``blocks`` per
+    model) give each block its starting point, and the running sum inside a block is its own
+    window partition. Blocks are cut at quantiles of the distinct scores, so no task sees more
+    than its share however the scores are spread.
     """
     actual = F.col(label).cast("int")
     usable = df.where(F.col(score).isNotNull() & ~F.isnan(score) & actual.isin(0, 1))
     per_score = usable.groupBy(*by, score).agg(
         F.count_if(actual == 1).alias("pos"), F.count_if(actual == 0).alias("neg")
     )
-    cuts = _score_cuts(usable, score, blocks)
+    per_score = written(per_score, "score-counts")
+    cuts = _score_cuts(per_score, score, blocks)
     if len(cuts) > 2:
         per_score = Bucketizer(splits=cuts, inputCol=score, outputCol="block").transform(per_score)
     else:

@@ -2,10 +2,11 @@
 
 from functools import reduce
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from txrisk.functions import text
 from txrisk.functions.scoring import percentage
+from txrisk.operators.cleaning import usable_amount
 
 
 def raw_profile(raw):
@@ -23,7 +24,7 @@ def id_profile(raw):
     """
     checked = raw.select(
         "id",
-        (text.timestamp("date").isNotNull() & _usable(text.money("amount"))).alias("valid"),
+        (text.timestamp("date").isNotNull() & usable_amount(text.money("amount"))).alias("valid"),
     )
     per_id = checked.where(F.col("id").isNotNull()).groupBy("id").agg(
         F.count(F.lit(1)).alias("copies"), F.max("valid").alias("valid")
@@ -34,10 +35,6 @@ def id_profile(raw):
     )
 
 
-def _usable(amount):
-    return amount.isNotNull() & ~F.isnan(amount) & (amount >= 0)
-
-
 def totals(**frames):
     """(name, rows) for each named frame."""
     counts = [
@@ -48,9 +45,9 @@ def totals(**frames):
 
 
 def class_distribution(df, column="class"):
-    """(value, count, percentage). The window sees one row per value, never the data."""
+    """(value, count, percentage). The total is a scalar over the counts, which are shared."""
     counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("count"))
-    whole = F.sum("count").over(Window.partitionBy())
+    whole = counts.agg(F.sum("count")).scalar()
     return counts.withColumn("percentage", percentage(F.col("count"), whole)).orderBy(column)
 
 

@@ -3,7 +3,7 @@
 Every split is a row filter: no shuffle, no dependence on partitioning or row order.
 """
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from txrisk.functions.hashing import xxhash_bucket
 from txrisk.settings import (
@@ -52,7 +52,7 @@ def with_split_name(df, bucket=xxhash_bucket):
 def split_fractions(df, bucket=xxhash_bucket):
     """(split, rows, fraction): what the hash really gave each part."""
     rows = with_split_name(df, bucket).groupBy("split").agg(F.count(F.lit(1)).alias("rows"))
-    whole = F.sum("rows").over(Window.partitionBy())
+    whole = rows.agg(F.sum("rows")).scalar()
     return rows.withColumn("fraction", F.round(F.try_divide("rows", whole), 8))
 
 
@@ -92,7 +92,7 @@ def bounded_sample(df, total, max_rows, seed=FOREST_SEED, bucket=xxhash_bucket):
 def class_weights(df):
     """(class, rows, weight): weight is all rows / (2 * rows of the class)."""
     rows = df.groupBy("class").agg(F.count(F.lit(1)).alias("rows"))
-    whole = F.sum("rows").over(Window.partitionBy())
+    whole = rows.agg(F.sum("rows")).scalar()
     return rows.withColumn("weight", whole / (2.0 * F.col("rows")))
 
 
