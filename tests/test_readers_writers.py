@@ -125,7 +125,7 @@ def test_new_transactions_are_refused_as_a_whole(spark, tmp_path):
         path = write(tmp_path / f"new{len(lines)}{abs(hash(lines))}.csv", header, *lines)
         return parse_new_transactions(readers.read_new_transactions(spark, path))
 
-    assert audits.require_valid_new_transactions(load(good)).count() == 1
+    assert audits.require_valid_new_transactions(load(good)) == 1
     for bad in (
         "2,2019-12-31 23:30:00,1.00,Chip,,,",
         "2,2019-12-31 23:30:00,-1.00,Chip,,5732,",

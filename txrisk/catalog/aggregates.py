@@ -8,6 +8,7 @@ from txrisk.catalog.registry import query, rounded
 from txrisk.catalog.sql import RATES, md5_bucket as md5_sql, pr_auc, rates, rounded as r
 from txrisk.functions.hashing import md5_bucket
 from txrisk.operators import audits, keys, metrics, profiling, reports, sampling
+from txrisk.operators.features import training_features
 from txrisk.plans.evaluate import choose_thresholds, decide, describe_models, evaluate_scored, result_tables
 from txrisk.settings import CATEGORICAL_FEATURES
 
@@ -242,12 +243,12 @@ def _(v):
        SELECT 'fraud', min(amount), quantile_disc(amount, 0.99) FROM labeled WHERE class = 1""",
 )
 def _(v):
-    fraud = v.labeled.where(F.col("class") == 1)
+    fraud = v.stored.where(F.col("class") == 1)
     parts = [
         reports.quantile_bounds(df, "amount", low, 0.99, EXACT).select(
             F.lit(part).alias("part"), "lower", "upper"
         )
-        for part, df, low in (("all", v.labeled, 0.01), ("fraud", fraud, 0.0))
+        for part, df, low in (("all", v.stored, 0.01), ("fraud", fraud, 0.0))
     ]
     return parts[0].unionByName(parts[1])
 
@@ -257,7 +258,7 @@ def _(v):
     _histogram_sql("labeled", "amount", 50, "quantile_disc(amount, 0.01)", "quantile_disc(amount, 0.99)"),
 )
 def _(v):
-    return rounded(reports.clipped_histogram(v.labeled, "amount", 50, 0.01, 0.99, EXACT), *EDGES)
+    return rounded(reports.clipped_histogram(v.stored, "amount", 50, 0.01, 0.99, EXACT), *EDGES)
 
 
 @query(
@@ -267,7 +268,7 @@ def _(v):
     ),
 )
 def _(v):
-    fraud = v.labeled.where(F.col("class") == 1)
+    fraud = v.stored.where(F.col("class") == 1)
     return rounded(reports.clipped_histogram(fraud, "amount", 40, 0.0, 0.99, EXACT), *EDGES)
 
 
@@ -306,6 +307,18 @@ def _(v):
     return keys.duplicated_keys(v.raw, "id")
 
 
+@query(
+    "agg_23_new_transaction_profile",
+    """SELECT sum(n)::BIGINT AS rows, sum(invalid)::BIGINT AS invalid_rows, count(*) FILTER (n > 1) AS duplicate_ids
+       FROM (SELECT transaction_id, count(*) AS n,
+                    count(*) FILTER (transaction_id IS NULL OR transaction_time IS NULL OR amount IS NULL
+                                     OR isnan(amount) OR amount < 0 OR mcc IS NULL) AS invalid
+             FROM parsed_tx GROUP BY transaction_id)""",
+)
+def _(v):
+    return audits.new_transaction_profile(v.parsed)
+
+
 @query(
     "agg_24_prediction_audit",
     """SELECT model, count(*) AS rows,
@@ -332,7 +345,7 @@ def _(v):
 )
 def _(v):
     # One row too many is expected on purpose, so every model must be reported.
-    wrong = audits.metric_violations(v.metrics_by_model, v.labeled.count() - 1)
+    wrong = audits.metric_violations(v.metrics_by_model, v.stored.count() - 1)
     return wrong.select("slug", "tp", "tn", "fp", "fn")
 
 
@@ -521,7 +534,7 @@ def _(v):
                round(sum(amount), 2) AS amount FROM labeled GROUP BY 1""",
 )
 def _(v):
-    parts = sampling.split(v.labeled, bucket=md5_bucket)
+    parts = sampling.split(v.stored, bucket=md5_bucket)
     named = [df.withColumn("first", F.lit(flag)) for df, flag in zip(parts, (True, False))]
     return reduce(lambda a, b: a.unionByName(b), named).groupBy("first").agg(
         F.count(F.lit(1)).alias("rows"), F.round(F.sum("amount"), 2).alias("amount")
@@ -556,8 +569,8 @@ def _(v):
               < greatest(1, least(1000000, floor(1000000 * least(normal, fraud * 5) / normal)))""",
 )
 def _(v):
-    rows = {w["class"]: w["rows"] for w in sampling.class_weights(v.labeled).collect()}
-    thinned = sampling.undersample(v.labeled, rows[0], rows[1], ratio=5.0, bucket=md5_bucket)
+    rows = {w["class"]: w["rows"] for w in sampling.class_weights(v.stored).collect()}
+    thinned = sampling.undersample(v.stored, rows[0], rows[1], ratio=5.0, bucket=md5_bucket)
     return thinned.select("transaction_id", "class")
 
 
@@ -617,10 +630,11 @@ def _(v):
     from pyspark.ml.feature import StringIndexer
 
     names = list(CATEGORICAL_FEATURES)
+    rows = training_features(v.stored)
     indexer = StringIndexer(
         inputCols=names, outputCols=[f"{n}_index" for n in names], handleInvalid="keep",
         stringOrderType="frequencyDesc",
-    ).fit(v.features)
+    ).fit(rows)
     pairs = F.array(
         *(
             F.struct(
@@ -629,7 +643,7 @@ def _(v):
             for n in names
         )
     )
-    indexed = indexer.transform(v.features).select(F.inline(pairs))
+    indexed = indexer.transform(rows).select(F.inline(pairs))
     return indexed.groupBy("feature", "value", "index").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -649,7 +663,7 @@ def _(v):
 
     from txrisk.settings import NUMERIC_FEATURES
 
-    rows = VectorAssembler(inputCols=list(NUMERIC_FEATURES), outputCol="v").transform(v.features)
+    rows = VectorAssembler(inputCols=list(NUMERIC_FEATURES), outputCol="v").transform(training_features(v.stored))
     scaled = StandardScaler(inputCol="v", outputCol="s").fit(rows).transform(rows)
     values = vector_to_array("s")
     return scaled.select(

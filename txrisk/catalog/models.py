@@ -1,13 +1,18 @@
-"""Fitted models over the given tables. No SQL can repeat a fit, so these are checked in tests."""
+"""Fitted preprocessors and models over the given tables.
+
+SQL can follow the preprocessor exactly. It cannot repeat a model fit: where a fit is involved it
+checks which rows come out and that they are sound, or nothing, and tests check the rest.
+"""
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from txrisk.catalog.registry import query
+from txrisk.catalog.registry import query, rounded
 from txrisk.operators import classifiers, features, isolation_forest, sampling
 from txrisk.operators.cleaning import unlabeled_transactions
 from txrisk.plans.predict import score_new
 from txrisk.session import scratch_path, written
+from txrisk.settings import CATEGORICAL_FEATURES, NUMERIC_FEATURES
 from txrisk.sources import model_store
 
 
@@ -15,8 +20,7 @@ class Fitted:
     """Splits, preprocessor and vectors of one query, computed from the whole labeled table."""
 
     def __init__(self, v):
-        labeled = written(v.features, "features")
-        self.splits = sampling.three_way_split(labeled)
+        self.splits = {name: features.training_features(df) for name, df in v.splits.items()}
         self.preprocessor = features.fit_preprocessor(self.splits["train"])
         self.train = self.preprocessor.transform(self.splits["train"])
         self.test = self.preprocessor.transform(self.splits["test"])
@@ -53,25 +57,63 @@ query("ml_14_random_forest_weighted")(_scores("rf_class_weight"))
 query("ml_15_random_forest_undersampled")(_scores("rf_undersampling"))
 
 
-@query("ml_02_one_hot")
-def _(v):
-    fitted = Fitted(v)
-    return fitted.train.select(
-        "transaction_id", *(vector_to_array(f"{c}_ohe").alias(c) for c in features.CATEGORICAL_FEATURES)
-    )
+def _entries(vectors, column):
+    """(transaction_id, position, value) of everything but zeros."""
+    values = vectors.select("transaction_id", F.posexplode(vector_to_array(column)).alias("position", "value"))
+    return values.where(F.col("value") != 0)
 
 
-@query("ml_03_assembled_vector")
+@query(
+    "ml_02_one_hot",
+    "SELECT transaction_id, "
+    + ", ".join(
+        f"max(coalesce(slot, width - 1)) FILTER (part = {i})::INTEGER AS {c}_slot, "
+        f"max(width) FILTER (part = {i})::INTEGER AS {c}_width"
+        for i, c in enumerate(CATEGORICAL_FEATURES)
+    )
+    + """ FROM (SELECT c.transaction_id, c.part, slot, width FROM category_rows c
+              JOIN category_starts USING (feature)
+              LEFT JOIN category_slots s ON c.feature = s.feature AND c.value = s.value
+              WHERE c.split = 'test') GROUP BY transaction_id""",
+)
+def _(v):
+    test = Fitted(v).test
+    columns = []
+    for c in CATEGORICAL_FEATURES:
+        slots = vector_to_array(f"{c}_ohe")
+        columns += [
+            (F.array_position(slots, 1.0) - 1).cast("int").alias(f"{c}_slot"),
+            F.size(slots).alias(f"{c}_width"),
+        ]
+    return test.select("transaction_id", *columns)
+
+
+@query(
+    "ml_03_assembled_vector",
+    "SELECT transaction_id, position, value FROM vector_entries WHERE split = 'train' AND value <> 0",
+)
 def _(v):
-    return Fitted(v).train.select("transaction_id", vector_to_array("features_raw").alias("features"))
+    return _entries(Fitted(v).train, "features_raw")
 
 
-@query("ml_05_preprocessed_vector")
+@query(
+    "ml_05_preprocessed_vector",
+    """SELECT transaction_id, position, round(value / deviation, 6) AS value
+       FROM vector_entries JOIN vector_scales USING (position)
+       WHERE split = 'test' AND value <> 0 AND deviation > 0""",
+)
 def _(v):
-    return Fitted(v).test.select("transaction_id", vector_to_array("features").alias("features"))
+    return rounded(_entries(Fitted(v).test, "features"), "value")
 
 
-@query("ml_06_feature_names")
+@query(
+    "ml_06_feature_names",
+    "SELECT position, name FROM (VALUES "
+    + ", ".join(f"({i}, '{c}')" for i, c in enumerate(NUMERIC_FEATURES))
+    + """) AS numbers(position, name)
+    UNION ALL SELECT start + slot, feature || '_ohe_' || value FROM category_slots JOIN category_starts USING (feature)
+    UNION ALL SELECT start + width - 1, feature || '_ohe___unknown' FROM category_starts""",
+)
 def _(v):
     names = features.feature_names(Fitted(v).test)
     return v.spark.createDataFrame(list(enumerate(names)), "position INT, name STRING")
@@ -88,18 +130,23 @@ def _(v):
 
 @query("ml_17_isolation_forest_fit")
 def _(v):
-    return isolation_forest.fit_forest(Fitted(v).splits["train"])
+    return isolation_forest.fit_forest(features.training_features(v.splits["train"]))
 
 
 @query("ml_18_isolation_forest_score")
 def _(v):
-    splits = sampling.three_way_split(written(v.features, "features"))
+    splits = {name: features.training_features(df) for name, df in v.splits.items()}
     nodes = written(isolation_forest.fit_forest(splits["train"]), "forest")
     scorer = isolation_forest.ForestScorer(nodes)
     return isolation_forest.score_forest(scorer, splits["test"], "class")
 
 
-@query("ml_21_batch_inference")
+@query(
+    "ml_21_batch_inference",
+    """SELECT transaction_id, transaction_time, amount, 'rf_undersampling' AS model, 0.5::DOUBLE AS threshold,
+              true AS sound
+       FROM clean_tx WHERE transaction_id NOT IN (SELECT transaction_id FROM clean_labels)""",
+)
 def _(v):
     fitted = Fitted(v)
     base = scratch_path(v.spark, "models")
@@ -108,12 +155,24 @@ def _(v):
     model_store.save_classifier(slug, fitted.fit(slug), base, check)
     fitted.preprocessor.write().save(f"{base}/{model_store.PREPROCESSOR}")
     new = unlabeled_transactions(v.clean, v.labels)
-    return score_new(
+    scored = score_new(
         new, model_store.load_preprocessor(base), model_store.load_classifier(slug, base), slug, 0.5
     )
+    p = F.col("fraud_probability")
+    decision = (p >= 0.5) == (F.col("prediction") == 1)
+    status = (F.col("status") == "NEEDS_REVIEW") == (F.col("prediction") == 1)
+    return scored.select(
+        "transaction_id", "transaction_time", "amount", "model", "threshold",
+        (p.between(0, 1) & decision & status).alias("sound"),
+    )
 
 
-@query("ml_22_reload_all_models")
+@query(
+    "ml_22_reload_all_models",
+    """SELECT slug, least(100, (SELECT count(*) FROM test_rows)) AS scored
+       FROM (VALUES ('lr_none'), ('lr_class_weight'), ('rf_none'), ('rf_class_weight'),
+                    ('rf_undersampling'), ('isolation_forest')) AS m(slug)""",
+)
 def _(v):
     fitted = Fitted(v)
     base = scratch_path(v.spark, "models")

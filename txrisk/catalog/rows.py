@@ -107,8 +107,8 @@ def _(v):
        FROM labeled""",
 )
 def _(v):
-    weights = {row["class"]: row["weight"] for row in sampling.class_weights(v.labeled).collect()}
-    weighted = sampling.with_class_weight(v.labeled, weights[0], weights[1])
+    weights = {row["class"]: row["weight"] for row in sampling.class_weights(v.stored).collect()}
+    weighted = sampling.with_class_weight(v.stored, weights[0], weights[1])
     return rounded(weighted.select("transaction_id", "class", "class_weight"), "class_weight")
 
 
@@ -522,9 +522,10 @@ def _(v):
     )
 
 
-@query("fn_22_detected_at")
+@query("fn_22_detected_at", "SELECT event_id, true AS is_now FROM events")
 def _(v):
-    return v.table("events").select("event_id", alerts.detected_at().alias("detectedAt"))
+    age = F.unix_timestamp() - F.unix_timestamp(F.to_timestamp(alerts.detected_at()))
+    return v.table("events").select("event_id", age.between(-60, 60).alias("is_now"))
 
 
 @query(

@@ -3,7 +3,7 @@
 import re
 
 from txrisk.catalog.views import FIXED_MODELS
-from txrisk.settings import THRESHOLDS
+from txrisk.settings import CATEGORICAL_FEATURES, NUMERIC_FEATURES, THRESHOLDS
 
 
 def md5_bucket(key, seed):
@@ -202,6 +202,34 @@ CTES = {
           FROM validation_sweep) WHERE place = 1""",
     # Models are ranked by this, so it keeps all digits that engines can agree on.
     "validation_auc": pr_auc("scored_validation", "fraud_probability", 12),
+    "feature_split": """
+        SELECT features.*, split FROM features
+        JOIN (SELECT transaction_id, split FROM split_rows) USING (transaction_id)""",
+    "category_rows": " UNION ALL ".join(
+        f"SELECT transaction_id, split, {part} AS part, '{c}' AS feature, {c} AS value FROM feature_split"
+        for part, c in enumerate(CATEGORICAL_FEATURES)
+    ),
+    "category_slots": """
+        SELECT *, (row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) - 1)::INTEGER AS slot
+        FROM (SELECT part, feature, value, count(*) AS n FROM category_rows WHERE split = 'train' GROUP BY ALL)""",
+    "category_starts": """
+        SELECT *, (8 + coalesce(sum(width) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::INTEGER AS start
+        FROM (SELECT part, feature, (count(*) + 1)::INTEGER AS width FROM category_slots GROUP BY ALL)""",
+    "numeric_entries": " UNION ALL ".join(
+        f"SELECT transaction_id, split, {i} AS position, {c} AS value FROM feature_split"
+        for i, c in enumerate(NUMERIC_FEATURES)
+    ),
+    "category_entries": """
+        SELECT c.transaction_id, c.split, (start + coalesce(slot, width - 1))::INTEGER AS position, 1.0::DOUBLE AS value
+        FROM category_rows c JOIN category_starts USING (feature)
+        LEFT JOIN category_slots s ON c.feature = s.feature AND c.value = s.value""",
+    "vector_entries": "SELECT * FROM numeric_entries UNION ALL SELECT * FROM category_entries",
+    "vector_scales": """
+        SELECT position, stddev_samp(value) AS deviation FROM numeric_entries WHERE split = 'train' GROUP BY position
+        UNION ALL
+        SELECT start + slot, sqrt(n * (total - n) / total / (total - 1))
+        FROM category_slots JOIN category_starts USING (feature),
+             (SELECT count(*)::DOUBLE AS total FROM train_rows)""",
     "score_buckets": """
         SELECT model AS slug, least(199, floor(fraud_probability * 200)::INTEGER) AS score_bucket,
                count(*) FILTER (actual_class = 1) AS positives,

@@ -163,13 +163,20 @@ def _(v):
     return v.spark.createDataFrame(list(found.items()), "class STRING, rows BIGINT")
 
 
-@query("snk_09_forest_table")
+@query(
+    "snk_09_forest_table",
+    """SELECT tree::INTEGER AS tree, least(256, (SELECT count(*) FROM train_rows))::INTEGER AS sample_size,
+              true AS sound FROM range(200) AS t(tree)""",
+)
 def _(v):
     base = scratch_path(v.spark, "forest")
     train_rows = numeric_features(v.splits["train"], "transaction_id")
     model_store.save_forest(fit_forest(train_rows), base)
+    leaf = F.col("feature") == -1
+    binary = F.count(F.lit(1)) == 2 * F.count_if(leaf) - 1
+    bounded = F.count(F.lit(1)) <= 2 * F.max("sample_size") - 1
     return readers.read_table(v.spark, f"{base}/isolation_forest").groupBy("tree").agg(
-        F.count(F.lit(1)).alias("nodes"), F.max("path").alias("longest_path")
+        F.max("sample_size").alias("sample_size"), (binary & bounded).alias("sound")
     )
 
 

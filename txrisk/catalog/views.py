@@ -132,13 +132,18 @@ class Views:
     def labeled(self):
         return cleaning.label_transactions(self.clean, self.labels)
 
+    @cached_property
+    def stored(self):
+        """The labeled table written out, for queries that go over it more than once."""
+        return written(self.labeled, "labeled")
+
     @cached_property
     def features(self):
         return features.training_features(self.labeled)
 
     @cached_property
     def splits(self):
-        return sampling.three_way_split(self.labeled, md5_bucket)
+        return sampling.three_way_split(self.stored, md5_bucket)
 
     def scored(self, rows=None):
         """Long table of fixed scores: five models, one pass over the rows."""

@@ -28,7 +28,7 @@ def text_or(c, default):
 
 def money(c):
     """``$1,234.50`` to 1234.5; text that is not a number gives null."""
-    return F.regexp_replace(F.trim(_col(c)), "[$,]", "").try_cast("double")
+    return F.translate(F.trim(_col(c)), "$,", "").try_cast("double")
 
 
 def timestamp(c):

@@ -2,8 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from txrisk.operators.keys import duplicated_keys
-from txrisk.operators.cleaning import rejected_new_transactions
+from txrisk.operators.cleaning import scorable_transaction
 from txrisk.settings import NEEDS_REVIEW
 
 
@@ -56,15 +55,26 @@ def require_times(**frames):
         raise ValueError(f"{missing} rows have no transaction_time")
 
 
+def new_transaction_profile(parsed):
+    """One row: rows, rows a model must not score, and repeated ids, from one grouping."""
+    per_id = parsed.groupBy("transaction_id").agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(~scorable_transaction()).alias("invalid")
+    )
+    return per_id.agg(
+        F.coalesce(F.sum("rows"), F.lit(0)).alias("rows"),
+        F.coalesce(F.sum("invalid"), F.lit(0)).alias("invalid_rows"),
+        F.count_if(F.col("rows") > 1).alias("duplicate_ids"),
+    )
+
+
 def require_valid_new_transactions(parsed):
-    """Raises on rows a model must not score and on repeated ids."""
-    rejected = rejected_new_transactions(parsed).count()
-    if rejected:
-        raise ValueError(f"new transactions contain {rejected} invalid rows")
-    repeated = duplicated_keys(parsed, "transaction_id").first()[0]
-    if repeated:
-        raise ValueError(f"new transactions contain {repeated} duplicated ids")
-    return parsed
+    """Raises on rows a model must not score and on repeated ids; returns the row count."""
+    found = new_transaction_profile(parsed).first()
+    if found["invalid_rows"]:
+        raise ValueError(f"new transactions contain {found['invalid_rows']} invalid rows")
+    if found["duplicate_ids"]:
+        raise ValueError(f"new transactions contain {found['duplicate_ids']} duplicated ids")
+    return found["rows"]
 
 
 def differences(left, right):

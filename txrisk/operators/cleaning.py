@@ -94,6 +94,11 @@ def parse_new_transactions(raw):
     return raw.withColumn("transaction_time", text.timestamp("transaction_time"))
 
 
+def scorable_transaction():
+    """As for training, and the MCC has to be there too."""
+    return valid_transaction() & F.col("mcc").isNotNull()
+
+
 def rejected_new_transactions(parsed):
-    """Rows a model must not score: as for training, and the MCC has to be there too."""
-    return parsed.where(~(valid_transaction() & F.col("mcc").isNotNull()))
+    """Rows a model must not score."""
+    return parsed.where(~scorable_transaction())

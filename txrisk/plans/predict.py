@@ -29,8 +29,7 @@ def predict(
     """Validates, scores, stores and reconciles a new file; returns the report."""
     slug, threshold = choose_model(readers.read_selection(spark, model_base), model, threshold)
     parsed = cleaning.parse_new_transactions(readers.read_new_transactions(spark, input_path))
-    audits.require_valid_new_transactions(parsed)
-    expected = parsed.count()
+    expected = audits.require_valid_new_transactions(parsed)
 
     scored = score_new(
         parsed,
