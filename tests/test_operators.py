@@ -151,7 +151,7 @@ def test_area_under_pr_is_mllibs(spark, rows):
     if not any(c for _, c in rows):
         rows = [*rows, (0.5, 1)]
     df = scored_frame(spark, rows)
-    ours = metrics.area_under_pr(df, "score", blocks=4).first()["pr_auc"]
+    ours = metrics.area_under_pr(df, "score", block_rows=5).first()["pr_auc"]
     theirs = BinaryClassificationEvaluator(
         rawPredictionCol="score", labelCol="class", metricName="areaUnderPR", numBins=0
     ).evaluate(df)

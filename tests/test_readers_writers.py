@@ -104,6 +104,18 @@ def test_scratch_follows_the_session_setting(spark):
     assert kept.columns == ["id", "k"] and kept.count() == 5
 
 
+def test_scratch_without_a_setting_is_a_temporary_folder():
+    class Bare:
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+        class sparkContext:
+            applicationId = "app"
+
+    first, second = scratch_path(Bare, "x"), scratch_path(Bare, "x")
+    assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+
+
 def test_required_columns():
     class Frame:
         columns = ["a", "b"]

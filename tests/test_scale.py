@@ -108,8 +108,8 @@ def test_one_score_for_a_third_of_the_rows(spark):
         F.when(F.col("id") % 3 == 0, 0.5).otherwise(F.col("id") / 30_000.0).alias("score"),
         (F.pmod(F.xxhash64("id"), F.lit(10)) == 0).cast("int").alias("class"),
     )
-    few = metrics.area_under_pr(rows, "score", blocks=2).first()["pr_auc"]
-    many = metrics.area_under_pr(rows, "score", blocks=500).first()["pr_auc"]
+    few = metrics.area_under_pr(rows, "score").first()["pr_auc"]
+    many = metrics.area_under_pr(rows, "score", block_rows=40).first()["pr_auc"]
     assert few == pytest.approx(many, abs=1e-12) and 0.05 < few < 0.2
 
 

@@ -10,6 +10,7 @@ from txrisk.operators.features import numeric_features
 from txrisk.plans import train
 from txrisk.plans.evaluate import choose_thresholds
 from txrisk.session import scratch_path
+from txrisk.settings import EVALUATION_REPORT
 from txrisk.sources import model_store, readers, writers
 
 # A CSV cell without characters reads as null.
@@ -79,7 +80,7 @@ def _(v):
     base = scratch_path(v.spark, "selection")
     chosen = choose_thresholds(v.stored_scores(v.splits["validation"])).collect()
     selection = {"thresholds_by_model": {row["slug"]: row["threshold"] for row in chosen}}
-    writers.write_report(v.spark, {"selection": selection}, f"{base}/metadata/phase4_summary.json")
+    writers.write_report(v.spark, {"selection": selection}, f"{base}/{EVALUATION_REPORT}")
     found = readers.read_selection(v.spark, base)["thresholds_by_model"]
     return v.spark.createDataFrame(list(found.items()), "slug STRING, threshold DOUBLE")
 

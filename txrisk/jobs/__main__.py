@@ -20,7 +20,7 @@ def _labels(spark, source, output):
 
 
 def _verify(spark, splits, models, predictions, new_predictions, new_report):
-    report = readers.read_report(spark, f"{models}/metadata/phase4_summary.json")
+    report = readers.read_report(spark, f"{models}/{settings.EVALUATION_REPORT}")
     found = {
         "models": verify.verify_models(spark, splits, models),
         "evaluation": verify.verify_evaluation(spark, report),
@@ -83,7 +83,7 @@ def _parser():
             labeled_output=str, report=None, label_format="csv")
     command("train", train.train, labeled_path=str, split_base=str, model_base=str, report=None,
             max_training_rows=settings.MAX_TRAINING_ROWS, max_forest_rows=settings.MAX_FOREST_ROWS,
-            trees=25, depth=8, undersample_ratio=settings.UNDERSAMPLE_RATIO)
+            trees=settings.FOREST_SIZE, depth=settings.FOREST_DEPTH, undersample_ratio=settings.UNDERSAMPLE_RATIO)
     command("evaluate", evaluate.evaluate, split_base=str, model_base=str, prediction_base=str,
             result_dir=str, report=None).add_argument(
         "--thresholds", type=float, nargs="+", default=list(settings.THRESHOLDS))

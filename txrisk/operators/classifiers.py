@@ -12,8 +12,8 @@ from pyspark.ml.classification import (
 )
 from pyspark.sql import functions as F
 
+from txrisk import settings
 from txrisk.functions.scoring import fraud_probability
-from txrisk.settings import SPLIT_SEED
 
 
 @dataclass(frozen=True)
@@ -53,24 +53,25 @@ def model_spec(slug):
     return MODELS[slug]
 
 
-def logistic_regression(weight_column=None):
-    """Twenty steps, light ridge penalty; inputs are already scaled."""
-    estimator = LogisticRegression(
-        featuresCol="features", labelCol="class", maxIter=20, regParam=0.01,
-        elasticNetParam=0.0, standardization=False,
-    )
+def _weighted(estimator, weight_column):
     return estimator.setWeightCol(weight_column) if weight_column else estimator
 
 
-def random_forest(weight_column=None, trees=25, depth=8):
+def logistic_regression(weight_column=None):
+    """A few steps with a light ridge penalty; the vectors are scaled already."""
+    estimator = LogisticRegression(labelCol="class", **settings.LOGISTIC_REGRESSION)
+    return _weighted(estimator, weight_column)
+
+
+def random_forest(weight_column=None, trees=settings.FOREST_SIZE, depth=settings.FOREST_DEPTH):
     estimator = RandomForestClassifier(
-        featuresCol="features", labelCol="class", numTrees=trees, maxDepth=depth,
-        featureSubsetStrategy="sqrt", subsamplingRate=0.8, seed=SPLIT_SEED,
+        labelCol="class", numTrees=trees, maxDepth=depth, seed=settings.SPLIT_SEED,
+        **settings.RANDOM_FOREST,
     )
-    return estimator.setWeightCol(weight_column) if weight_column else estimator
+    return _weighted(estimator, weight_column)
 
 
-def estimator_for(slug, trees=25, depth=8):
+def estimator_for(slug, trees=settings.FOREST_SIZE, depth=settings.FOREST_DEPTH):
     spec = model_spec(slug)
     weight = "class_weight" if spec.balancing == "Class Weight" else None
     return random_forest(weight, trees, depth) if spec.is_forest else logistic_regression(weight)

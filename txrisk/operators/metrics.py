@@ -79,20 +79,23 @@ def threshold_sweep(df, score, thresholds=THRESHOLDS, by=("slug",), label="class
     return with_rates(wide.select(*by, F.inline(lines)))
 
 
-def _score_cuts(per_score, score, blocks):
-    """Quantiles of the distinct scores: at most ``blocks`` numbers, whatever the row count."""
+def _score_cuts(per_score, score, block_rows, most):
+    """Block borders at quantiles of the distinct scores; at most ``most`` numbers."""
+    blocks = min(most, -(-per_score.count() // block_rows))
     steps = [i / blocks for i in range(1, blocks)]
+    if not steps:
+        return [float("-inf"), float("inf")]
     found = per_score.agg(F.percentile_approx(score, steps, blocks * 4)).first()[0]
     return [float("-inf"), *sorted(set(found or [])), float("inf")]
 
 
-def area_under_pr(df, score, by=("slug",), label="class", blocks=512):
+def area_under_pr(df, score, by=("slug",), label="class", block_rows=200_000, most_blocks=8192):
     """Exact area under the precision-recall curve, one point per distinct score.
 
     Rows are folded to counts per distinct score, which are stored: the rows are read once. The
-    running counts are then taken in two levels: totals per score block (at most ``blocks`` per
-    model) give each block its starting point, and the running sum inside a block is its own
-    window partition. Blocks are cut at quantiles of the distinct scores, so no task sees more
+    running counts are then taken in two levels: totals per score block give each block its
+    starting point, and the running sum inside a block is its own window partition. Blocks are
+    cut at quantiles of the distinct scores, about ``block_rows`` each, so no task sees more
     than its share however the scores are spread.
     """
     actual = F.col(label).cast("int")
@@ -101,7 +104,7 @@ def area_under_pr(df, score, by=("slug",), label="class", blocks=512):
         F.count_if(actual == 1).alias("pos"), F.count_if(actual == 0).alias("neg")
     )
     per_score = written(per_score, "score-counts")
-    cuts = _score_cuts(per_score, score, blocks)
+    cuts = _score_cuts(per_score, score, block_rows, most_blocks)
     if len(cuts) > 2:
         per_score = Bucketizer(splits=cuts, inputCol=score, outputCol="block").transform(per_score)
     else:

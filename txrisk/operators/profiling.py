@@ -13,7 +13,12 @@ def raw_profile(raw):
     """One row, one scan: the row count and the missing cells of every column."""
     return raw.agg(
         F.count(F.lit(1)).alias("row_count"),
-        *(F.count_if(text.is_missing(c)).alias(f"{c}_missing") for c in raw.columns),
+        *(
+            F.count_if(text.is_missing(c) if kind == "string" else F.col(c).isNull()).alias(
+                f"{c}_missing"
+            )
+            for c, kind in raw.dtypes
+        ),
     )
 
 

@@ -80,7 +80,9 @@ def evaluate(
     test_features = fitted.transform(test)
 
     validated = written(
-        classifiers.score_all(models, fitted.transform(validation), "class"),
+        classifiers.score_all(models, fitted.transform(validation), "class").select(
+            "slug", "class", "fraud_probability"
+        ),
         "validation-scores", "slug",
     )
     selection = written(choose_thresholds(validated, thresholds), "selection")
@@ -151,7 +153,7 @@ def evaluate(
             "validation_results": sorted(selected.values(), key=lambda r: r["slug"]),
         },
     }
-    writers.write_report(spark, result, f"{model_base}/metadata/phase4_summary.json")
+    writers.write_report(spark, result, f"{model_base}/{settings.EVALUATION_REPORT}")
     if report:
         writers.write_report(spark, result, report)
     return result

@@ -52,8 +52,8 @@ def train(
     report=None,
     max_training_rows=settings.MAX_TRAINING_ROWS,
     max_forest_rows=settings.MAX_FOREST_ROWS,
-    trees=25,
-    depth=8,
+    trees=settings.FOREST_SIZE,
+    depth=settings.FOREST_DEPTH,
     undersample_ratio=settings.UNDERSAMPLE_RATIO,
 ):
     """Fits and stores everything and returns the report.
@@ -135,7 +135,7 @@ def train(
         "model_paths": paths,
         "split_base": split_base,
     }
-    writers.write_report(spark, result, f"{model_base}/metadata/phase3_summary.json")
+    writers.write_report(spark, result, f"{model_base}/{settings.TRAINING_REPORT}")
     if report:
         writers.write_report(spark, result, report)
     return result

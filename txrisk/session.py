@@ -1,5 +1,6 @@
 """Session defaults and the shared scratch folder."""
 
+import functools
 import tempfile
 import uuid
 
@@ -27,16 +28,18 @@ def build_session(app_name="txrisk", master=None, **conf):
     return builder.getOrCreate()
 
 
+@functools.cache
+def _temporary_folder():
+    return tempfile.mkdtemp(prefix="txrisk-")
+
+
 def scratch_path(spark, name):
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
     Paths of one application share a parent, so they can be removed together when it is done.
     Only where that setting is missing (a bare local session) a temporary folder stands in.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.mkdtemp(prefix="txrisk-")
-        spark.conf.set("spark.checkpoint.dir", base)
+    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary_folder()
     application = spark.sparkContext.applicationId
     return f"{base.rstrip('/')}/txrisk/{application}/{name}-{uuid.uuid4().hex}"
 

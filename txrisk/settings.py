@@ -44,6 +44,21 @@ FOREST_SLUG = "isolation_forest"
 FOREST_TREES = 200
 FOREST_SAMPLE = 256
 
+# Where reports are kept below the model folder.
+TRAINING_REPORT = "metadata/phase3_summary.json"
+EVALUATION_REPORT = "metadata/phase4_summary.json"
+
+# Training parameters.
+LOGISTIC_REGRESSION = {
+    "maxIter": 20,
+    "regParam": 0.01,
+    "elasticNetParam": 0.0,
+    "standardization": False,
+}
+RANDOM_FOREST = {"featureSubsetStrategy": "sqrt", "subsamplingRate": 0.8}
+FOREST_SIZE = 25
+FOREST_DEPTH = 8
+
 HIGH_AMOUNT_THRESHOLD = 1000.0
 MIN_ANOMALY_SCORE = 0.05
 ALERT_FEED_ROWS = 100

@@ -6,6 +6,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from txrisk import schemas
+from txrisk.settings import EVALUATION_REPORT
 
 
 def read_raw_transactions(spark, path):
@@ -66,4 +67,4 @@ def read_report(spark, path):
 
 def read_selection(spark, model_base):
     """Which model and thresholds the last evaluation recommended."""
-    return read_report(spark, f"{model_base}/metadata/phase4_summary.json").get("selection", {})
+    return read_report(spark, f"{model_base}/{EVALUATION_REPORT}").get("selection", {})
