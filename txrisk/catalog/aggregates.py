@@ -469,12 +469,12 @@ def _(v):
     "SELECT model, transaction_id, fraud_probability, prediction FROM predictions",
 )
 def _(v):
-    from txrisk.session import scratch_path
+    from txrisk.session import scratch_path, written
     from txrisk.sources.writers import write_export
 
     path = scratch_path(v.spark, "export")
     narrow = v.predictions.select("model", "transaction_id", "fraud_probability", "prediction")
-    write_export(reports.ranked_export(narrow), path)
+    write_export(reports.ranked_export(written(narrow, "predictions")), path)
     schema = "model STRING, transaction_id BIGINT, fraud_probability DOUBLE, prediction INT"
     return v.spark.read.csv(path, schema=schema, header=True)
 

@@ -6,10 +6,12 @@ Leaves have feature -1 and carry the path length they stand for.
 """
 
 import math
+import sys
 from typing import Iterator, Tuple
 
 import numpy as np
 import pandas as pd
+from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
 from txrisk.settings import (
@@ -21,6 +23,9 @@ from txrisk.settings import (
 )
 from txrisk.operators.sampling import bounded_sample
 
+# The few functions that run inside tasks travel with them: executors need no copy of the package.
+register_pickle_by_value(sys.modules[__name__])
+
 NODES = (
     "tree INT, node INT, feature INT, threshold DOUBLE, left INT, right INT, path DOUBLE, "
     "sample_size INT"

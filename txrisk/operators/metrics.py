@@ -149,7 +149,7 @@ def score_buckets(df, score, bins=200, by=("slug",), label="actual_class"):
     bucket = F.least(F.lit(bins - 1), F.floor(F.col(score) * bins).cast("int"))
     actual = F.col(label).cast("int")
     return (
-        df.where(F.col(score).isNotNull())
+        df.where(F.col(score).isNotNull() & actual.isin(0, 1))
         .groupBy(*by, bucket.alias("score_bucket"))
         .agg(
             F.count_if(actual == 1).alias("positives"),
@@ -175,19 +175,16 @@ def pr_curve(df, score, bins=200, by=("slug",), label="actual_class"):
     """(slug, threshold, precision, recall) over score bins, from (1, 1, 0) downwards."""
     running = running_counts(score_buckets(df, score, bins, by, label), by)
     tp, fp = F.col("tp"), F.col("fp")
-    points = running.select(
-        *by,
+    point = F.struct(
         (F.col("score_bucket") / F.lit(float(bins))).alias("threshold"),
         F.coalesce(F.try_divide(tp, tp + fp), F.lit(1.0)).alias("precision"),
         ratio(tp, F.col("all_positives")).alias("recall"),
     )
-    starts = points.select(*by).distinct().select(
-        *by,
-        F.lit(1.0).alias("threshold"),
-        F.lit(1.0).alias("precision"),
-        F.lit(0.0).alias("recall"),
+    start = F.struct(
+        F.lit(1.0).alias("threshold"), F.lit(1.0).alias("precision"), F.lit(0.0).alias("recall")
     )
-    return starts.unionByName(points)
+    is_first = tp + fp == F.col("positives") + F.col("negatives")
+    return running.select(*by, F.inline(F.when(is_first, F.array(start, point)).otherwise(F.array(point))))
 
 
 def select_thresholds(sweep, by=("slug",)):
