@@ -9,7 +9,7 @@ from txrisk.catalog.sql import RATES, md5_bucket as md5_sql, pr_auc, rates, roun
 from txrisk.functions.hashing import md5_bucket
 from txrisk.operators import audits, keys, metrics, profiling, reports, sampling
 from txrisk.operators.features import training_features
-from txrisk.plans.evaluate import choose_thresholds, decide, describe_models, evaluate_scored, result_tables
+from txrisk.plans.evaluate import choose_thresholds, decide, describe_models, result_tables
 from txrisk.settings import CATEGORICAL_FEATURES
 
 # Exact for tables of up to a few hundred thousand rows, and still a sketch of bounded size.

@@ -1,11 +1,8 @@
 """Checks of stored artefacts, meant to run in an application of their own."""
 
-from pyspark.sql import functions as F
-
 from txrisk import settings
 from txrisk.operators import audits
 from txrisk.operators.classifiers import MODELS
-from txrisk.operators.features import numeric_features
 from txrisk.operators.keys import require_columns
 from txrisk.plans.train import read_split
 from txrisk.schemas import NEW_PREDICTION_COLUMNS

@@ -11,9 +11,11 @@ def _batch_writer(make_alerts, make_letters, alert_path, letter_path):
     """
     def write(batch, number):
         batch.persist()
-        make_alerts(batch).write.mode("overwrite").parquet(f"{alert_path}/batch={number}")
-        make_letters(batch).write.mode("overwrite").parquet(f"{letter_path}/batch={number}")
-        batch.unpersist()
+        try:
+            make_alerts(batch).write.mode("overwrite").parquet(f"{alert_path}/batch={number}")
+            make_letters(batch).write.mode("overwrite").parquet(f"{letter_path}/batch={number}")
+        finally:
+            batch.unpersist()
 
     return write
 
