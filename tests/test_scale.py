@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_points
 from tests.conftest import DATA
+from txrisk.catalog.tables import as_csv
 from txrisk.operators import audits, cleaning, keys, metrics, profiling, reports
 from txrisk.plans import train
 from txrisk.schemas import RAW_TRANSACTIONS
@@ -119,3 +120,14 @@ def test_differences_count_copies(spark):
     rows = sorted(map(tuple, audits.differences(left, right).collect()))
     assert rows == [(1, "left"), (2, "left"), (3, "right")]
     assert audits.differences(left, left).count() == 0
+
+
+def test_counting_clean_rows_shuffles_ids_only(spark):
+    text = plan(cleaning.clean_transactions(skewed(spark)).groupBy().count())
+    assert "struct(" not in text and "SortAggregate" not in text
+
+
+def test_cleaning_parses_each_cell_once(spark, views):
+    raw = readers.read_raw_transactions(spark, as_csv(views.raw, "raw"))
+    text = plan(cleaning.clean_transactions(raw))
+    assert text.count("gettimestamp") == 1 and text.count("translate(") == 1

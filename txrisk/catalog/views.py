@@ -58,26 +58,33 @@ class Views:
             self.table("orders")
             .join(self.table("customer"), F.expr("o_custkey = c_custkey"))
             .join(self.table("nation"), F.expr("c_nationkey = n_nationkey"))
-            .select(
-                "*",
-                F.expr("timestampadd(SECOND, CAST(o_orderkey * 7919 % 86400 AS INT), o_orderdate)").alias("ts"),
-                F.expr("explode(IF(o_orderstatus = 'P', array(0, 1), array(0)))").alias("copy"),
+            .withColumn(
+                "time",
+                F.expr("timestampadd(SECOND, CAST(o_orderkey * 7919 % 86400 AS INT), o_orderdate)"),
             )
-            .withColumn("price", F.expr("format_number(o_totalprice - copy, 2)"))
-            .withColumn("time", F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
+            .withColumn("time", F.date_format("time", "yyyy-MM-dd HH:mm:ss"))
+            .withColumn("price", F.expr("format_number(o_totalprice, 2)"))
         )
-        return rows.selectExpr(
+        # Text is made once per copy, inside the generator, so later filters do not make it again.
+        first = """struct(
+            CASE WHEN day(o_orderdate) = 31 THEN concat(substring(time, 1, 8), '99', substring(time, 11))
+                 WHEN o_orderstatus = 'O' THEN concat('  ', time, ' ') ELSE time END AS date,
+            CASE WHEN o_totalprice < 4000 THEN 'abc'
+                 WHEN o_totalprice < 7000 THEN 'NaN'
+                 WHEN o_totalprice < 10000 THEN concat('$-', price)
+                 WHEN o_totalprice < 12000 THEN NULL
+                 ELSE concat(' $', price) END AS amount)"""
+        second = """struct(
+            CASE WHEN day(o_orderdate) = 31 THEN concat(substring(time, 1, 8), '99', substring(time, 11))
+                 ELSE time END AS date,
+            replace(format_number(o_totalprice - 1, 2), ',', '') AS amount)"""
+        copies = F.expr(f"inline(IF(o_orderstatus = 'P', array({first}, {second}), array({first})))")
+        return rows.select("*", copies).selectExpr(
             "IF(o_totalprice > 499000, NULL, o_orderkey) AS id",
-            """CASE WHEN day(o_orderdate) = 31 THEN concat(substring(time, 1, 8), '99', substring(time, 11))
-                    WHEN o_orderstatus = 'O' THEN concat('  ', time, ' ') ELSE time END AS date""",
+            "date",
             "o_custkey AS client_id",
             "o_custkey * 100 + c_nationkey AS card_id",
-            """CASE WHEN copy = 1 THEN replace(price, ',', '')
-                    WHEN o_totalprice < 4000 THEN 'abc'
-                    WHEN o_totalprice < 7000 THEN 'NaN'
-                    WHEN o_totalprice < 10000 THEN concat('$-', price)
-                    WHEN o_totalprice < 12000 THEN NULL
-                    ELSE concat(' $', price) END AS amount""",
+            "amount",
             """CASE WHEN o_orderpriority = '3-MEDIUM' THEN '   '
                     WHEN o_orderpriority = '5-LOW' AND o_orderstatus = 'F' THEN NULL
                     ELSE concat(' ', o_orderpriority) END AS use_chip""",

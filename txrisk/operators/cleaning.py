@@ -50,8 +50,8 @@ def clean_transactions(raw):
 
     The result is hash-partitioned by ``transaction_id``, so a join on it needs no new shuffle.
     """
-    valid = parse_transactions(raw).where(valid_transaction())
-    return with_year(keep_one_per_key(valid, "transaction_id"))
+    parsed = parse_transactions(raw).where(F.col("transaction_id").isNotNull())
+    return with_year(keep_one_per_key(parsed, "transaction_id", among=valid_transaction()))
 
 
 def parse_labels(raw_labels):
