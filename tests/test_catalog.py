@@ -6,9 +6,11 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_points
+from txrisk.catalog import aggregates, models, rows, streams, tables  # noqa: F401  (they register)
+from txrisk.catalog import registry
 from tests.conftest import DATA
 
-QUERIES, ORACLES = entry_points.queries(), entry_points.oracle_sql()
+QUERIES, ORACLES = registry.QUERIES, registry.ORACLES
 
 
 @pytest.fixture(scope="module")
