@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from txrisk.llm import bpe, chat, url_filter
+from txrisk.llm import ann, bpe, chat, mixing, near_dedup, topk, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -101,3 +101,140 @@ def op6_byte_bpe(spark, folder):
     path, pattern = public_tokenizer()
     encoded = bpe.encode_texts(table(spark, folder, "documents"), path, pattern)
     return bpe.decode_ids(encoded, path, pattern).drop("decoded")
+
+
+@query
+def op7_exact_top_k(spark, folder):
+    rows = topk.scaled(table(spark, folder, "embeddings"))
+    return topk.top_k(rows, rows.where(F.col("vec_id") % 100 == 0), k=10)
+
+
+ORACLES["op7_exact_top_k"] = """
+WITH rows AS (
+    SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+        AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+),
+pairs AS (
+    SELECT q.vec_id AS query_id, r.vec_id, CAST(coalesce(list_sum(
+        [q.v[i] * r.v[i] FOR i IN range(1, least(len(q.v), len(r.v)) + 1)]), 0) AS BIGINT) AS score
+    FROM rows q JOIN rows r ON q.vec_id % 100 = 0 AND q.vec_id <> r.vec_id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+    vec_id, score
+FROM pairs QUALIFY rank <= 10
+"""
+
+#: Target weights of the mixture: domains, and languages inside each; sources share alike.
+MIX_WEIGHTS = {
+    ("web",): 3, ("reference",): 5, ("forum",): 2,
+    **{(domain, lang): weight for domain in ("web", "reference", "forum")
+       for lang, weight in (("en", 4), ("fr", 2), ("de", 2), ("es", 6))},
+}
+DOMAIN = (("web", "src0"), ("reference", "src[1-9]"))  # every other source is a forum
+
+
+def domain_of(source):
+    found = F.when(source.isNull(), F.lit(None))
+    for name, pattern in DOMAIN:
+        found = found.when(source.rlike(f"^{pattern}$"), name)
+    return found.otherwise("forum")
+
+
+def mix_documents(docs):
+    levels = (domain_of(F.col("source")), F.col("lang"), F.col("source"))
+    return mixing.mix(docs, levels, MIX_WEIGHTS)
+
+
+@query
+def op9_mix_sources(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text", "lang", "source")
+    one, two, three = mixing.LEVELS
+    return mix_documents(docs).select(
+        "doc_id", "copy", F.col(one).alias("domain"), F.col(two).alias("lang"), F.col(three).alias("source"),
+        F.col("__tokens").alias("tokens"),
+    )
+
+
+def _dealt_sql(name, children, parent):
+    """SQL for one level of the tree: budgets of ``children`` (given, capacity, weight, name)."""
+    by = f"PARTITION BY {parent}" if parent else ""
+    order = f"{by} ORDER BY capacity / weight, name ROWS BETWEEN"
+    return f"""
+{name}_water AS (
+    SELECT *, capacity / weight AS ratio,
+        (given - coalesce(sum(capacity) OVER ({order} UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+        / (sum(weight) OVER ({order} CURRENT ROW AND UNBOUNDED FOLLOWING)) AS water
+    FROM ({children}) WHERE weight > 0
+),
+{name} AS (
+    SELECT *, CAST(CASE WHEN ratio <= water THEN capacity ELSE floor(
+        max(CASE WHEN ratio > water THEN water END) OVER ({by}) * weight) END AS BIGINT) AS budget
+    FROM {name}_water
+)"""
+
+
+def _weights_sql(depth):
+    rows = ", ".join(str((*path, float(w))) for path, w in MIX_WEIGHTS.items() if len(path) == depth)
+    return f"(VALUES {rows})"
+
+
+_DOMAIN_SQL = " ".join(f"WHEN regexp_full_match(source, '{pattern}') THEN '{name}'" for name, pattern in DOMAIN)
+_DOMAINS = _dealt_sql("domains", """
+    SELECT domain, domain AS name, sum(capacity)::BIGINT AS capacity, max(w1)::DOUBLE AS weight,
+        least((sum(sum(tokens)) OVER ())::BIGINT, (sum(sum(capacity)) OVER ())::BIGINT) AS given
+    FROM tree GROUP BY domain
+""", "")
+_LANGUAGES = _dealt_sql("languages", """
+    SELECT t.domain, t.lang, t.lang AS name, sum(t.capacity)::BIGINT AS capacity, max(w2)::DOUBLE AS weight,
+        max(d.budget) AS given
+    FROM tree t JOIN domains d ON t.domain = d.domain GROUP BY t.domain, t.lang
+""", "domain")
+_SOURCES = _dealt_sql("sources", """
+    SELECT t.domain, t.lang, t.source, t.source AS name, t.tokens, t.capacity::BIGINT AS capacity,
+        1.0::DOUBLE AS weight, l.budget AS given
+    FROM tree t JOIN languages l ON t.domain = l.domain AND t.lang = l.lang
+""", "domain, lang")
+
+ORACLES["op9_mix_sources"] = f"""
+WITH docs AS (
+    SELECT doc_id, CASE WHEN source IS NULL THEN 'unknown' {_DOMAIN_SQL} ELSE 'forum' END AS domain,
+        coalesce(lang, 'unknown') AS lang, coalesce(source, 'unknown') AS source,
+        CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
+    FROM documents
+),
+leaves AS (
+    SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens
+    FROM docs GROUP BY ALL HAVING sum(tokens) > 0
+),
+tree AS (
+    SELECT l.domain, l.lang, l.source, tokens, coalesce(a.w, 1.0)::DOUBLE AS w1,
+        coalesce(b.w, 1.0)::DOUBLE AS w2, tokens * {mixing.MAX_EPOCHS} AS capacity
+    FROM leaves l LEFT JOIN {_weights_sql(1)} a(domain, w) ON l.domain = a.domain
+    LEFT JOIN {_weights_sql(2)} b(domain, lang, w) ON l.domain = b.domain AND l.lang = b.lang
+),
+{_DOMAINS}, {_LANGUAGES}, {_SOURCES},
+placed AS (
+    SELECT d.*, s.budget // s.tokens AS whole, s.budget % s.tokens AS rest,
+        coalesce(sum(d.tokens) OVER (PARTITION BY d.domain, d.lang, d.source
+            ORDER BY md5(concat_ws(':', d.doc_id, '{mixing.SEED}', s.budget // s.tokens)), d.doc_id, d.tokens
+            ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+    FROM docs d JOIN sources s ON d.domain = s.domain AND d.lang = s.lang AND d.source = s.source AND s.budget > 0
+)
+SELECT doc_id,
+    CAST(unnest(range(1, (whole + CASE WHEN begins < rest THEN 1 ELSE 0 END)::BIGINT + 1)) AS INTEGER) AS copy,
+    domain, lang, source, tokens
+FROM placed
+"""
+
+
+@query
+def op10_nearest_neighbours(spark, folder):
+    rows = table(spark, folder, "embeddings")
+    return ann.nearest(rows, rows.where(F.col("vec_id") % 20 == 0), k=20)
+
+
+@query
+def op8_near_duplicates(spark, folder):
+    return near_dedup.near_duplicates(table(spark, folder, "documents"))

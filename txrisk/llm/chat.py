@@ -40,15 +40,10 @@ DIGESTS = (
 
 def events_of_turns(conversations):
     """One ``message`` event per row of a table of finished turns (conv_id, turn, role, text)."""
+    turns = conversations.select(F.col("conv_id").cast("bigint").alias("conv_id"), "turn", "role", "text")
     place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "role", "text"))
-    return conversations.select(
-        F.col("conv_id").cast("bigint").alias("conv_id"),
-        place.cast("bigint").alias("seq"),
-        place.cast("bigint").alias("message"),
-        F.lit("message").alias("kind"),
-        "role",
-        "text",
-    )
+    placed = turns.withColumn("seq", place.cast("bigint"))
+    return placed.select("conv_id", "seq", F.col("seq").alias("message"), F.lit("message").alias("kind"), "role", "text")
 
 
 def fold_events(events):
