@@ -1,26 +1,67 @@
-"""A corpus pipeline: language ID, near-duplicates, mixing to target weights, byte-level BPE."""
+"""A corpus pipeline: language ID, near-duplicates, mixing to target weights, byte-level BPE.
 
-from txrisk.llm import bpe
-from txrisk.llm.catalog import public_tokenizer
+Every stage takes documents and gives documents with the columns they came with; only the last
+gives token ids.
+"""
+
+from pyspark.sql import Window, functions as F
+
+from txrisk.llm import bpe, langid
+from txrisk.llm.catalog import mix_documents, public_tokenizer
+from txrisk.llm.near_dedup import near_duplicates
+from txrisk.session import written
 
 ORACLE_SQL = None  # the language model and the similarity classes have no SQL form
+LEAST_SCORE = 0.3  # a text of four languages in equal parts would have 0.25
+
+
+def recognised(spark, docs, sf_dir):
+    """Documents in a language that the labelled ones teach; null and letterless texts go.
+
+    Without any labelled document there is nothing to reject by, so all documents stay.
+    """
+    model = langid.fit(docs)
+    return langid.recognised(docs, model, LEAST_SCORE) if model[0] else docs
+
+
+def deduplicated(spark, docs, sf_dir):
+    """One document of each class of near-duplicates, the one with the smallest id.
+
+    Rows that repeat an id are one document, of which the smallest row by text stays. Rows with a
+    null id have no class and stay.
+    """
+    classes = written(near_duplicates(docs), "classes")
+    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
+    again = written(ids.where(F.col("__rows") > 1).select("doc_id"), "repeated-ids")
+    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
+    first = kept.join(again, "doc_id", "left_semi").withColumn("__place", F.row_number().over(order))
+    return once.unionByName(first.where(F.col("__place") == 1).select(*docs.columns))
+
+
+def mixed(spark, docs, sf_dir):
+    """Documents to the target weights; one that is used in several epochs stands there as often."""
+    return mix_documents(docs).select(*docs.columns)
 
 
 def tokenized(spark, docs, sf_dir):
-    """One row per document with its ids; a document that stands there twice is encoded twice."""
+    """(doc_id, n_tokens, ids) of every document, once for each time it stands there."""
     path, pattern = public_tokenizer()
     return bpe.encode_texts(docs, path, pattern)
 
 
 STAGES = [
+    ("language ID", recognised),
+    ("MinHash near-dedup", deduplicated),
+    ("mixing to target weights", mixed),
     ("byte-level BPE", tokenized),
 ]
 
 
 def run(spark, sf_dir):
     """The stages in turn over ``documents``, each stored before the next reads it."""
-    from txrisk.session import written
-
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from txrisk.llm import ann, bpe, chat, mixing, near_dedup, topk, url_filter
+from txrisk.llm import ann, bpe, chat, langid, licenses, lm, mixing, near_dedup, topk, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -238,3 +238,32 @@ def op10_nearest_neighbours(spark, folder):
 @query
 def op8_near_duplicates(spark, folder):
     return near_dedup.near_duplicates(table(spark, folder, "documents"))
+
+
+def fold_of(doc_id, folds):
+    """The fold that an id falls into; a null id counts as an empty text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+@query
+def op5_language_id(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = langid.fit(docs.where(fold_of(F.col("doc_id"), 5) != 0))
+    found = langid.predict(docs, model)
+    return found.withColumn("held_out", fold_of(F.col("doc_id"), 5) == 0).select(
+        "doc_id", "held_out", "lang_pred", "score"
+    )
+
+
+@query
+def op3_lm_scores(spark, folder):
+    docs = table(spark, folder, "documents")
+    model = lm.fit(docs.where(fold_of(F.col("doc_id"), 7) != 2))
+    return lm.score(docs, model).withColumn("held_out", fold_of(F.col("doc_id"), 7) == 2).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
+
+
+@query
+def op1_license_scan(spark, folder):
+    return licenses.scan(table(spark, folder, "documents"))
