@@ -6,9 +6,11 @@ that are ``alpha`` times nearer to it than to the point, and edges are also laid
 that overflow. A query runs a beam search over every shard; the shards' best are ranked together.
 
 The largest inner product is sought as the smallest Euclidean distance: every vector gets one more
-component that makes all vectors of a shard equally long. Equal vectors of a shard share a node that
-lists their ids, so a vector that a third of the rows repeat costs one node per shard. Results are
-ranked by inner products of the original vectors in double precision, ties to the smaller id.
+component that makes all vectors of a shard equally long. A point whose nearest node is within
+``RADIUS`` of that length joins this node instead of becoming one. So equal and nearly equal
+vectors, be they a third of all rows, can't fill a beam; a search that meets a node ranks all its
+members. Results are ranked by inner products of the original vectors in double precision, ties to
+the smaller id.
 
 The index covers every row; rows go to shards by a hash of id and vector, about ``shard_rows`` to
 each. It is a table with one row per shard and can be stored. Queries go out in broadcasts of at
@@ -32,12 +34,13 @@ from txrisk.session import written
 
 register_pickle_by_value(sys.modules[__name__])
 
-DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA = 28, 56, 96, 1.2
+DEGREE, BUILD_BEAM, SEARCH_BEAM, ALPHA, RADIUS = 28, 56, 96, 1.2, 0.3
 SHARD_ROWS, QUERY_BLOCK, BATCH = 8192, 4096, 256
 EXPANDED = 4  # nodes that a search opens in one step
 PAIRS = 1 << 22  # distances between candidates held at once while pruning
+RANKED = 1 << 17  # members ranked at once
 INDEX = (
-    "shard INT, nodes INT, width INT, vectors BINARY, neighbours BINARY, entry INT, member_counts BINARY, members BINARY"
+    "shard INT, nodes INT, width INT, vectors BINARY, neighbours BINARY, entry INT, member_counts BINARY, ids BINARY"
 )
 FOUND = "query_id BIGINT, vec_id BIGINT, score DOUBLE"
 
@@ -127,17 +130,24 @@ def _pruned_in_parts(points, own, candidates, degree, alpha):
     return np.concatenate(parts)
 
 
-def build_graph(points, degree=DEGREE, beam=BUILD_BEAM, alpha=ALPHA, seed=7):
-    """(neighbour lists, entry) of the graph over distinct points."""
+def build_graph(points, degree=DEGREE, beam=BUILD_BEAM, alpha=ALPHA, radius=RADIUS, seed=7):
+    """(neighbour lists, entry, node of each point); only points that are their own node have edges."""
     n = len(points)
-    graph = np.full((n, degree), -1, np.int32)
+    graph, node_of = np.full((n, degree), -1, np.int32), np.arange(n)
+    near = radius * radius * float((points[0] * points[0]).sum())
     entry = int(((points - points.mean(axis=0)) ** 2).sum(axis=1).argmin())
     order = np.random.default_rng(seed).permutation(n)
     order = np.concatenate([[entry], order[order != entry]])
     done = 1
     while done < n:
         joining = order[done:done + max(1, min(done, BATCH))]
-        found, _ = beam_search(points, graph, entry, points[joining], beam)
+        done += len(joining)
+        found, far = beam_search(points, graph, entry, points[joining], beam)
+        close = far[:, 0] <= near
+        node_of[joining[close]] = found[close, 0]
+        joining, found = joining[~close], found[~close]
+        if not len(joining):
+            continue
         graph[joining] = _pruned_in_parts(points, joining, found, degree, alpha)
         sources = np.repeat(joining, degree)
         targets = graph[joining].ravel()
@@ -159,8 +169,7 @@ def build_graph(points, degree=DEGREE, beam=BUILD_BEAM, alpha=ALPHA, seed=7):
             for row, g in enumerate(group):
                 wide[row, degree:degree + count[g]] = sources[first[g]:first[g] + count[g]]
             graph[changed[group]] = _pruned_in_parts(points, changed[group], wide, degree, alpha)
-        done += len(joining)
-    return graph, entry
+    return graph, entry, node_of
 
 
 def build_index(embeddings, vector_column="embedding", shard_rows=SHARD_ROWS):
@@ -177,14 +186,17 @@ def build_index(embeddings, vector_column="embedding", shard_rows=SHARD_ROWS):
         group = group.combine_chunks()
         ids = group.column("vec_id").to_numpy()
         table = V.matrix(group.column("vector").combine_chunks(), np.float64)
-        distinct, node = np.unique(table, axis=0, return_inverse=True)
-        graph, entry = build_graph(lengthened(distinct))
-        order = np.lexsort((ids, node.ravel()))
-        counts = np.bincount(node.ravel(), minlength=len(distinct))
+        graph, entry, node_of = build_graph(lengthened(table))
+        nodes, node = np.unique(node_of, return_inverse=True)
+        number = np.full(len(table) + 1, -1, np.int32)  # the last place answers for "no neighbour"
+        number[nodes] = np.arange(len(nodes))
+        # A node's members lie together, the node's own vector first.
+        order = np.lexsort((ids, node_of != np.arange(len(table)), node))
         row = {
-            "shard": group.column("shard")[0].as_py(), "nodes": len(distinct), "width": table.shape[1],
-            "vectors": distinct.tobytes(), "neighbours": graph.tobytes(), "entry": entry,
-            "member_counts": counts.astype(np.int64).tobytes(), "members": ids[order].astype(np.int64).tobytes(),
+            "shard": group.column("shard")[0].as_py(), "nodes": len(nodes), "width": table.shape[1],
+            "vectors": table[order].tobytes(), "neighbours": number[graph[nodes]].tobytes(),
+            "entry": int(number[entry]), "member_counts": np.bincount(node).astype(np.int64).tobytes(),
+            "ids": ids[order].astype(np.int64).tobytes(),
         }
         kinds = [pa.int32()] * 3 + [pa.binary()] * 2 + [pa.int32()] + [pa.binary()] * 2
         return pa.Table.from_pylist([row], pa.schema(list(zip(row, kinds))))
@@ -198,12 +210,12 @@ def _search_shards(block, k, beam):
         for table in tables:
             for shard in table.to_pylist():
                 n, width = shard["nodes"], shard["width"]
-                vectors = np.frombuffer(shard["vectors"], np.float64).reshape(n, width)
+                vectors = np.frombuffer(shard["vectors"], np.float64).reshape(-1, width)
                 graph = np.frombuffer(shard["neighbours"], np.int32).reshape(n, -1)
                 counts = np.frombuffer(shard["member_counts"], np.int64)
-                members = np.frombuffer(shard["members"], np.int64)
+                ids = np.frombuffer(shard["ids"], np.int64)
                 starts = np.cumsum(counts) - counts
-                points = lengthened(vectors)
+                points = lengthened(vectors)[starts]
                 asked = np.zeros((len(queries), width))
                 shared = min(width, queries.shape[1])
                 asked[:, :shared] = queries[:, :shared]
@@ -211,19 +223,26 @@ def _search_shards(block, k, beam):
                     part = asked[q:q + BATCH]
                     extended = np.column_stack([part, np.zeros(len(part))]).astype(np.float32)
                     nodes, _ = beam_search(points, graph, shard["entry"], extended, max(beam, k))
-                    rows, slots = np.nonzero(nodes >= 0)
-                    node = nodes[rows, slots]
-                    scores = (vectors[node] * part[rows]).sum(axis=1)
-                    shown = np.minimum(counts[node], k + 1)  # one of them may be the query's own
-                    ids = members[np.repeat(starts[node] - np.cumsum(shown) + shown, shown) + np.arange(shown.sum())]
-                    rows, scores = np.repeat(rows, shown), np.repeat(scores, shown)
-                    other = ids != query_ids[q + rows]
-                    rows, scores, ids = rows[other], scores[other], ids[other]
-                    best = V.best_per_row(rows, scores, ids, k)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(query_ids[q + rows[best]]), pa.array(ids[best]), pa.array(scores[best])],
-                        names=["query_id", "vec_id", "score"],
-                    )
+                    held = np.where(nodes >= 0, counts[np.maximum(nodes, 0)], 0)
+                    until = np.cumsum(held.sum(axis=1))
+                    first = 0
+                    while first < len(part):
+                        met = until[first - 1] if first else 0
+                        last = max(first + 1, int(np.searchsorted(until, met + RANKED, side="right")))
+                        rows, slots = np.nonzero(nodes[first:last] >= 0)
+                        node = nodes[first:last][rows, slots]
+                        size, rows = counts[node], rows + first
+                        place = np.repeat(starts[node] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                        rows = np.repeat(rows, size)
+                        other = ids[place] != query_ids[q + rows]
+                        rows, place = rows[other], place[other]
+                        scores = (vectors[place] * part[rows]).sum(axis=1)
+                        best = V.best_per_row(rows, scores, ids[place], k)
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(query_ids[q + rows[best]]), pa.array(ids[place[best]]), pa.array(scores[best])],
+                            names=["query_id", "vec_id", "score"],
+                        )
+                        first = last
 
     return search
 
