@@ -8,11 +8,16 @@ beat the slowest register. Runs of ``BAND_ROWS`` registers are buckets: at simil
 shares none of ``BANDS`` buckets with probability 5e-5.
 
 Candidates are verified by the exact Jaccard similarity of their shingle sets. To verify a bucket
-without all of its pairs, its members are first compared with its most central member, the one that
-meets most others over all its buckets, and components are formed. Only what these comparisons leave
-open is compared further: members outside the bucket's main component with members of other
-components, unless the triangle inequality of the Jaccard distance to the centre rules a link out.
-So every candidate pair ends up in one component, or verified, or ruled out.
+without all of its pairs, its members are compared with its most central member, the one that meets
+most others over all its buckets, and components are formed; members that stay outside their
+centre's component are compared with a centre of their own in a second round. What is then still
+open is decided by edits. The edits of a text are the shingles it adds to its centre and those it
+lacks. A text y below the similarity to the centre c differs by more than (|y| + |c|) / 9 shingles,
+so another text x can only be similar to y if the two share more than
+(|edits of x| + (|c| - |x|) / 9) / 2 edits. With the edits of all texts in one order, rare ones first,
+the first shared edit must leave as many behind it in both texts, so texts are looked up by their
+rarest edits only (prefix and positional filters of exact set joins). Thus no link between texts of
+a bucket is lost, and no bucket gives all its pairs.
 
 Texts with the same words (A-Z as a-z) are copies; one of them stands for all. Null texts and texts
 without words belong to no one. Texts under five words are one shingle. Rows that share an id are
@@ -25,7 +30,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from txrisk.llm import words as W
 from txrisk.llm.components import components
@@ -34,7 +39,8 @@ from txrisk.session import written
 register_pickle_by_value(sys.modules[__name__])
 
 REGISTERS, BAND_ROWS, BANDS = 128, 5, 25
-SIMILARITY = 0.8
+SIMILARITY = 0.8  # the bounds on edits in _open_pairs hold for this value: (1 - 0.8) / (1 + 0.8) = 1 / 9
+FILTER_BITS = 1 << 25  # 4 MB, the most that maybe_among broadcasts
 ARRIVALS = 1 << 18  # drawn at once
 SKETCH = "id BIGINT, print1 BIGINT, print2 BIGINT, bands ARRAY<BIGINT>"
 SETS = "id BIGINT, size INT, shingles BINARY"
@@ -130,34 +136,121 @@ def _shingle_sets(tables):
             ], names=["id", "size", "shingles"])
 
 
-def _similarities(tables):
+def _compared(tables):
     for table in tables:
-        a, b, left, right = (table.column(i) for i in range(4))
-        found = []
-        for x, y in zip(left, right):
+        rows = table.num_rows
+        found, edits = np.empty(rows), []
+        left, right, many = table.column(2), table.column(3), table.column(4).to_pylist()
+        for row, (x, y) in enumerate(zip(left, right)):
             x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.sort(np.concatenate([x, y]))
+            both = np.concatenate([x, y])
+            both.sort()
             shared = int((both[1:] == both[:-1]).sum())
-            found.append(shared / max(1, len(both) - shared))
-        yield pa.RecordBatch.from_arrays([a, b, pa.array(found, pa.float64())], names=["a", "b", "similarity"])
+            found[row] = shared / max(1, len(both) - shared)
+            if many[row]:
+                added, lacking = np.setdiff1d(y, x, True), np.setdiff1d(x, y, True)
+                edits.append(np.concatenate([added, ~lacking]).astype(np.int64))
+            else:
+                edits.append(None)
+        yield pa.RecordBatch.from_arrays([
+            table.column(0), table.column(1), pa.array(found), pa.array([e if e is None else e.tolist() for e in edits], pa.list_(pa.int64())),
+        ], names=["a", "b", "similarity", "edits"])
 
 
-def verified(docs, pairs):
-    """(a, b, similarity) of candidate pairs, from the whole texts of both; docs are (id, text)."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = docs.join(wanted, "id", "left_semi").mapInArrow(_shingle_sets, SETS)
-    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"), F.col("size").alias("n"))
-    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"), F.col("size").alias("m"))
-    # Sets that differ in size by more than a fifth can't reach the similarity; they stop here.
-    near = F.least("n", "m") >= F.lit(SIMILARITY) * F.greatest("n", "m")
-    joined = pairs.join(right, "b").join(left, "a").where(near).select("a", "b", "x", "y")
-    return joined.mapInArrow(_similarities, "a BIGINT, b BIGINT, similarity DOUBLE")
+def maybe_among(docs, ids, bits=FILTER_BITS):
+    """The rows whose id is one of ``ids``, and few others: a filter by one broadcast bitmap.
+
+    The bitmap has a fixed size however many ids there are; with very many it lets more rows pass.
+    """
+    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
+    bitmap = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits")
+    )
+    placed = docs.withColumns({"__bucket": F.bitmap_bucket_number(place), "__at": F.bitmap_bit_position(place)})
+    byte = F.substring("__bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))
+    number = F.conv(F.hex(byte), 16, 10).cast("int")
+    hit = number.bitwiseAND(F.pow(F.lit(2), F.col("__at") % 8).cast("int")) > 0
+    return placed.join(F.broadcast(bitmap), "__bucket").where(hit).select(*docs.columns)
+
+
+def shingle_sets(docs, ids):
+    """(id, size, shingles) of the documents with these ids, stored."""
+    # An inner join, as the optimizer would pull a semi join below the filter.
+    wanted = maybe_among(docs, ids).join(ids, "id")
+    return written(wanted.mapInArrow(_shingle_sets, SETS), "shingle-sets")
+
+
+def verified(sets, pairs):
+    """(a, b, similarity, edits, size_a, size_b) of candidate pairs (a, b, many); edits where many."""
+    left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("x"))
+    right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("y"))
+    joined = pairs.join(right, "b").join(left, "a").select("a", "b", "x", "y", "many")
+    compared = joined.mapInArrow(_compared, "a BIGINT, b BIGINT, similarity DOUBLE, edits ARRAY<BIGINT>")
+    return written(compared, "compared")
+
+
+def linked(compared):
+    return compared.where(F.col("similarity") >= SIMILARITY).select(F.col("a").alias("u"), F.col("b").alias("v"))
+
+
+def _with_centre(cells):
+    """Cells (key, id) with the most central id of their key, and the number of ids."""
+    sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    shared = written(cells.join(sizes, "key"), "buckets")
+    central = shared.groupBy("id").agg(F.sum("n").alias("score"))
+    centres = shared.join(central, "id").groupBy("key").agg(
+        F.max(F.struct("score", F.col("id"))).getField("id").alias("centre")
+    )
+    return written(shared.join(centres, "key"), "starred-buckets")
+
+
+def _spokes(starred):
+    pairs = starred.where(F.col("id") != F.col("centre")).groupBy(F.col("centre").alias("a"), F.col("id").alias("b"))
+    return pairs.agg((F.max("n") > 2).alias("many"))
+
+
+def _with_roots(frame, roots, column, name):
+    found = frame.join(roots.select(F.col("node").alias(column), F.col("root").alias("__root")), column, "left")
+    return found.withColumn(name, F.coalesce("__root", column)).drop("__root")
+
+
+def _open_pairs(compared, sizes, roots):
+    """Pairs of different components under one centre that share enough edits to be similar."""
+    size_a, size_b = (sizes.select(F.col("id").alias(c), F.col("size").alias(f"size_{c}")) for c in "ab")
+    spokes = compared.where(F.col("edits").isNotNull()).join(size_a, "a").join(size_b, "b")
+    spokes = _with_roots(_with_roots(spokes, roots, "a", "root_a"), roots, "b", "root_b")
+    spokes = written(spokes.select("a", "b", "edits", "size_a", "size_b", "root_a", "root_b"), "spokes")
+    centres = spokes.where(F.col("root_a") != F.col("root_b")).select("a").distinct()
+    spread = spokes.join(centres, "a", "left_semi").withColumn("length", F.size("edits"))
+    spread = spread.select("*", F.explode("edits").alias("edit")).drop("edits")
+    # One order of edits for all texts of a centre, rare ones first; each text's places in it.
+    often = spread.groupBy("a", "edit").agg(F.count(F.lit(1)).alias("often"))
+    places = Window.partitionBy("a", "b").orderBy("often", "edit")
+    placed = spread.join(often, ["a", "edit"]).withColumn("left", F.col("length") - F.row_number().over(places) + 1)
+    placed = written(placed.select("a", "b", "edit", "left", "length", "size_a", "size_b", "root_a", "root_b"), "edits")
+    # ``left`` counts the text's edits from this one on, and so bounds what a pair that first meets
+    # here can share.
+    needed = (F.col("length") + (F.col("size_a") - F.col("size_b")) / F.lit(9.0)) / 2 - F.lit(1e-6)
+    looked = placed.where(F.col("left") >= needed).select(
+        "a", "edit", F.col("b").alias("x"), F.col("root_b").alias("root_x"), F.col("size_b").alias("size_x"),
+        F.col("left").alias("left_x"), F.col("length").alias("length_x"),
+    )
+    held = placed.where(F.col("root_a") != F.col("root_b")).select(
+        "a", "edit", F.col("b").alias("y"), F.col("root_b").alias("root_y"), F.col("size_b").alias("size_y"),
+        F.col("left").alias("left_y"), F.col("length").alias("length_y"),
+    )
+    near = F.least("size_x", "size_y") >= F.lit(SIMILARITY) * F.greatest("size_x", "size_y")
+    shared = (F.col("length_x") + F.col("length_y") - (F.col("size_x") + F.col("size_y")) / F.lit(9.0)) / 2 - F.lit(1e-6)
+    enough = F.least("left_x", "left_y") >= shared
+    met = looked.join(held, ["a", "edit"]).where((F.col("root_x") != F.col("root_y")) & near & enough)
+    pairs = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    return written(pairs.withColumn("many", F.lit(False)), "open-pairs")
 
 
 def near_duplicates(docs, id_column="doc_id", text_column="text"):
-    """(id, class_id, links): the smallest id of each document's class, and its verified links.
+    """(id, class_id, verified_links): the smallest id of each document's class, and its links.
 
-    ``links`` counts verified links to other texts; a copy has those of the text it repeats.
+    ``verified_links`` counts those links to other texts that had to be verified to find the classes.
     """
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text_column}`").alias("text"))
     rows = rows.where(F.col("id").isNotNull())
@@ -165,48 +258,18 @@ def near_duplicates(docs, id_column="doc_id", text_column="text"):
     groups = sketches.groupBy("print1", "print2").agg(F.min("id").alias("rep"), F.first("bands").alias("bands"))
     groups = written(groups, "texts")
 
-    cells = groups.select(F.col("rep").alias("id"), F.explode("bands").alias("key"))
-    sizes = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
-    shared = written(cells.join(sizes, "key"), "buckets")
-    central = shared.groupBy("id").agg(F.sum("n").alias("score"))
-    scored = shared.join(central, "id")
-    centres = scored.groupBy("key").agg(F.max(F.struct("score", F.col("id"))).getField("id").alias("centre"))
-    starred = written(shared.join(centres, "key"), "starred-buckets")
-    spokes = starred.where(F.col("id") != F.col("centre"))
-    star = spokes.select(F.col("centre").alias("a"), F.col("id").alias("b")).distinct()
-    found = written(verified(rows, star), "verified-stars")
-
-    def linked(frame):
-        return frame.where(F.col("similarity") >= SIMILARITY)
-
-    roots = components(linked(found).select(F.col("a").alias("u"), F.col("b").alias("v")))
-    place = F.coalesce("root", "id")
-    distance = F.when(F.col("id") == F.col("centre"), 0.0).otherwise(1.0 - F.col("similarity"))
-    placed = (
-        starred.where(F.col("n") > 2)
-        .join(roots.withColumnRenamed("node", "id"), "id", "left")
-        .join(found.select(F.col("a").alias("centre"), F.col("b").alias("id"), "similarity"), ["centre", "id"], "left")
-        .select("key", "id", place.alias("root"), distance.alias("far"))
-    )
-    parts = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("held"))
-    mains = parts.groupBy("key").agg(
-        F.count(F.lit(1)).alias("parts"), F.max(F.struct("held", "root")).getField("root").alias("main")
-    ).where(F.col("parts") > 1).select("key", "main")
-    placed = written(placed.join(mains, "key"), "open-buckets")
-    outside = placed.where((F.col("root") != F.col("main")) & (F.coalesce("far", F.lit(0.5)) > 0)).select(
-        "key", F.col("id").alias("a"), F.col("root").alias("root_a"), F.col("far").alias("far_a")
-    )
-    # A missing distance means that the sizes alone kept the member from its centre.
-    apart = F.coalesce(F.abs(F.col("far") - F.col("far_a")), F.lit(0.0)) <= 1.0 - SIMILARITY + 1e-9
-    rest = outside.join(placed, "key").where(
-        (F.col("root") != F.col("root_a")) & ((F.col("root") == F.col("main")) | (F.col("a") < F.col("id"))) & apart
-        & (F.coalesce("far", F.lit(0.5)) > 0)
-    )
-    rest = rest.select(F.least("a", "id").alias("a"), F.greatest("a", "id").alias("b")).distinct()
-    more = written(verified(rows, written(rest, "open-pairs")), "verified-rest")
+    starred = _with_centre(groups.select(F.col("rep").alias("id"), F.explode("bands").alias("key")).distinct())
+    sets = shingle_sets(rows, starred.select("id").distinct())
+    first = verified(sets, _spokes(starred))
+    roots = components(linked(first))
+    placed = _with_roots(_with_roots(starred.where(F.col("n") > 2), roots, "id", "own"), roots, "centre", "main")
+    again = _with_centre(placed.where(F.col("own") != F.col("main")).select("key", "id"))
+    second = verified(sets, _spokes(again).withColumn("many", F.lit(False)))
+    links = linked(first).unionByName(linked(second))
+    sizes = sets.groupBy("id").agg(F.max("size").alias("size"))
+    third = verified(sets, _open_pairs(first, sizes, components(links)))
 
-    links = linked(found.unionByName(more)).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    links = written(links, "links")
+    links = written(links.unionByName(linked(third)).distinct(), "links")
     copies = sketches.join(groups.drop("bands"), ["print1", "print2"]).select("id", "rep").distinct()
     copies = written(copies, "copies")
     many = copies.where(F.col("id") != F.col("rep")).select(F.col("id").alias("u"), F.col("rep").alias("v"))
@@ -218,5 +281,5 @@ def near_duplicates(docs, id_column="doc_id", text_column="text"):
     classes = classes.join(degree_of.select("id", "links"), "id", "left")
     return classes.select(
         F.col("id").alias(id_column), F.coalesce("root", "id").alias("class_id"),
-        F.coalesce("links", F.lit(0)).cast("bigint").alias("links"),
+        F.coalesce("links", F.lit(0)).cast("bigint").alias("verified_links"),
     )
