@@ -6,9 +6,9 @@ Gates are hard (clipped straight lines), the candidate state is a tanh. Training
 backpropagation through time over windows of ``WINDOW`` bytes, with Adam, all languages equally
 often.
 
-The network learns from a bounded sample: per language the ``DOCS_PER_LANGUAGE`` labelled documents
-with the smallest text hash, and of each one stretch of ``STRETCH`` characters. Prediction reads
-every byte of every text and looks at nothing but the text.
+The network learns from a bounded sample: per language up to ``DOCS_PER_LANGUAGE`` different labelled
+texts, those with the smallest hashes, and of each one stretch of ``STRETCH`` characters. Prediction
+reads every byte of every text and looks at nothing but the text.
 
 Null texts and texts without a letter are ``und`` with score 0, and so is everything when there is
 no labelled document to learn from. Rows with a null text or language are not learned from.
@@ -188,14 +188,22 @@ def train_network(stretches, labels, languages, steps=STEPS, batch=BATCH, rate=R
 def fit(labelled, text_column="text", lang_column="lang", docs_per_language=DOCS_PER_LANGUAGE):
     """(languages, network) from a bounded sample of labelled rows; (empty, None) without any."""
     text, lang = F.col(f"`{text_column}`"), F.col(f"`{lang_column}`")
-    known = labelled.where(text.isNotNull() & lang.isNotNull() & (F.length(text) > 0))
-    hashed = known.select(lang.cast("string").alias("lang"), text.alias("text"), F.xxhash64(text).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
+    known = labelled.where(text.isNotNull() & lang.isNotNull() & (text != "")).select(
+        lang.cast("string").alias("lang"), text.alias("text")
+    )
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))
+    # About three times the wanted share of each language's hashes, whatever its size; the exact
+    # number is taken from these few. Copies have one hash and fold in the map tasks.
+    place = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
     start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
-    picked = (
-        hashed.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
-        .select("lang", "n", F.substring("text", start, F.lit(STRETCH)).alias("stretch"))
+    drawn = (
+        known.withColumn("h", F.xxhash64("text")).join(counts, "lang")
+        .where(place * F.col("held") < 3.0 * docs_per_language)
+        .groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(STRETCH))).alias("stretch"))
     )
+    order = Window.partitionBy("lang").orderBy("h")
+    picked = drawn.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
+    picked = picked.select("lang", "n", "stretch")
     rows = sorted(picked.toArrow().to_pylist(), key=lambda r: (r["lang"], r["n"]))
     languages = sorted({r["lang"] for r in rows})
     if not languages:
