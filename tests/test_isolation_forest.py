@@ -69,7 +69,7 @@ def test_fit_does_not_depend_on_partitioning(spark, fitted):
 
 def test_scores_equal_a_walk_by_hand(spark, fitted):
     rows, nodes = fitted
-    scorer = forest.ForestScorer(nodes, trees=50)
+    scorer = forest.ForestScorer(nodes)
     scored = rows.withColumn("s", scorer.score(*COLUMNS)).orderBy("transaction_id").limit(40).collect()
     table = {(r["tree"], r["node"]): r for r in nodes.collect()}
 
@@ -91,21 +91,30 @@ def test_small_inputs_use_all_rows(spark):
     nodes = forest.fit_forest(grid(spark, 30), trees=5, columns=COLUMNS)
     assert {r[0] for r in nodes.select("sample_size").collect()} == {30}
     assert {r[0] for r in nodes.select("tree").collect()} == set(range(5))
-    one = forest.ForestScorer(forest.fit_forest(grid(spark, 1), trees=5, columns=COLUMNS), trees=5)
+    one = forest.ForestScorer(forest.fit_forest(grid(spark, 1), trees=5, columns=COLUMNS))
     assert not math.isnan(grid(spark, 1).select(one.score(*COLUMNS)).first()[0])
 
 
 def test_dealt_rows_are_bounded(spark):
     for n in (500, 5_000, 60_000):
-        dealt = forest.tree_samples(grid(spark, n), n, 200, 256, 1).count()
-        assert dealt <= 4 * 200 * 256 + n
+        dealt = forest.tree_rows(grid(spark, n), 200, 256).count()
+        assert dealt <= 1.1 * 4 * 200 * 256
+
+
+def test_fit_funnels_nothing_through_one_task(spark):
+    nodes = forest.fit_forest(grid(spark, 3000), trees=5, columns=COLUMNS)
+    text = nodes._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" not in text and "CollectLimit" not in text
+
+
+def test_sizes_other_than_the_defaults_reload(spark):
+    nodes = forest.fit_forest(grid(spark, 3000), trees=3, sample_size=1000, columns=COLUMNS)
+    assert forest.ForestScorer(nodes).depth == 10
 
 
 def test_guards(spark, fitted):
     _, nodes = fitted
-    with pytest.raises(ValueError):
-        forest.fit_forest(grid(spark, 10), max_rows=0, columns=COLUMNS)
     with pytest.raises(ValueError):
         forest.fit_forest(grid(spark, 10).where("false"), columns=COLUMNS)
     with pytest.raises(ValueError, match="nodes"):
-        forest.ForestScorer(nodes, trees=2)
+        forest.ForestScorer(nodes, max_nodes=10)

@@ -18,7 +18,7 @@ def test_labels_and_prepare(spark, views, tmp_path, capsys):
         "prepare", "--transactions", as_csv(views.raw, "raw"), "--labels", str(tmp_path / "labels"),
         "--output", str(tmp_path / "clean"), "--labeled-output", str(tmp_path / "labeled"),
     ])
-    assert printed(capsys)["clean_profile"]["labeled_transaction_count"] == views.labeled.count()
+    assert printed(capsys)["tables"]["labeled"]["rows"] == views.labeled.count()
 
 
 def test_stream_of_files(spark, tmp_path, capsys):
@@ -30,6 +30,10 @@ def test_stream_of_files(spark, tmp_path, capsys):
         "--checkpoint", str(tmp_path / "progress"), "--threshold", "500", "--once",
     ])
     assert printed(capsys) == {"stopped": "amount"}
+    main(["feed", "--alert-path", str(tmp_path / "out" / "alerts")])
+    shown = printed(capsys)
+    assert shown["status"]["total_alerts"] == 1 and shown["status"]["threshold"] == 500.0
+    assert [a["transactionId"] for a in shown["alerts"]] == ["a"]
     alerts = spark.read.parquet(str(tmp_path / "out" / "alerts")).collect()
     assert [(a["transactionId"], a["threshold"]) for a in alerts] == [("a", 500.0)]
     assert spark.read.parquet(str(tmp_path / "out" / "dead_letters")).count() == 1

@@ -100,14 +100,26 @@ def test_split_arguments(spark):
         with pytest.raises(ValueError):
             sampling.split(df, fraction)
     with pytest.raises(ValueError):
-        sampling.cap_rows(df, 10, 0)
+        sampling.cap_rows(df, 0)
     with pytest.raises(ValueError):
-        sampling.undersample(df, 0, 5)
+        sampling.undersample(df.withColumn("class", F.lit(0)), ratio=0)
     with pytest.raises(ValueError):
-        sampling.undersample(df, 5, 5, ratio=0)
-    with pytest.raises(ValueError):
-        sampling.bounded_sample(df, 10, 0)
-    assert sampling.cap_rows(df, 10, 10) is df
+        sampling.tree_rows(df, 0)
+    assert sampling.cap_rows(df, 10).count() == 10
+    assert sampling.undersample(df.withColumn("class", F.lit(0))).count() == 0
+    assert sampling.undersample(df.withColumn("class", F.lit(1))).count() == 10
+
+
+def test_shares_far_below_a_millionth_can_be_told(spark):
+    from txrisk.functions.hashing import FINE, hash_share, share_bound, xxhash_bucket, xxhash_place
+
+    bounds = spark.range(1).select(share_bound(1e-9).alias("a"), share_bound(2e-9).alias("b"), share_bound(0.8).alias("c"))
+    a, b, c = bounds.first()
+    assert 0 < a < b and a == pytest.approx(1e-9 * 1_000_000 * FINE, rel=1e-3) and c == 800_000 * FINE
+    ids = spark.range(300_000)
+    assert ids.where(hash_share("id", 42, 0.8) != (xxhash_bucket("id", 42) < 800_000)).count() == 0
+    few = ids.where(hash_share("id", 7, 1e-4)).select(xxhash_place("id", 7).alias("p"))
+    assert 10 < few.count() < 60 and few.where(F.col("p") >= share_bound(1e-4)).count() == 0
 
 
 def test_split_is_a_partition_and_repeatable(spark):
@@ -126,19 +138,29 @@ def test_undersampling_keeps_all_fraud(spark):
     df = spark.range(10_000).select(
         F.col("id").alias("transaction_id"), (F.col("id") % 100 == 0).cast("int").alias("class")
     )
-    counts = {r["class"]: r["count"] for r in sampling.undersample(df, 9900, 100).groupBy("class").count().collect()}
+    counts = {r["class"]: r["count"] for r in sampling.undersample(df).groupBy("class").count().collect()}
     assert counts[1] == 100 and 850 < counts[0] < 1150
 
 
-def test_bounded_sample_is_bounded_and_uses_all_of_the_train_pool(spark):
-    df = spark.range(50_000).withColumnRenamed("id", "transaction_id")
-    train = sampling.three_way_split(df)["train"]
-    sample = sampling.bounded_sample(train, train.count(), 2_000)
-    assert 1_800 < sample.count() <= 2_000
-    from txrisk.functions.hashing import xxhash_bucket
+def test_tree_rows_come_from_the_whole_table(spark):
+    df = spark.range(200_000).withColumnRenamed("id", "transaction_id")
+    dealt = sampling.tree_rows(df, 20, 256)
+    sizes = dealt.groupBy("tree").agg(F.count("*"), F.min("transaction_id"), F.max("transaction_id")).collect()
+    assert len(sizes) == 20 and all(850 < r[1] < 1200 and r[2] < 4_000 and r[3] > 196_000 for r in sizes)
+    assert sampling.tree_rows(df.limit(30), 4, 256).count() == 120
 
-    top = sample.agg(F.max(xxhash_bucket("transaction_id", 42))).first()[0]
-    assert top > 700_000  # not only low split buckets
+
+def test_tree_samples_spread_when_all_rows_share_a_bucket(spark):
+    from txrisk.functions.hashing import FINE, xxhash_place
+
+    def one_bucket(key, seed):
+        return xxhash_place(key, seed) % F.lit(FINE) + F.lit(5 * FINE)
+
+    df = spark.range(20_000).withColumnRenamed("id", "transaction_id")
+    dealt = sampling.tree_rows(df, 3, 256, place=one_bucket)
+    for tree in range(3):
+        ids = [r[0] for r in dealt.where(F.col("tree") == tree).orderBy("draw").limit(256).select("transaction_id").collect()]
+        assert len(ids) == 256 and min(ids) < 500 and max(ids) > 19_500 and 8_500 < sum(ids) / 256 < 11_500
 
 
 def scored_frame(spark, rows):
@@ -151,7 +173,7 @@ def test_area_under_pr_is_mllibs(spark, rows):
     if not any(c for _, c in rows):
         rows = [*rows, (0.5, 1)]
     df = scored_frame(spark, rows)
-    ours = metrics.area_under_pr(df, "score", block_rows=5).first()["pr_auc"]
+    ours = metrics.area_under_pr(df, "score", digits=1).first()["pr_auc"]
     theirs = BinaryClassificationEvaluator(
         rawPredictionCol="score", labelCol="class", metricName="areaUnderPR", numBins=0
     ).evaluate(df)

@@ -70,7 +70,7 @@ def test_label_map_without_pairs_or_yes_is_refused(spark, tmp_path, text):
 
 def test_missing_or_broken_selection_is_empty(spark, tmp_path):
     assert readers.read_selection(spark, str(tmp_path)) == {}
-    broken = tmp_path / "metadata" / "phase4_summary.json"
+    broken = tmp_path / "metadata" / "evaluation.json"
     broken.parent.mkdir()
     broken.write_text("{", encoding="utf-8")
     assert readers.read_selection(spark, str(tmp_path)) == {}
@@ -78,7 +78,7 @@ def test_missing_or_broken_selection_is_empty(spark, tmp_path):
 
 def test_report_round_trip(spark, tmp_path):
     report = {"selection": {"recommended_model": "rf_none", "thresholds_by_model": {"rf_none": 0.2}}}
-    writers.write_report(spark, report, str(tmp_path / "metadata" / "phase4_summary.json"))
+    writers.write_report(spark, report, str(tmp_path / "metadata" / "evaluation.json"))
     assert readers.read_selection(spark, str(tmp_path)) == report["selection"]
 
 
@@ -104,16 +104,28 @@ def test_scratch_follows_the_session_setting(spark):
     assert kept.columns == ["id", "k"] and kept.count() == 5
 
 
-def test_scratch_without_a_setting_is_a_temporary_folder():
+def bare_session(at):
     class Bare:
         class conf:
             get = staticmethod(lambda key, default: default)
 
         class sparkContext:
-            applicationId = "app"
+            applicationId, master = "app", at
 
-    first, second = scratch_path(Bare, "x"), scratch_path(Bare, "x")
+    return Bare
+
+
+def test_scratch_without_a_setting():
+    first, second = scratch_path(bare_session("local[2]"), "x"), scratch_path(bare_session("local[2]"), "x")
     assert first != second and first.rsplit("/", 1)[0] == second.rsplit("/", 1)[0]
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+            scratch_path(bare_session(master), "x")
+
+
+def test_a_large_table_is_no_result_table(spark, tmp_path):
+    with pytest.raises(ValueError, match="one file"):
+        writers.write_result_table(spark.range(11), str(tmp_path / "x.csv"), most_rows=10)
 
 
 def test_required_columns():

@@ -1,11 +1,13 @@
 """The workflows end to end, each on what the one before stored."""
 
+import pathlib
+
 import pytest
 from pyspark.sql import functions as F
 
 from txrisk.catalog.tables import as_csv
 from txrisk.operators import classifiers, features, isolation_forest
-from txrisk.plans import charts, evaluate, predict, prepare, train, verify
+from txrisk.plans import charts, evaluate, predict, prepare, review, train, verify
 from txrisk.schemas import RESULT_TABLES
 from txrisk.sources import model_store, readers
 
@@ -38,13 +40,15 @@ def evaluated(spark, trained, base):
 
 
 def test_prepare(spark, views, prepared, base):
-    clean, raw = prepared["clean_profile"], prepared["raw_profile"]
-    assert raw["row_count"] == views.raw.count() and raw["column_count"] == 12
-    assert clean["clean_transaction_count"] == spark.read.parquet(f"{base}/clean").count() == views.clean.count()
-    assert clean["labeled_transaction_count"] == views.labeled.count()
-    assert sum(c["count"] for c in clean["class_distribution"].values()) == clean["labeled_transaction_count"]
-    assert clean["dropped_invalid_or_duplicate_transactions"] == raw["row_count"] - clean["clean_transaction_count"]
-    assert readers.read_report(spark, f"{base}/prepare.json")["raw_profile"] == raw
+    tables = prepared["tables"]
+    assert tables["raw"]["rows"] == views.raw.count() and tables["raw"]["columns"] == 12
+    assert tables["clean"]["rows"] == spark.read.parquet(f"{base}/clean").count() == views.clean.count()
+    assert tables["labeled"]["rows"] == views.labeled.count() == sum(c["count"] for c in prepared["classes"])
+    assert tables["clean"]["left_out"] == tables["raw"]["rows"] - tables["clean"]["rows"]
+    assert readers.read_report(spark, f"{base}/prepare.json")["tables"] == tables
+    years = spark.read.parquet(f"{base}/labeled").select("transaction_year").distinct().count()
+    files = len(list(pathlib.Path(f"{base}/labeled").glob("transaction_year=*/*.parquet")))
+    assert files == years  # one file a year, however many tasks wrote them
     stored = spark.read.parquet(f"{base}/labeled").select(*views.labeled.columns)
     assert stored.exceptAll(views.labeled).count() == 0
 
@@ -58,20 +62,19 @@ def test_prepare_from_label_map(spark, views, base, prepared, tmp_path):
         spark, as_csv(views.raw, "raw"), str(tmp_path / "labels.json"), str(tmp_path / "clean"),
         str(tmp_path / "labeled"), label_format="json",
     )
-    assert again["clean_profile"]["class_distribution"] == prepared["clean_profile"]["class_distribution"]
+    assert again["classes"] == prepared["classes"]
 
 
 def test_train(spark, trained, prepared, base):
-    splits = trained["split"]
-    total = sum(splits[name]["total"] for name in train.SPLITS)
-    assert total == prepared["clean_profile"]["labeled_transaction_count"]
-    assert sum(splits["actual_fractions"].values()) == pytest.approx(1.0, abs=1e-6)
-    weights = trained["supervised_training"]["class_weights"]
-    assert weights["1"] > 1 > weights["0"]
-    names = trained["features"]["names"]
-    assert len(names) == trained["features"]["count"]
+    splits = trained["splits"]
+    total = sum(c["rows"] for part in splits for c in part["classes"])
+    assert total == prepared["tables"]["labeled"]["rows"]
+    assert sum(part["share"] for part in splits) == pytest.approx(1.0, abs=1e-6)
+    weights = {c["class"]: c["weight"] for c in trained["balancing"]["capped"]}
+    assert weights[1] > 1 > weights[0]
+    names = trained["preprocessor"]["vector"]
     assert not any(n.startswith(("class", "transaction_id", "client", "card", "merchant_id")) for n in names)
-    assert set(trained["training_seconds"]) == {*classifiers.MODELS, "isolation_forest"}
+    assert {fit["slug"] for fit in trained["fits"]} == {*classifiers.MODELS, "isolation_forest"}
 
 
 def test_preprocessor_saw_training_rows_only(spark, trained, base):
@@ -120,17 +123,19 @@ def test_score_all_equals_one_by_one(spark, trained, base):
 
 
 def test_evaluate_and_verify(spark, evaluated, base):
-    assert {r["slug"] for r in evaluated["model_comparison"]} == {*classifiers.MODELS, "isolation_forest"}
-    checked = verify.verify_evaluation(spark, readers.read_report(spark, f"{base}/models/metadata/phase4_summary.json"))
-    rows = evaluated["evaluation_scope"]["rows"]
+    assert {r["slug"] for r in evaluated["models"]} == {*classifiers.MODELS, "isolation_forest"}
+    checked = verify.verify_evaluation(spark, readers.read_report(spark, f"{base}/models/metadata/evaluation.json"))
+    rows = evaluated["rows"]["test"]
     assert all(c["rows"] == rows for c in checked.values())
     for name in ("model_comparison", "imbalance_experiments", "confusion_matrices", "threshold_analysis", "rf_feature_importance"):
         table = spark.read.csv(f"{base}/results/{name}.csv", header=True)
         assert tuple(table.columns) == RESULT_TABLES[name] and table.count() > 0
     assert spark.read.csv(f"{base}/results/imbalance_experiments.csv", header=True).count() == 5
     broken = {**evaluated, "selection": {**evaluated["selection"], "recommended_model": "isolation_forest"}}
-    with pytest.raises(RuntimeError):
+    broken["selection"]["thresholds_by_model"] = {**evaluated["selection"]["thresholds_by_model"], "lr_none": 1.5}
+    with pytest.raises(RuntimeError) as raised:  # all of it is told at once
         verify.verify_evaluation(spark, broken)
+    assert "recommended" in str(raised.value) and "lr_none: the threshold lies in [0, 1]" in str(raised.value)
 
 
 def test_all_models_reload(spark, trained, base):
@@ -140,7 +145,14 @@ def test_all_models_reload(spark, trained, base):
 
 def test_charts(spark, evaluated, base):
     slug = evaluated["selection"]["recommended_model"]
-    report = charts.charts(spark, f"{base}/labeled", f"{base}/predictions", f"{base}/results", slug)
+    report = charts.charts(
+        spark, f"{base}/labeled", f"{base}/predictions", f"{base}/results", slug,
+        importance_path=f"{base}/results/rf_feature_importance.csv",
+    )
+    assert {"confusion_matrix", "top_features"} <= set(report["tables"])
+    seen = review.review(spark, f"{base}/predictions", slug, minimum=0.1, rows=5)
+    assert len(seen["rows"]) <= 5 and seen["summary"]["suspicious"] >= len(seen["rows"])
+    assert len(review.preview(spark, f"{base}/labeled", 3)) == 3
     assert report["top_suspicious_rows"] <= 20
     for name in report["tables"]:
         table = spark.read.csv(f"{base}/results/{name}.csv", header=True)
@@ -161,17 +173,17 @@ def test_predict_new_rows(spark, evaluated, views, base, tmp_path):
     report = predict.predict(
         spark, as_csv(new, "new"), f"{base}/new", f"{base}/models", report=f"{base}/new.json", export=f"{base}/new_csv"
     )
-    assert report["input_rows"] == new.count() > 0
-    assert report["model"] == evaluated["selection"]["recommended_model"]
-    assert report["threshold"] == evaluated["selection"]["recommended_threshold"]
+    assert report["rows"]["scored"] == new.count() > 0
+    chosen = evaluated["selection"]
+    assert report["scored_by"] == {"model": chosen["recommended_model"], "threshold": chosen["recommended_threshold"]}
     export = spark.read.csv(f"{base}/new_csv", header=True, inferSchema=True)
     scores = [r["fraud_probability"] for r in export.collect()]
-    assert len(scores) == report["input_rows"] and scores == sorted(scores, reverse=True)
-    charts.charts(spark, f"{base}/labeled", f"{base}/predictions", f"{base}/results", report["model"])
+    assert len(scores) == report["rows"]["scored"] and scores == sorted(scores, reverse=True)
+    charts.charts(spark, f"{base}/labeled", f"{base}/predictions", f"{base}/results", report["scored_by"]["model"])
     final = verify.verify_final(
         spark, f"{base}/new", f"{base}/predictions/suspicious_transactions", readers.read_report(spark, f"{base}/new.json")
     )
-    assert final["new_prediction"]["rows"] == report["input_rows"]
+    assert final["new_prediction"]["rows"] == report["rows"]["scored"]
     for bad in ({"model": "nope"}, {"threshold": 1.5}):
         with pytest.raises(ValueError):
             predict.predict(spark, as_csv(new, "new"), f"{base}/x", f"{base}/models", **bad)

@@ -29,32 +29,56 @@ class Fitted:
         balancing = classifiers.model_spec(slug).balancing
         if balancing == "None":
             return self.train
-        rows = {r["class"]: r for r in sampling.class_weights(self.splits["train"]).collect()}
         if balancing == "Class Weight":
+            rows = {r["class"]: r for r in sampling.class_weights(self.splits["train"]).collect()}
             return sampling.with_class_weight(self.train, rows[0]["weight"], rows[1]["weight"])
-        thinned = sampling.undersample(self.splits["train"], rows[0]["rows"], rows[1]["rows"])
-        return self.preprocessor.transform(thinned)
+        return self.preprocessor.transform(sampling.undersample(self.splits["train"]))
 
     def fit(self, slug):
-        rows = self.training_rows(slug).persist()
-        model, _ = classifiers.timed_fit(classifiers.estimator_for(slug), rows)
-        rows.unpersist()
-        return model
+        rows = written(self.training_rows(slug), "training-vectors")
+        return classifiers.timed_fit(classifiers.estimator_for(slug), rows)[0]
+
+
+def _recomputed(slug, model, rows):
+    """``rows`` with the fraud probability worked out from the coefficients, or tree by tree."""
+    if not classifiers.MODELS[slug].is_forest:
+        weights = F.lit(model.coefficients.toArray().tolist())
+        terms = F.zip_with(vector_to_array("features"), weights, lambda x, w: x * w)
+        margin = F.aggregate(terms, F.lit(model.intercept), lambda total, term: total + term)
+        return rows.withColumn("again", 1.0 / (1.0 + F.exp(-margin)))
+    for i, tree in enumerate(model.trees):
+        own = tree.copy().setProbabilityCol(f"t{i}").setRawPredictionCol("").setPredictionCol("")
+        rows = own.transform(rows)
+    shares = [vector_to_array(f"t{i}")[1] for i in range(len(model.trees))]
+    return rows.withColumn("again", sum(shares[1:], shares[0]) / len(shares))
 
 
 def _scores(slug):
     def run(v):
         fitted = Fitted(v)
-        return classifiers.score_all({slug: fitted.fit(slug)}, fitted.test, "class")
+        model = fitted.fit(slug)
+        again = _recomputed(slug, model, fitted.test).select("transaction_id", "again")
+        p = F.col("fraud_probability")
+        scored = classifiers.score_all({slug: model}, fitted.test, "class").join(again, "transaction_id")
+        return scored.select(
+            "slug", "transaction_id", "class", (p.between(0, 1) & (F.abs(p - F.col("again")) < 1e-9)).alias("sound")
+        )
 
     return run
 
 
-query("ml_11_logistic_regression")(_scores("lr_none"))
-query("ml_12_logistic_regression_weighted")(_scores("lr_class_weight"))
-query("ml_13_random_forest")(_scores("rf_none"))
-query("ml_14_random_forest_weighted")(_scores("rf_class_weight"))
-query("ml_15_random_forest_undersampled")(_scores("rf_undersampling"))
+def _expected_scores(slug):
+    return f"SELECT '{slug}' AS slug, transaction_id, class, true AS sound FROM test_rows"
+
+
+for _name, _slug in (
+    ("ml_11_logistic_regression", "lr_none"),
+    ("ml_12_logistic_regression_weighted", "lr_class_weight"),
+    ("ml_13_random_forest", "rf_none"),
+    ("ml_14_random_forest_weighted", "rf_class_weight"),
+    ("ml_15_random_forest_undersampled", "rf_undersampling"),
+):
+    query(_name, _expected_scores(_slug))(_scores(_slug))
 
 
 def _entries(vectors, column):
@@ -119,26 +143,48 @@ def _(v):
     return v.spark.createDataFrame(list(enumerate(names)), "position INT, name STRING")
 
 
-@query("agg_28_feature_importance")
+@query(
+    "agg_28_feature_importance",
+    """SELECT 'rf_undersampling' AS slug, 8 + sum(width)::BIGINT AS features, true AS sound FROM category_starts""",
+)
 def _(v):
     fitted = Fitted(v)
-    model = fitted.fit("rf_undersampling")
-    return classifiers.feature_importance(
-        v.spark, "rf_undersampling", model, features.feature_names(fitted.train)
+    found = classifiers.feature_importance(
+        v.spark, "rf_undersampling", fitted.fit("rf_undersampling"), features.feature_names(fitted.train)
     )
+    whole = (F.min("importance") >= 0) & (F.abs(F.sum("importance") - 1.0) < 1e-9)
+    return found.groupBy("slug").agg(F.count_distinct("feature").alias("features"), whole.alias("sound"))
 
 
-@query("ml_17_isolation_forest_fit")
+@query(
+    "ml_17_isolation_forest_fit",
+    """SELECT tree::INTEGER AS tree, least(256, (SELECT count(*) FROM train_rows))::INTEGER AS sample_size, true AS sound
+       FROM range(200) AS t(tree)""",
+)
 def _(v):
-    return isolation_forest.fit_forest(features.training_features(v.splits["train"]))
+    """Each tree has a full sample; every inner node has two children, every node but one a parent."""
+    nodes = written(isolation_forest.fit_forest(features.training_features(v.splits["train"])), "forest")
+    inner = F.col("feature") >= 0
+    children = F.flatten(F.collect_list(F.when(inner, F.array("left", "right"))))
+    shapes = nodes.groupBy("tree").agg(
+        F.max("sample_size").alias("sample_size"), F.count(F.lit(1)).alias("nodes"), children.alias("children"),
+        F.count_if(~inner & (F.col("path") >= 0)).alias("leaves"),
+    )
+    each_once = F.sort_array("children") == F.sequence(F.lit(1), F.col("nodes").cast("int") - 1)
+    return shapes.select("tree", "sample_size", (each_once & (F.col("leaves") * 2 == F.col("nodes") + 1)).alias("sound"))
 
 
-@query("ml_18_isolation_forest_score")
+@query(
+    "ml_18_isolation_forest_score",
+    "SELECT transaction_id, class, true AS sound FROM test_rows",
+)
 def _(v):
     splits = {name: features.training_features(df) for name, df in v.splits.items()}
     nodes = written(isolation_forest.fit_forest(splits["train"]), "forest")
-    scorer = isolation_forest.ForestScorer(nodes)
-    return isolation_forest.score_forest(scorer, splits["test"], "class")
+    scored = isolation_forest.score_forest(isolation_forest.ForestScorer(nodes), splits["test"], "class")
+    score = F.col("anomaly_score")
+    decided = (score > 0) == (F.col("prediction") == 1)
+    return scored.select("transaction_id", "class", (score.between(-0.5, 0.5) & decided).alias("sound"))
 
 
 @query(

@@ -4,7 +4,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from txrisk.catalog.registry import query, rounded
-from txrisk.catalog.sql import md5_bucket as md5_sql
+from txrisk.catalog.sql import md5_bucket as md5_sql, md5_place as place_sql, share_bound
 from txrisk.catalog.views import FixedModel
 from txrisk.functions import alerts, calendar, hashing, scoring, text
 from txrisk.operators import audits, cleaning, features, metrics, reports, sampling
@@ -274,15 +274,10 @@ def _(v):
         UNION ALL
         SELECT transaction_id, class FROM train_rows, (
           SELECT count(*) FILTER (class = 0) AS normal, count(*) FILTER (class = 1) AS fraud FROM train_rows)
-        WHERE class = 0 AND {md5_sql('transaction_id', 44)}
-              < greatest(1, least(1000000, floor(1000000 * least(normal, fraud * 10) / normal)))""",
+        WHERE class = 0 AND {place_sql('transaction_id', 44)} < {share_bound('least(1.0::DOUBLE, fraud * 10.0::DOUBLE / normal)')}""",
 )
 def _(v):
-    rows = {r["class"]: r["rows"] for r in sampling.class_weights(v.splits["train"]).collect()}
-    thinned = sampling.undersample(
-        v.splits["train"], rows[0], rows[1], bucket=hashing.md5_bucket
-    )
-    return thinned.select("transaction_id", "class")
+    return sampling.undersample(v.splits["train"], place=hashing.md5_place).select("transaction_id", "class")
 
 
 @query(
@@ -522,10 +517,15 @@ def _(v):
     )
 
 
-@query("fn_22_detected_at", "SELECT event_id, true AS is_now FROM events")
+@query(
+    "fn_22_detected_at",
+    """SELECT event_id, true AS is_now, left(strftime(ts, '%Y-%m-%dT%H:%M:%S.%f'), 23) || 'Z' AS stamp FROM events""",
+)
 def _(v):
     age = F.unix_timestamp() - F.unix_timestamp(F.to_timestamp(alerts.detected_at()))
-    return v.table("events").select("event_id", age.between(-60, 60).alias("is_now"))
+    return v.table("events").select(
+        "event_id", age.between(-60, 60).alias("is_now"), alerts.detected_at(F.col("ts")).alias("stamp")
+    )
 
 
 @query(

@@ -10,6 +10,16 @@ def md5_bucket(key, seed):
     return f"(('0x' || substr(md5({key} || ':{seed}'), 1, 8))::UBIGINT % 1000000)"
 
 
+def md5_place(key, seed):
+    """Bucket and place inside it; ``seed`` may hold SQL that goes on with the text."""
+    fine = f"('0x' || substr(md5({key} || ':{seed}'), 9, 10))::HUGEINT"
+    return f"({md5_bucket(key, seed)}::HUGEINT * 1099511627776 + {fine})"
+
+
+def share_bound(share):
+    return f"floor(({share})::DOUBLE * 1099511627776000000.0)"
+
+
 def doubles(values):
     return ", ".join(f"({v!r}::DOUBLE)" for v in values)
 

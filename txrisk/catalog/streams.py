@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from txrisk.catalog.registry import query
+from txrisk.functions.text import iso_timestamp
 from txrisk.operators.isolation_forest import ForestScorer, fit_forest
 from txrisk.operators.reports import latest_alerts
 from txrisk.session import scratch_path, written
-from txrisk.streaming import endpoints, jobs, rules
+from txrisk.streaming import endpoints, feed, jobs, rules
 
 ALERT = '"transactionId", "accountId", amount, currency, threshold, status, reason'
 
@@ -17,10 +18,10 @@ def _records(v):
     return v.records(endpoints.table_source(v.spark, f"{v.folder}/events.parquet*", schema))
 
 
-def _run(v, stream, name):
+def _run(v, stream, name, *partition_columns):
     """Runs a stream to the end of its source and returns what it stored."""
     out = scratch_path(v.spark, name)
-    endpoints.to_table(stream, out, f"{out}-progress", once=True).awaitTermination()
+    endpoints.to_table(stream, out, f"{out}-progress", True, *partition_columns).awaitTermination()
     return v.spark.read.parquet(out)
 
 
@@ -65,9 +66,19 @@ def _(v):
     )
 
 
-@query("str_04_anomaly_stream")
+def _agreement(v, forest, alerts):
+    """(transactionId, agrees): whether just the events that a batch pass finds odd have an alert."""
+    scored = rules.stream_features(rules.parsed(v.event_records)).withColumn("score", forest.score())
+    joined = scored.select("transactionId", "score").join(
+        alerts.select("transactionId", F.lit(True).alias("alerted")), "transactionId", "left"
+    )
+    return joined.select("transactionId", (F.col("alerted").isNotNull() == (F.col("score") > 0)).alias("agrees"))
+
+
+@query("str_04_anomaly_stream", 'SELECT "transactionId", true AS agrees FROM stream_events')
 def _(v):
-    return _run(v, rules.anomaly_alerts(_records(v), _forest(v), minimum=0.0), "anomalies")
+    forest = _forest(v)
+    return _agreement(v, forest, _run(v, rules.anomaly_alerts(_records(v), forest, minimum=0.0), "anomalies"))
 
 
 @query(
@@ -86,10 +97,12 @@ def _(v):
     return stored.drop("accountId", "occurredAt")
 
 
-@query("str_06_anomaly_messages")
+@query("str_06_anomaly_messages", 'SELECT "transactionId", true AS agrees FROM stream_events')
 def _(v):
-    alerts = rules.anomaly_alerts(v.event_records, _forest(v), minimum=0.0)
-    return rules.as_messages(alerts)
+    forest = _forest(v)
+    messages = rules.as_messages(rules.anomaly_alerts(v.event_records, forest, minimum=0.0))
+    written_ids = messages.select(F.get_json_object("value", "$.transactionId").alias("transactionId"))
+    return _agreement(v, forest, written_ids)
 
 
 @query(
@@ -103,9 +116,15 @@ def _(v):
 
 @query(
     "str_09_recent_alerts",
-    """SELECT "transactionId", amount, threshold FROM rule_alerts
-       ORDER BY amount DESC, "transactionId" LIMIT 100""",
+    """SELECT "transactionId", amount, threshold FROM (
+         SELECT a.*, e.transaction_time FROM rule_alerts a JOIN stream_events e USING ("transactionId"))
+       ORDER BY transaction_time DESC, "transactionId" LIMIT 100""",
 )
 def _(v):
-    alerts = _run(v, rules.high_amount_alerts(_records(v), 100.0), "feed")
-    return latest_alerts(alerts, time="amount").select("transactionId", "amount", "threshold")
+    # The time of detection is now; the time of the event stands in for it, so that SQL can follow.
+    events = rules.parsed(_records(v))
+    timed = rules.high_amounts(events, 100.0).select(
+        *rules.rule_alert_fields(100.0, stamp=False), iso_timestamp("transaction_time").alias("detectedAt")
+    )
+    stored = _run(v, timed.withColumn("day", F.to_date("detectedAt")), "feed", "day")
+    return latest_alerts(feed.recent_days(stored)).select("transactionId", "amount", "threshold")

@@ -186,12 +186,12 @@ def _(v):
     "SELECT count(*) AS expected_rows, count(*) AS stored_rows FROM clean_tx",
 )
 def _(v):
-    from txrisk.operators.profiling import id_profile, totals
+    from txrisk.operators.profiling import id_profile, row_total
 
     path = scratch_path(v.spark, "reconciled")
     expected = id_profile(v.raw).first()["valid_ids"]
     writers.write_table(v.clean, path, "transaction_year")
     stored = writers.reconcile(v.spark, path, expected, "clean transactions")
-    return totals(stored=stored).select(
+    return row_total("stored", stored).select(
         F.lit(expected).cast("bigint").alias("expected_rows"), F.col("rows").alias("stored_rows")
     )

@@ -10,7 +10,7 @@ from functools import cached_property
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
-from txrisk.functions.hashing import md5_bucket
+from txrisk.functions.hashing import md5_place
 from txrisk.operators import cleaning, features, reports, sampling
 from txrisk.session import written
 
@@ -150,7 +150,7 @@ class Views:
 
     @cached_property
     def splits(self):
-        return sampling.three_way_split(self.stored, md5_bucket)
+        return sampling.three_way_split(self.stored, md5_place)
 
     def scored(self, rows=None):
         """Long table of fixed scores: five models, one pass over the rows."""

@@ -33,9 +33,9 @@ def present(c):
     return text_or_null(c).isNotNull()
 
 
-def detected_at():
-    """Processing time in UTC, whatever zone the session runs in."""
-    utc = F.to_utc_timestamp(F.current_timestamp(), F.current_timezone())
+def detected_at(time=None):
+    """Processing time, or another, in UTC whatever zone the session runs in."""
+    utc = F.to_utc_timestamp(F.current_timestamp() if time is None else time, F.current_timezone())
     return F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
 
 

@@ -5,10 +5,11 @@ import json
 
 from txrisk import settings
 from txrisk.operators.classifiers import MODELS
-from txrisk.plans import charts, evaluate, predict, prepare, train, verify
-from txrisk.session import build_session
+from txrisk.operators import profiling
+from txrisk.plans import charts, evaluate, predict, prepare, review, train, verify
+from txrisk.session import build_session, clear_scratch
 from txrisk.sources import model_store, readers, writers
-from txrisk.streaming import endpoints, jobs, rules
+from txrisk.streaming import endpoints, feed, jobs
 
 
 def _labels(spark, source, output):
@@ -19,6 +20,12 @@ def _labels(spark, source, output):
     return counts
 
 
+def _overview(spark, transactions, labeled):
+    """Headline numbers of the raw file and the labeled table."""
+    raw = readers.read_raw_transactions(spark, transactions)
+    return profiling.overview(raw, readers.read_table(spark, labeled)).first().asDict()
+
+
 def _verify(spark, splits, models, predictions, new_predictions, new_report):
     report = readers.read_report(spark, f"{models}/{settings.EVALUATION_REPORT}")
     found = {
@@ -33,13 +40,13 @@ def _verify(spark, splits, models, predictions, new_predictions, new_report):
     return found
 
 
-def _stream(spark, rule, servers, topic, alert_topic, checkpoint, inbox, output, models, threshold,
-            minimum, once):
-    """Kafka to Kafka, or a folder of JSON lines to alert and dead-letter tables."""
+def _stream(spark, rule, servers, topic, group, alert_topic, letter_topic, checkpoint, inbox, output,
+            models, threshold, minimum, once):
+    """Kafka or a folder of JSON lines, to two topics or to alert and dead-letter tables."""
     source = (
         endpoints.text_source(spark, inbox)
         if inbox
-        else endpoints.kafka_source(spark, servers, topic)
+        else endpoints.kafka_source(spark, servers, topic, group)
     )
     scorer = model_store.load_forest(spark, models) if rule == "anomaly" else None
     if output:
@@ -50,12 +57,8 @@ def _stream(spark, rule, servers, topic, alert_topic, checkpoint, inbox, output,
             else jobs.run_high_amount_rule(source, *paths, threshold=threshold, once=once)
         )
     else:
-        alerts = (
-            rules.anomaly_alerts(source, scorer, minimum)
-            if scorer
-            else rules.high_amount_alerts(source, threshold)
-        )
-        query = endpoints.to_kafka(rules.as_messages(alerts), servers, alert_topic, checkpoint, once)
+        chosen = jobs.anomaly_rule(scorer, minimum) if scorer else jobs.amount_rule(threshold)
+        query = jobs.run_to_topics(source, chosen, servers, alert_topic, letter_topic, checkpoint, once)
     query.awaitTermination()
     return {"stopped": rule}
 
@@ -82,19 +85,25 @@ def _parser():
     command("prepare", prepare.prepare, transactions=str, labels=str, output=str,
             labeled_output=str, report=None, label_format="csv")
     command("train", train.train, labeled_path=str, split_base=str, model_base=str, report=None,
-            max_training_rows=settings.MAX_TRAINING_ROWS, max_forest_rows=settings.MAX_FOREST_ROWS,
+            max_training_rows=settings.MAX_TRAINING_ROWS, max_categories=settings.MAX_CATEGORIES,
             trees=settings.FOREST_SIZE, depth=settings.FOREST_DEPTH, undersample_ratio=settings.UNDERSAMPLE_RATIO)
     command("evaluate", evaluate.evaluate, split_base=str, model_base=str, prediction_base=str,
             result_dir=str, report=None).add_argument(
         "--thresholds", type=float, nargs="+", default=list(settings.THRESHOLDS))
     command("charts", charts.charts, labeled_path=str, prediction_base=str, result_dir=str,
-            model=settings.DEFAULT_MODEL, report=None)
+            model=settings.DEFAULT_MODEL, report=None, importance_path=None)
+    command("review", review.review, prediction_base=str, model=settings.DEFAULT_MODEL, text="", minimum=0.0,
+            rows=settings.ALERT_FEED_ROWS)
+    command("preview", review.preview, path=str, rows=10, order="transaction_id")
+    command("overview", _overview, transactions=str, labeled=str)
     command("predict", predict.predict, input_path=str, output=str, model_base=str, report=None,
             export=None).add_argument("--model", choices=sorted(MODELS))
     commands.choices["predict"].add_argument("--threshold", type=float)
     command("verify", _verify, splits=str, models=str, predictions=None, new_predictions=None,
             new_report=None)
-    stream = command("stream", _stream, servers=None, topic=None, alert_topic=None, checkpoint=str,
+    command("feed", feed.feed, alert_path=str, rows=settings.ALERT_FEED_ROWS)
+    stream = command("stream", _stream, servers=None, topic=None, group=None, alert_topic=None,
+                     letter_topic=None, checkpoint=str,
                      inbox=None, output=None, models=None,
                      threshold=settings.HIGH_AMOUNT_THRESHOLD,
                      minimum=settings.MIN_ANOMALY_SCORE, once=False)
@@ -110,4 +119,7 @@ def main(argv=None):
 
 
 if __name__ == "__main__":
-    main()
+    try:
+        main()
+    finally:
+        clear_scratch(build_session())

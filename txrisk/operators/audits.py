@@ -78,13 +78,16 @@ def require_valid_new_transactions(parsed):
 
 
 def differences(left, right):
-    """Rows of one table that the other lacks, counting copies; empty when they are equal."""
+    """Rows of one table that the other lacks, counting copies; empty when they are equal.
+
+    One grouping of both tables: a row counts +1 on the left and -1 on the right, and what is left
+    over is repeated as often as it is missing.
+    """
     names = left.columns
-    return (
-        left.exceptAll(right.select(*names))
-        .withColumn("side", F.lit("left"))
-        .unionByName(right.select(*names).exceptAll(left).withColumn("side", F.lit("right")))
-    )
+    both = left.withColumn("__sign", F.lit(1)).unionByName(right.select(*names).withColumn("__sign", F.lit(-1)))
+    surplus = both.groupBy(*names).agg(F.sum("__sign").alias("__more")).where(F.col("__more") != 0)
+    times = F.explode(F.array_repeat(F.when(F.col("__more") > 0, "left").otherwise("right"), F.abs("__more").cast("int")))
+    return surplus.select(*names, times.alias("side"))
 
 
 def require_rows(path_rows, expected, what):

@@ -5,7 +5,7 @@ from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, Vec
 from pyspark.sql import functions as F
 
 from txrisk.functions import calendar, text
-from txrisk.settings import CATEGORICAL_FEATURES, NUMERIC_FEATURES, UNKNOWN
+from txrisk.settings import CATEGORICAL_FEATURES, MAX_CATEGORIES, NUMERIC_FEATURES, UNKNOWN
 
 
 def feature_columns():
@@ -77,19 +77,18 @@ def preprocessor():
     )
 
 
-def require_bounded_categories(features, limit=50_000):
+def require_bounded_categories(features, limit=MAX_CATEGORIES):
     """Indexing brings every category to the driver, so refuse columns that are really ids."""
-    sizes = features.agg(
-        *(F.approx_count_distinct(c).alias(c) for c in CATEGORICAL_FEATURES)
-    ).first()
+    sizes = features.agg(*(F.count_distinct(c).alias(c) for c in CATEGORICAL_FEATURES)).first()
     wide = {c: sizes[c] for c in CATEGORICAL_FEATURES if sizes[c] > limit}
     if wide:
         raise ValueError(f"Too many categories to index (limit {limit}): {wide}")
     return features
 
 
-def fit_preprocessor(train):
-    return preprocessor().fit(require_bounded_categories(train))
+def fit_preprocessor(train, max_categories=MAX_CATEGORIES):
+    """Fitted on all rows given. A column may have up to ``max_categories`` different values."""
+    return preprocessor().fit(require_bounded_categories(train, max_categories))
 
 
 def feature_names(transformed):

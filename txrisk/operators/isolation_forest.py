@@ -18,10 +18,10 @@ from txrisk.settings import (
     FOREST_SAMPLE,
     FOREST_SEED,
     FOREST_TREES,
-    MAX_FOREST_ROWS,
+    MAX_FOREST_NODES,
     NUMERIC_FEATURES,
 )
-from txrisk.operators.sampling import bounded_sample
+from txrisk.operators.sampling import tree_rows
 
 # The few functions that run inside tasks travel with them: executors need no copy of the package.
 register_pickle_by_value(sys.modules[__name__])
@@ -64,49 +64,23 @@ def grow_tree(points, rng):
     return nodes
 
 
-def tree_samples(pool, rows, trees, sample_size, seed, key="transaction_id"):
-    """Deals pool rows to trees: about four samples' worth of rows per tree.
-
-    A pool large enough gives every row to few trees; a tiny one gives all rows to all trees.
-    The dealt table has at most ``4 * trees * sample_size + rows`` rows, and the pool is bounded.
-    """
-    draws = math.ceil(4 * trees * sample_size / max(rows, 1))
-    if draws >= trees:
-        chosen = F.sequence(F.lit(0), F.lit(trees - 1))
-    else:
-        chosen = F.array_distinct(
-            F.transform(
-                F.sequence(F.lit(0), F.lit(draws - 1)),
-                lambda i: F.pmod(F.xxhash64(F.col(key), i, F.lit(seed)), F.lit(trees)).cast("int"),
-            )
-        )
-    dealt = pool.withColumn("tree", F.explode(chosen))
-    return dealt.withColumn("rank_hash", F.xxhash64(key, "tree", F.lit(seed + 1)))
-
-
 def fit_forest(
     train,
     trees=FOREST_TREES,
     sample_size=FOREST_SAMPLE,
-    max_rows=MAX_FOREST_ROWS,
     seed=FOREST_SEED,
     columns=NUMERIC_FEATURES,
     key="transaction_id",
 ):
-    """Node table of a forest over a bounded hash sample; labels are never looked at."""
-    if max_rows <= 0:
-        raise ValueError("max_rows must be positive")
-    total = train.count()
-    if total == 0:
+    """Node table of a forest; each tree samples the whole table. Labels are never looked at."""
+    if train.isEmpty():
         raise ValueError("cannot fit a forest on no rows")
-    narrow = train.select(key, *columns)
-    pool = bounded_sample(narrow, total, max_rows, seed)
-    dealt = tree_samples(pool, min(total, max_rows), trees, sample_size, seed, key)
     columns = list(columns)
+    dealt = tree_rows(train.select(key, *columns), trees, sample_size, seed, key=key)
 
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         tree = int(pdf["tree"].iloc[0])
-        sample = pdf.nsmallest(sample_size, ["rank_hash", key])
+        sample = pdf.nsmallest(sample_size, ["draw", key])
         nodes = grow_tree(sample[columns].to_numpy(float), np.random.default_rng([seed, tree]))
         table = pd.DataFrame(nodes, columns=["feature", "threshold", "left", "right", "path"])
         table.insert(0, "tree", tree)
@@ -120,15 +94,18 @@ def fit_forest(
 class ForestScorer:
     """A fitted forest ready to score columns; holds the nodes as one broadcast.
 
-    The node count is checked against what ``trees`` trees over ``sample_size`` rows can have, so
-    what is collected and broadcast never depends on the data.
+    A forest has at most trees * (2 * sample size - 1) nodes, as its own table says; one of more
+    than ``max_nodes`` (about 50 bytes each) is refused before it is collected.
     """
 
-    def __init__(self, nodes, trees=FOREST_TREES, sample_size=FOREST_SAMPLE):
-        bound = trees * (2 * sample_size - 1)
-        table = nodes.limit(bound + 1).toPandas().sort_values(["tree", "node"])
-        if not 0 < len(table) <= bound:
-            raise ValueError(f"forest has {len(table)} nodes, expected 1 to {bound}")
+    def __init__(self, nodes, max_nodes=MAX_FOREST_NODES):
+        held = nodes.agg(
+            F.count(F.lit(1)).alias("nodes"), F.count_distinct("tree").alias("trees"), F.max("sample_size").alias("rows")
+        ).first()
+        bound = min(max_nodes, held["trees"] * (2 * (held["rows"] or 0) - 1))
+        if not 0 < held["nodes"] <= bound:
+            raise ValueError(f"forest has {held['nodes']} nodes, expected 1 to {bound}")
+        table = nodes.toPandas().sort_values(["tree", "node"])
         sizes = table.groupby("tree").size()
         roots = (sizes.cumsum() - sizes).to_numpy()
         base = np.repeat(roots, sizes.to_numpy())

@@ -26,15 +26,15 @@ def keep_one_per_key(df, *keys, among=None):
     return kept.select(*(F.col(c) if c in keys else F.col(f"kept.{c}") for c in df.columns))
 
 
-def surplus_duplicates(df, key):
-    """One row: how many rows repeat an id that was already there. Null ids do not count."""
-    copies = df.where(F.col(key).isNotNull()).groupBy(key).count()
+def surplus_duplicates(df, *keys):
+    """One row: how many rows repeat a key that was already there. Keys with a null do not count."""
+    copies = df.dropna(subset=list(keys)).groupBy(*keys).count()
     return copies.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicates"))
 
 
-def duplicated_keys(df, key):
-    """One row: how many distinct ids (null included) occur more than once."""
-    copies = df.groupBy(key).count()
+def duplicated_keys(df, *keys):
+    """One row: how many distinct keys (nulls included) occur more than once."""
+    copies = df.groupBy(*keys).count()
     return copies.agg(F.count_if(F.col("count") > 1).alias("duplicate_ids"))
 
 

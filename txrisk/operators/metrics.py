@@ -4,16 +4,23 @@ Every operator takes long tables of scored rows with the model in a ``slug`` col
 by it, so one job covers all models.
 """
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Window, functions as F
 
 from txrisk.functions.scoring import ratio
-from txrisk.session import written
 from txrisk.settings import THRESHOLDS
 
 COUNTS = ("tp", "tn", "fp", "fn")
 
 
+def _score_block(score, digits):
+    """A number that sorts like the score: its power of two, then ``digits`` binary places."""
+    size = F.abs(score.cast("double"))
+    power = F.when(size > 0, F.greatest(F.lit(-60), F.floor(F.log2(size)))).otherwise(F.lit(-61))
+    inside = F.floor(F.try_divide(size, F.pow(F.lit(2.0), power)) * F.lit(float(1 << digits)))
+    ranked = (power + 62) * F.lit(1 << (digits + 2)) + F.least(inside, F.lit((1 << (digits + 2)) - 1))
+    return F.when(score < 0, -ranked).otherwise(ranked).cast("bigint")
+
+
 def confusion_counts(df, by=("slug",), label="class", prediction="prediction"):
     """tp, tn, fp, fn in one aggregation."""
     actual, predicted = F.col(label).cast("int"), F.col(prediction).cast("int")
@@ -79,37 +86,22 @@ def threshold_sweep(df, score, thresholds=THRESHOLDS, by=("slug",), label="class
     return with_rates(wide.select(*by, F.inline(lines)))
 
 
-def _score_cuts(per_score, score, block_rows, most):
-    """Block borders at quantiles of the distinct scores; at most ``most`` numbers."""
-    blocks = min(most, -(-per_score.count() // block_rows))
-    steps = [i / blocks for i in range(1, blocks)]
-    if not steps:
-        return [float("-inf"), float("inf")]
-    found = per_score.agg(F.percentile_approx(score, steps, blocks * 4)).first()[0]
-    return [float("-inf"), *sorted(set(found or [])), float("inf")]
-
-
-def area_under_pr(df, score, by=("slug",), label="class", block_rows=200_000, most_blocks=8192):
+def area_under_pr(df, score, by=("slug",), label="class", digits=14):
     """Exact area under the precision-recall curve, one point per distinct score.
 
-    Rows are folded to counts per distinct score, which are stored: the rows are read once. The
-    running counts are then taken in two levels: totals per score block give each block its
-    starting point, and the running sum inside a block is its own window partition. Blocks are
-    cut at quantiles of the distinct scores, about ``block_rows`` each, so no task sees more
-    than its share however the scores are spread.
+    Rows are folded to counts per distinct score. Running counts are then taken in two levels: a
+    block is what agrees in the leading bits of the score's own binary form, which sort like the
+    score; totals per block give each block its starting point, and the running sum inside a block
+    is its own window partition. A block of scores between 0 and 1 spans 2^-``digits`` of its
+    power of two, so there is a fixed number of blocks whatever the number of rows, and no task
+    sees more than the distinct scores of one block.
     """
     actual = F.col(label).cast("int")
     usable = df.where(F.col(score).isNotNull() & ~F.isnan(score) & actual.isin(0, 1))
     per_score = usable.groupBy(*by, score).agg(
         F.count_if(actual == 1).alias("pos"), F.count_if(actual == 0).alias("neg")
     )
-    per_score = written(per_score, "score-counts")
-    cuts = _score_cuts(per_score, score, block_rows, most_blocks)
-    if len(cuts) > 2:
-        per_score = Bucketizer(splits=cuts, inputCol=score, outputCol="block").transform(per_score)
-    else:
-        per_score = per_score.withColumn("block", F.lit(0.0))
-
+    per_score = per_score.withColumn("block", _score_block(F.col(score), digits))
     higher = Window.partitionBy(*by).orderBy(F.desc("block")).rowsBetween(
         Window.unboundedPreceding, -1
     )

@@ -1,12 +1,11 @@
 """Counts and statistics about raw, clean and labeled tables."""
 
-from functools import reduce
-
 from pyspark.sql import functions as F
 
 from txrisk.functions import text
 from txrisk.functions.scoring import percentage
 from txrisk.operators.cleaning import usable_amount
+from txrisk.settings import QUANTILE_ACCURACY
 
 
 def raw_profile(raw):
@@ -22,31 +21,44 @@ def raw_profile(raw):
     )
 
 
+def _ids(raw):
+    """(id, copies, valid) of every raw id, null included, from one grouping of narrow rows."""
+    checked = raw.select(
+        "id",
+        (text.timestamp("date").isNotNull() & usable_amount(text.money("amount"))).alias("valid"),
+    )
+    return checked.groupBy("id").agg(F.count(F.lit(1)).alias("copies"), F.max("valid").alias("valid"))
+
+
 def id_profile(raw):
     """One row: surplus copies of ids, and how many ids have at least one valid row.
 
     The second number is what cleaning must leave, found without running the cleaning itself.
     """
-    checked = raw.select(
-        "id",
-        (text.timestamp("date").isNotNull() & usable_amount(text.money("amount"))).alias("valid"),
-    )
-    per_id = checked.where(F.col("id").isNotNull()).groupBy("id").agg(
-        F.count(F.lit(1)).alias("copies"), F.max("valid").alias("valid")
-    )
-    return per_id.agg(
+    return _ids(raw).where(F.col("id").isNotNull()).agg(
         F.coalesce(F.sum(F.col("copies") - 1), F.lit(0)).alias("duplicates"),
         F.count_if("valid").alias("valid_ids"),
     )
 
 
-def totals(**frames):
-    """(name, rows) for each named frame."""
-    counts = [
-        df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
-        for name, df in frames.items()
-    ]
-    return reduce(lambda a, b: a.unionByName(b), counts)
+def raw_and_clean_rows(raw):
+    """One row (raw_rows, clean_rows): what there is, and what cleaning leaves of it."""
+    return _ids(raw).agg(
+        F.coalesce(F.sum("copies"), F.lit(0)).alias("raw_rows"),
+        F.count_if(F.col("id").isNotNull() & F.col("valid")).alias("clean_rows"),
+    )
+
+
+def row_total(name, df):
+    """(name, rows) of one frame."""
+    return df.agg(F.lit(name).alias("name"), F.count(F.lit(1)).alias("rows"))
+
+
+def table_sizes(clean, labels):
+    """(name, rows) of the clean, label and labeled tables, from one outer join of their ids."""
+    sizes = {"clean": "clean_transactions", "labels": "valid_labels", "labeled": "labeled_transactions"}
+    rows = F.array(*(F.struct(F.lit(n).alias("name"), F.col(c).alias("rows")) for n, c in sizes.items()))
+    return join_coverage(clean, labels).select(F.inline(rows))
 
 
 def class_distribution(df, column="class"):
@@ -56,7 +68,7 @@ def class_distribution(df, column="class"):
     return counts.withColumn("percentage", percentage(F.col("count"), whole)).orderBy(column)
 
 
-def amount_statistics(df, column="amount", accuracy=10_000):
+def amount_statistics(df, column="amount", accuracy=QUANTILE_ACCURACY):
     """One row: min, max, mean, sample deviation and the quartiles.
 
     ``accuracy`` bounds the sketch: rank error is rows / accuracy, memory does not grow with rows.
@@ -95,24 +107,17 @@ def join_coverage(clean, labels):
     )
 
 
-def dropped_rows(raw, clean):
+def dropped_rows(raw):
     """One row: raw rows, clean rows, and the difference."""
-    rows = totals(raw=raw, clean=clean).agg(
-        F.sum(F.when(F.col("name") == "raw", F.col("rows"))).alias("raw_rows"),
-        F.sum(F.when(F.col("name") == "clean", F.col("rows"))).alias("clean_rows"),
-    )
-    return rows.withColumn("dropped_rows", F.col("raw_rows") - F.col("clean_rows"))
+    return raw_and_clean_rows(raw).withColumn("dropped_rows", F.col("raw_rows") - F.col("clean_rows"))
 
 
-def overview(raw, clean, labeled):
+def overview(raw, labeled):
     """One row of headline numbers: table sizes, fraud rows and fraud share."""
-    parts = [
-        raw.agg(F.count(F.lit(1)).alias("raw")),
-        clean.agg(F.count(F.lit(1)).alias("clean")),
-        labeled.agg(
-            F.count(F.lit(1)).alias("labeled"), F.count_if(F.col("class") == 1).alias("fraud")
-        ),
-    ]
-    stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
-    row = stacked.agg(*(F.sum(c).alias(c) for c in ("raw", "clean", "labeled", "fraud")))
+    sizes = raw_and_clean_rows(raw).select(F.col("raw_rows").alias("raw"), F.col("clean_rows").alias("clean"))
+    outcomes = labeled.agg(
+        F.count(F.lit(1)).alias("labeled"), F.count_if(F.col("class") == 1).alias("fraud")
+    )
+    both = sizes.unionByName(outcomes, allowMissingColumns=True)
+    row = both.agg(*(F.sum(c).alias(c) for c in ("raw", "clean", "labeled", "fraud")))
     return row.withColumn("fraud_rate", percentage(F.col("fraud"), F.col("labeled")))

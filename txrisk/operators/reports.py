@@ -4,7 +4,7 @@ from pyspark.sql import Window, functions as F
 
 from txrisk.functions.scoring import bin_index, decision, fraud_probability, status
 from txrisk.schemas import NEW_PREDICTION_COLUMNS
-from txrisk.settings import ALERT_FEED_ROWS, NEEDS_REVIEW, SUSPICIOUS_ROWS
+from txrisk.settings import ALERT_FEED_ROWS, NEEDS_REVIEW, QUANTILE_ACCURACY, SUSPICIOUS_ROWS
 
 
 def score_rows(model, features, threshold, *carry):
@@ -45,7 +45,7 @@ def new_prediction_table(scored, slug, threshold):
     return named.select(*NEW_PREDICTION_COLUMNS)
 
 
-def quantile_bounds(df, column, low, high, accuracy=1_000):
+def quantile_bounds(df, column, low, high, accuracy=QUANTILE_ACCURACY):
     """One row (lower, upper) to clip a histogram at. Rank error is rows / accuracy."""
     pair = df.agg(F.percentile_approx(column, [low, high], accuracy).alias("q"))
     return pair.select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
@@ -71,7 +71,7 @@ def histogram(df, column, bins, lower, upper):
     )
 
 
-def clipped_histogram(df, column, bins, low, high, accuracy=1_000):
+def clipped_histogram(df, column, bins, low, high, accuracy=QUANTILE_ACCURACY):
     """Histogram between two quantiles; the two numbers are looked up first."""
     bounds = quantile_bounds(df, column, low, high, accuracy).first()
     if bounds["lower"] is None:

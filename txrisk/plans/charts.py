@@ -11,6 +11,9 @@ from txrisk.schemas import RESULT_TABLES
 from txrisk.sources import readers, writers
 
 
+IMPORTANCE = "slug STRING, feature STRING, importance DOUBLE"
+
+
 def stored_predictions(spark, prediction_base, slugs=tuple(MODELS)):
     """Stored predictions of several models as one long table with their slug."""
     frames = (
@@ -31,9 +34,13 @@ def amount_tables(labeled):
 
 
 def charts(
-    spark, labeled_path, prediction_base, result_dir, model=settings.DEFAULT_MODEL, report=None
+    spark, labeled_path, prediction_base, result_dir, model=settings.DEFAULT_MODEL, report=None,
+    importance_path=None,
 ):
-    """Writes all chart tables and the top suspicious rows of one model; returns the report."""
+    """Writes all chart tables and the top suspicious rows of one model; returns the report.
+
+    ``importance_path`` is the importance table that evaluation wrote; it feeds the top features.
+    """
     model_spec(model)
     labeled = readers.read_table(spark, labeled_path)
     own = readers.read_table(spark, f"{prediction_base}/{model}")
@@ -43,6 +50,13 @@ def charts(
         stored_predictions(spark, prediction_base), "fraud_probability"
     ).orderBy("slug", F.desc("threshold"))
 
+    decided = own.withColumn("slug", F.lit(model))
+    counts = metrics.confusion_counts(decided, label="actual_class")
+    tables["confusion_matrix"] = metrics.confusion_matrix(counts, model).orderBy("actual", "predicted")
+    if importance_path:
+        importance = spark.read.csv(importance_path, schema=IMPORTANCE, header=True)
+        tables["top_features"] = reports.top_features(importance).orderBy("slug", "rank")
+
     top_path = f"{prediction_base}/suspicious_transactions"
     writers.write_table(reports.top_suspicious(own), top_path)
     top = readers.read_table(spark, top_path)

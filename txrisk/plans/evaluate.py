@@ -131,20 +131,19 @@ def evaluate(
     for name, table in result_tables(compared, sweep, importance).items():
         writers.write_result_table(table, f"{result_dir}/{name}.csv")
 
+    measured = ("tp", "tn", "fp", "fn", "precision", "recall", "f1", "pr_auc", "accuracy", "specificity")
     result = {
-        "evaluation_scope": {
-            "split_base": split_base,
-            "rows": test_rows,
-            "validation_rows": recommended["evaluation_rows"],
-            "threshold_selected_on_validation": True,
-        },
-        "model_comparison": [
-            {**row.asDict(), "decision_threshold": chosen.get(row["slug"])}
+        "rows": {"validation": recommended["evaluation_rows"], "test": test_rows},
+        "models": [
+            {
+                "slug": row["slug"],
+                "threshold": chosen.get(row["slug"]),
+                "predictions": paths[row["slug"]],
+                "metrics": {name: row[name] for name in measured},
+            }
             for row in compared.orderBy("slug").collect()
         ],
-        "threshold_analysis": [row.asDict() for row in sweep.orderBy("slug", "threshold").collect()],
-        "prediction_paths": paths,
-        "result_dir": result_dir,
+        "tables": result_dir,
         "selection": {
             "recommended_model": recommended["slug"],
             "recommended_threshold": recommended["threshold"],

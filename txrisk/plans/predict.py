@@ -46,14 +46,9 @@ def predict(
         writers.write_export(reports.ranked_export(stored), export)
 
     result = {
-        "input_path": input_path,
-        "input_rows": expected,
-        "model": slug,
-        "threshold": threshold,
-        "flagged_rows": summary["flagged"],
-        "normal_rows": summary["normal"],
-        "output_path": output,
-        "model_retrained": False,
+        "scored_by": {"model": slug, "threshold": threshold},
+        "rows": {"scored": expected, "flagged": summary["flagged"], "normal": summary["normal"]},
+        "paths": {"read": input_path, "stored": output, "exported": export},
     }
     if report:
         writers.write_report(spark, result, report)

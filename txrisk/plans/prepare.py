@@ -1,6 +1,7 @@
 """Raw files to the clean and the labeled Parquet tables."""
 
 from txrisk.operators import cleaning, profiling
+from txrisk.session import written
 from txrisk.sources import readers, writers
 
 
@@ -21,53 +22,43 @@ def prepare(
     else:
         raw_labels = readers.read_labels(spark, labels)
     cleaning.require_consistent_labels(raw_labels)
+    # Read again for the coverage and the join, so stored: one small row per labeled id.
+    known = written(cleaning.clean_labels(raw_labels), "clean-labels")
 
     raw_profile = profiling.raw_profile(raw).first().asDict()
     ids = profiling.id_profile(raw).first()
 
-    writers.write_table(cleaning.clean_transactions(raw), output, "transaction_year")
+    writers.write_table(
+        cleaning.clean_transactions(raw), output, "transaction_year", rebalance=True
+    )
     clean = writers.reconcile(spark, output, ids["valid_ids"], "clean transactions")
 
-    known = cleaning.clean_labels(raw_labels)
     coverage = profiling.join_coverage(clean, known).first().asDict()
     writers.write_table(
-        cleaning.label_transactions(clean, known), labeled_output, "transaction_year"
+        cleaning.label_transactions(clean, known), labeled_output, "transaction_year", rebalance=True
     )
     labeled = writers.reconcile(
         spark, labeled_output, coverage["labeled_transactions"], "labeled transactions"
     )
 
-    classes = {
-        str(row["class"]): {"count": row["count"], "percentage": row["percentage"]}
-        for row in profiling.class_distribution(labeled).collect()
-    }
-    amounts = profiling.amount_statistics(labeled).first().asDict()
-    row_count = raw_profile.pop("row_count")
+    missing = raw_profile.copy()
+    raw_rows = missing.pop("row_count")
     result = {
-        "raw_profile": {
-            "row_count": row_count,
-            "column_count": len(raw.columns),
-            "columns": raw.columns,
-            "null_or_blank_counts": {
-                name.removesuffix("_missing"): n for name, n in raw_profile.items()
+        "tables": {
+            "raw": {"rows": raw_rows, "columns": len(raw.columns), "repeated_ids": ids["duplicates"]},
+            "clean": {
+                "rows": coverage["clean_transactions"], "columns": len(clean.columns), "path": output,
+                "left_out": raw_rows - coverage["clean_transactions"],
             },
-            "duplicate_transaction_ids": ids["duplicates"],
-        },
-        "clean_profile": {
-            "clean_transaction_count": coverage["clean_transactions"],
-            "valid_label_count": coverage["valid_labels"],
-            "labeled_transaction_count": coverage["labeled_transactions"],
-            "transactions_without_training_label": coverage["without_label"],
-            "label_join_coverage_percentage": coverage["coverage_percentage"],
-            "dropped_invalid_or_duplicate_transactions": row_count
-            - coverage["clean_transactions"],
-            "class_distribution": classes,
-            "amount_statistics": {
-                **{k: amounts[k] for k in ("min", "max", "mean", "stddev")},
-                "quartiles": [amounts["q25"], amounts["q50"], amounts["q75"]],
+            "labels": {"rows": coverage["valid_labels"]},
+            "labeled": {
+                "rows": coverage["labeled_transactions"], "columns": len(labeled.columns), "path": labeled_output,
+                "coverage": coverage["coverage_percentage"],
             },
         },
-        "outputs": {"clean": output, "labeled": labeled_output},
+        "missing_cells": {name.removesuffix("_missing"): n for name, n in missing.items()},
+        "classes": [row.asDict() for row in profiling.class_distribution(labeled).collect()],
+        "amounts": profiling.amount_statistics(labeled).first().asDict(),
     }
     if report:
         writers.write_report(spark, result, report)

@@ -2,7 +2,6 @@
 
 import time
 
-from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from txrisk import settings
@@ -16,7 +15,7 @@ SPLITS = ("train", "validation", "test")
 def write_splits(labeled, split_base):
     """All three splits from one scan, stored as ``split=<name>/class=<0|1>``."""
     named = sampling.with_split_name(features.training_features(labeled))
-    return writers.write_table(named, split_base, "split", "class")
+    return writers.write_table(named, split_base, "split", "class", rebalance=True)
 
 
 def read_split(spark, split_base, name):
@@ -33,17 +32,6 @@ def _distributions(splits):
     return found
 
 
-def _described(counts):
-    total = sum(counts.values())
-    return {
-        "total": total,
-        "classes": {
-            str(c): {"count": n, "percentage": round(100.0 * n / total, 6) if total else None}
-            for c, n in sorted(counts.items())
-        },
-    }
-
-
 def train(
     spark,
     labeled_path,
@@ -51,7 +39,7 @@ def train(
     model_base,
     report=None,
     max_training_rows=settings.MAX_TRAINING_ROWS,
-    max_forest_rows=settings.MAX_FOREST_ROWS,
+    max_categories=settings.MAX_CATEGORIES,
     trees=settings.FOREST_SIZE,
     depth=settings.FOREST_DEPTH,
     undersample_ratio=settings.UNDERSAMPLE_RATIO,
@@ -68,27 +56,22 @@ def train(
         raise ValueError(f"training needs both classes, found {rows['train']}")
 
     train_split = read_split(spark, split_base, "train")
-    # Small next to the split, and read by every fit: stored, so the split is filtered once.
-    capped = written(
-        sampling.cap_rows(train_split, train_rows, max_training_rows), "capped-train"
-    )
-    fitted = features.fit_preprocessor(capped)
-    check_rows = read_split(spark, split_base, "test").limit(10)
+    fitted = features.fit_preprocessor(train_split, max_categories)
+    check_rows = read_split(spark, split_base, "test").orderBy("transaction_id").limit(10)
     fitted = model_store.save_checked(
         fitted, f"{model_base}/{model_store.PREPROCESSOR}", type(fitted).load, check_rows
     )
 
-    # Iterative fits read the vectors many times. A lost executor only costs recomputing them.
-    vectors = fitted.transform(capped).persist(StorageLevel.DISK_ONLY)
+    # Iterative fits read the vectors many times, so both training tables are stored.
+    capped = sampling.cap_rows(train_split, max_training_rows)
+    vectors = written(fitted.transform(capped), "capped-vectors")
     weights = {row["class"]: row for row in sampling.class_weights(vectors).collect()}
     if set(weights) != {0, 1}:
         raise ValueError("the capped training rows hold only one class")
     weighted = sampling.with_class_weight(vectors, weights[0]["weight"], weights[1]["weight"])
-    thinned = fitted.transform(
-        sampling.undersample(
-            train_split, rows["train"][0], rows["train"][1], undersample_ratio
-        )
-    ).persist(StorageLevel.DISK_ONLY)
+    thinned = written(
+        fitted.transform(sampling.undersample(train_split, undersample_ratio)), "thinned-vectors"
+    )
     inputs = {"None": vectors, "Class Weight": weighted, "Undersampling": thinned}
 
     names = features.feature_names(vectors)
@@ -101,39 +84,38 @@ def train(
         model_store.save_classifier(slug, model, model_base, check_vectors)
         paths[slug] = f"{model_base}/{spec.folder}"
     thinned_rows = {r["class"]: r["rows"] for r in sampling.class_weights(thinned).collect()}
-    vectors.unpersist()
-    thinned.unpersist()
 
     started = time.perf_counter()
     scorer = model_store.save_forest(
-        isolation_forest.fit_forest(train_split, max_rows=max_forest_rows), model_base
+        isolation_forest.fit_forest(train_split), model_base
     )
     if isolation_forest.score_forest(scorer, check_rows).count() != check_rows.count():
         raise RuntimeError("the reloaded forest did not score all check rows")
     seconds[settings.FOREST_SLUG] = round(time.perf_counter() - started, 3)
     paths[settings.FOREST_SLUG] = f"{model_base}/{settings.FOREST_SLUG}"
 
+    def by_class(counts):
+        return [{"class": c, "rows": n} for c, n in sorted(counts.items())]
+
     result = {
-        "split": {
-            "requested_fractions": {"train": 0.6, "validation": 0.2, "test": 0.2},
-            "actual_fractions": {
-                name: round(sum(counts.values()) / whole, 8) for name, counts in rows.items()
-            },
-            **{name: _described(counts) for name, counts in rows.items()},
+        "splits": [
+            {"name": name, "path": split_base, "share": sum(counts.values()) / whole, "classes": by_class(counts)}
+            for name, counts in rows.items()
+        ],
+        "fits": [
+            {"slug": slug, "path": paths[slug], "seconds": taken} for slug, taken in seconds.items()
+        ],
+        "preprocessor": {"path": paths["preprocessor"], "fitted_on_rows": train_rows, "vector": names},
+        "balancing": {
+            "cap": max_training_rows,
+            "capped": [{"class": c, "rows": w["rows"], "weight": w["weight"]} for c, w in sorted(weights.items())],
+            "ratio": undersample_ratio,
+            "thinned": by_class(thinned_rows),
         },
-        "supervised_training": {
-            "natural_distribution_train": _described({c: w["rows"] for c, w in weights.items()}),
-            "class_weights": {str(c): w["weight"] for c, w in sorted(weights.items())},
-            "undersampling": {
-                "normal_to_fraud_target_ratio": undersample_ratio,
-                "distribution": _described(thinned_rows),
-            },
-            "rf_parameters": {"numTrees": trees, "maxDepth": depth},
+        "forests": {
+            "random": {"trees": trees, "depth": depth},
+            "isolation": {"trees": settings.FOREST_TREES, "sample": settings.FOREST_SAMPLE},
         },
-        "features": {"count": len(names), "names": names},
-        "training_seconds": seconds,
-        "model_paths": paths,
-        "split_base": split_base,
     }
     writers.write_report(spark, result, f"{model_base}/{settings.TRAINING_REPORT}")
     if report:

@@ -43,6 +43,8 @@ RESULT_TABLES = {
         "slug", "model", "threshold", "precision", "recall", "f1", "tp", "tn", "fp", "fn",
     ),
     "rf_feature_importance": ("slug", "feature", "importance"),
+    "top_features": ("slug", "rank", "feature", "importance"),
+    "confusion_matrix": ("actual", "predicted", "count"),
     "precision_recall_curve": ("slug", "threshold", "precision", "recall"),
     "top_suspicious_transactions": (
         "transaction_id", "transaction_time", "amount", "fraud_probability", "status",

@@ -1,6 +1,8 @@
 """Session defaults and the shared scratch folder."""
 
+import atexit
 import functools
+import shutil
 import tempfile
 import uuid
 
@@ -29,21 +31,37 @@ def build_session(app_name="txrisk", master=None, **conf):
 
 
 @functools.cache
-def _temporary_folder():
-    return tempfile.mkdtemp(prefix="txrisk-")
+def _own_folder():
+    folder = tempfile.mkdtemp(prefix="txrisk-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
 
 
 def scratch_path(spark, name):
     """A fresh path below the folder the cluster names in ``spark.checkpoint.dir``.
 
-    Paths of one application share a parent, so they can be removed together when it is done.
-    Only where that setting is missing (a bare local session) a temporary folder stands in.
+    Paths of one application share a parent, so they can be removed together when it is done. On a
+    cluster the setting is needed, as no folder of the driver's own would reach the executors. A
+    ``local`` session, whose one process is driver and executors, may do without: it then has a
+    folder of its own until it ends.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None) or _temporary_folder()
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = _own_folder()
     application = spark.sparkContext.applicationId
     return f"{base.rstrip('/')}/txrisk/{application}/{name}-{uuid.uuid4().hex}"
 
 
+def clear_scratch(spark):
+    """Removes what this application stored below the shared folder; its tables end with it."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_path(spark, "x")).getParent()
+    files = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return files.delete(folder, True)
+
+
 def written(df, name, *partition_columns):
     """Write ``df`` to the shared scratch folder and read it back.
 

@@ -21,7 +21,7 @@ FOREST_SEED = 46
 TRAIN_POOL_FRACTION = 0.8
 TRAIN_FRACTION_OF_POOL = 0.75
 MAX_TRAINING_ROWS = 500_000
-MAX_FOREST_ROWS = 200_000
+MAX_CATEGORIES = 50_000  # per column; they are indexed by the driver
 UNDERSAMPLE_RATIO = 10.0
 
 THRESHOLDS = (0.2, 0.3, 0.4, 0.5, 0.6, 0.7)
@@ -43,10 +43,14 @@ CATEGORICAL_FEATURES = ("use_chip", "mcc_category", "merchant_state_category")
 FOREST_SLUG = "isolation_forest"
 FOREST_TREES = 200
 FOREST_SAMPLE = 256
+MAX_FOREST_NODES = 2_000_000
 
 # Where reports are kept below the model folder.
-TRAINING_REPORT = "metadata/phase3_summary.json"
-EVALUATION_REPORT = "metadata/phase4_summary.json"
+TRAINING_REPORT = "metadata/training.json"
+EVALUATION_REPORT = "metadata/evaluation.json"
+
+# Quantiles are sketches: their rank is off by rows / accuracy at most, their size by nothing.
+QUANTILE_ACCURACY = 1_000_000
 
 # Training parameters.
 LOGISTIC_REGRESSION = {

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from txrisk.operators.classifiers import MODELS, model_spec
 from txrisk.operators.isolation_forest import ForestScorer, score_forest
+from txrisk.session import written
 from txrisk.settings import FOREST_SLUG
 
 PREPROCESSOR = "preprocessor"
@@ -47,7 +48,8 @@ def load_forest(spark, base):
 
 def check_all_models(spark, base, features, rows=100):
     """(slug, scored): every stored model loaded afresh and run over a few rows."""
-    sample = load_preprocessor(base).transform(features.limit(rows))
+    few = written(features.orderBy("transaction_id").limit(rows), "check-rows")
+    sample = load_preprocessor(base).transform(few)
     counts = [
         load_classifier(slug, base).transform(sample).agg(
             F.lit(slug).alias("slug"), F.count("prediction").alias("scored")

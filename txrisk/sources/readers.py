@@ -59,8 +59,10 @@ def read_table(spark, path):
 def read_report(spark, path):
     """A stored JSON report as a dict; an absent or unreadable one gives ``{}``."""
     try:
-        lines = spark.read.text(path, wholetext=True).limit(1).collect()
-        return json.loads(lines[0][0]) if lines else {}
+        texts = [row[0] for row in spark.read.text(path, wholetext=True).where("trim(value) <> ''").take(2)]
+        if len(texts) > 1:
+            raise ValueError(f"{path} holds more than one report")
+        return json.loads(texts[0]) if texts else {}
     except (AnalysisException, json.JSONDecodeError):
         return {}
 

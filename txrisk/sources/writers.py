@@ -20,9 +20,14 @@ def write_table(df, path, *partition_columns, rebalance=False):
     return path
 
 
-def write_result_table(df, path, columns=None):
-    """A small result table as one headered CSV file; columns not asked for are left out."""
+def write_result_table(df, path, columns=None, most_rows=100_000):
+    """A small result table as one headered CSV file; columns not asked for are left out.
+
+    A table of more than ``most_rows`` is no result table and is refused: see :func:`write_export`.
+    """
     chosen = df.select(*columns) if columns else df
+    if chosen.limit(most_rows + 1).count() > most_rows:
+        raise ValueError(f"{path}: more than {most_rows} rows do not go into one file")
     chosen.coalesce(1).write.mode("overwrite").csv(path, header=True)
     return path
 

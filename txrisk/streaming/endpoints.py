@@ -48,9 +48,19 @@ def to_kafka(alerts, servers, topic, checkpoint, once=False):
     return _started(writer, checkpoint, once)
 
 
-def to_table(stream, path, checkpoint, once=False):
+def send(messages, servers, topic):
+    """One batch of (transactionId, value) to a topic, keyed by the id."""
+    keyed = messages.select(F.col("transactionId").alias("key"), "value")
+    writer = keyed.write.format("kafka").option("kafka.bootstrap.servers", servers)
+    writer.option("topic", topic).save()
+
+
+def to_table(stream, path, checkpoint, once=False, *partition_columns):
     """Parquet files with exactly-once commits."""
-    return _started(stream.writeStream.format("parquet").option("path", path), checkpoint, once)
+    writer = stream.writeStream.format("parquet").option("path", path)
+    if partition_columns:
+        writer = writer.partitionBy(*partition_columns)
+    return _started(writer, checkpoint, once)
 
 
 def to_batches(stream, write, checkpoint, once=False):

@@ -6,17 +6,35 @@ from txrisk.operators.reports import latest_alerts
 from txrisk.settings import ALERT_FEED_ROWS
 
 
+def recent_days(alerts, rows=ALERT_FEED_ROWS):
+    """The alerts of the newest days that hold at least ``rows`` of them.
+
+    Counting rows per day reads no column of the files; days before are pruned from the scan.
+    """
+    found, held = None, 0
+    for row in alerts.groupBy("day").count().orderBy(F.desc("day")).toLocalIterator():
+        found, held = row["day"], held + row["count"]
+        if held >= rows:
+            break
+    return alerts.where(F.col("day") >= F.lit(found)) if found is not None else alerts
+
+
 def alert_feed(spark, path, rows=ALERT_FEED_ROWS):
     """The newest alerts of one kind of alert, newest first; only those reach the driver."""
-    return latest_alerts(spark.read.parquet(path), rows)
+    return latest_alerts(recent_days(spark.read.parquet(path), rows), rows)
 
 
 def feed_status(alerts, rows=ALERT_FEED_ROWS):
-    """One row: alerts stored, alerts shown, newest time, and the thresholds they carry."""
-    limits = [
-        F.max(c).alias(c) for c in ("threshold",) if c in alerts.columns
-    ]
+    """One row: alerts stored, alerts shown, newest time, amount limit, lowest score alerted."""
+    limits = {"threshold": F.max, "anomalyScore": F.min}
     found = alerts.agg(
-        F.count(F.lit(1)).alias("total_alerts"), F.max("detectedAt").alias("last_alert_at"), *limits
+        F.count(F.lit(1)).alias("total_alerts"), F.max("detectedAt").alias("last_alert_at"),
+        *(fold(c).alias(c) for c, fold in limits.items() if c in alerts.columns),
     )
     return found.withColumn("shown_alerts", F.least(F.lit(rows), F.col("total_alerts")))
+
+
+def feed(spark, alert_path, rows=ALERT_FEED_ROWS):
+    """Status and newest alerts as one report."""
+    status = feed_status(spark.read.parquet(alert_path), rows).first().asDict()
+    return {"status": status, "alerts": [row.asDict() for row in alert_feed(spark, alert_path, rows).collect()]}

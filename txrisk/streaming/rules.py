@@ -11,7 +11,12 @@ from txrisk.settings import HIGH_AMOUNT_THRESHOLD, MIN_ANOMALY_SCORE, NEEDS_REVI
 
 
 def parsed(records):
-    """Record text and its fields, parsed once. ``readable`` is false unless it is an object."""
+    """Record text and its fields, parsed once. ``readable`` is false unless it is an object.
+
+    What was parsed before is given back as it is, so every rule takes either.
+    """
+    if "readable" in records.columns:
+        return records
     events = records.select("value", alerts.parse_event().alias("event"))
     readable = F.col("event").isNotNull() & F.col("event._corrupt_record").isNull()
     fields = events.select("value", readable.alias("readable"), "event.*")
@@ -98,3 +103,10 @@ def dead_letters(records, need_time=False):
             text.iso_timestamp("transaction_time").isNull(), "no readable time"
         )
     return events.select("value", cause.alias("cause")).where(F.col("cause").isNotNull())
+
+
+def letter_messages(letters):
+    """(transactionId, value): dead letters as JSON text; they have no id to be keyed by."""
+    return letters.select(
+        F.lit(None).cast("string").alias("transactionId"), alerts.as_json("value", "cause").alias("value")
+    )
