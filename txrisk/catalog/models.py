@@ -57,9 +57,9 @@ def _scores(slug):
     def run(v):
         fitted = Fitted(v)
         model = fitted.fit(slug)
-        again = _recomputed(slug, model, fitted.test).select("transaction_id", "again")
         p = F.col("fraud_probability")
-        scored = classifiers.score_all({slug: model}, fitted.test, "class").join(again, "transaction_id")
+        again = _recomputed(slug, model, fitted.test)
+        scored = classifiers.score_all({slug: model}, again, "class", "again")
         return scored.select(
             "slug", "transaction_id", "class", (p.between(0, 1) & (F.abs(p - F.col("again")) < 1e-9)).alias("sound")
         )
