@@ -90,12 +90,48 @@ def test_rule_job_survives_a_restart_without_doubling(spark, tmp_path):
 
 def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
     paths = [str(tmp_path / p) for p in ("alerts", "letters")]
-    write = jobs._batch_writer(rules.high_amount_alerts, rules.dead_letters, *paths)
-    write(records(spark, GOOD), 4)
-    write(records(spark, GOOD), 4)
+    store = jobs._to_tables(*paths)
+    for _ in range(2):
+        events = rules.parsed(records(spark, GOOD))
+        store(rules.high_amount_alerts(events), rules.dead_letters(events), "own-id", 4)
     assert spark.read.parquet(paths[0]).count() == 1
 
 
+def test_a_fresh_checkpoint_loses_nothing(spark, tmp_path):
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    paths = [str(tmp_path / p) for p in ("alerts", "letters")]
+    for run, name in enumerate(("t1", "t2")):
+        (inbox / f"{run}.txt").write_text(lines({**GOOD, "transactionId": name}, "nope"))
+        source = endpoints.text_source(spark, str(inbox))
+        jobs.run_high_amount_rule(source, *paths, str(tmp_path / f"progress{run}"), once=True).awaitTermination()
+    alerts = spark.read.parquet(paths[0])
+    # The second job reads the first file again, under an id of its own.
+    assert sorted(r["transactionId"] for r in alerts.collect()) == ["t1", "t1", "t2"]
+    assert alerts.select("query").distinct().count() == 2 and alerts.where("query = 'None'").count() == 0
+
+
+def test_feed_reads_the_newest_days_only(spark, tmp_path):
+    days = spark.range(10).select(
+        F.expr("date_add(DATE '2024-01-01', CAST(id AS INT))").alias("day"),
+        F.concat(F.lit("2024-01-"), F.lpad((F.col("id") + 1).cast("string"), 2, "0")).alias("detectedAt"),
+        F.col("id").cast("string").alias("transactionId"),
+    )
+    days.write.partitionBy("day").parquet(str(tmp_path / "a"))
+    found = feed.alert_feed(spark, str(tmp_path / "a"), 3)
+    assert [r["transactionId"] for r in found.collect()] == ["9", "8", "7"]
+    assert "PartitionFilters: [isnotnull(day" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_kafka_frames(spark):
+    """What would go to a topic, without one: key and value as text."""
+    messages = rules.as_messages(rules.high_amount_alerts(records(spark, GOOD)))
+    letters = rules.letter_messages(rules.dead_letters(records(spark, "nope")))
+    assert messages.dtypes == letters.dtypes == [("transactionId", "string"), ("value", "string")]
+    row = letters.first()
+    assert row["transactionId"] is None and "not a JSON object" in row["value"]
+
+
 def test_table_sink_is_exactly_once(spark, tmp_path):
     inbox = tmp_path / "in"
     inbox.mkdir()
