@@ -36,7 +36,10 @@ register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 2
 BEFORE, END = np.uint64(0x1F3A), np.uint64(0x2E7B)  # stand for the start and the end of a text
-CHUNK_BYTES = 1 << 23  # texts whose n-grams are made distinct together
+CHUNK_BYTES = 1 << 22  # texts whose n-grams are made distinct together
+# Hash ranges of the longest n-grams for each shuffle partition; the shorter ones, far fewer, have one.
+RANGES_PER_PARTITION = 2
+MOST_OPEN = 8192 if sys.version_info >= (3, 13) else 256  # older versions spend a file number on each
 _OPEN = {}
 
 
@@ -117,24 +120,34 @@ def _range_of(hashes, ranges):
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _dealt_blobs(kind, columns, counts, keys, ranges):
-    """One row (kind, part, blob) for each hash range that has rows; rows in the order of words."""
+def _dealt_blobs(columns, counts, keys, ranges):
+    """{hash range: blob} of the ranges that have rows; rows in the order of words."""
     part = _range_of(keys, ranges)
     order = np.lexsort((columns[0], part))
     part, columns, counts = part[order], [c[order] for c in columns], [c[order] for c in counts]
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
-    for a, b in zip(edges, [*edges[1:], len(part)]):
-        yield kind, int(part[a]), _to_blob([c[a:b] for c in columns], [c[a:b] for c in counts])
+    return {
+        int(part[a]): _to_blob([c[a:b] for c in columns], [c[a:b] for c in counts])
+        for a, b in zip(edges, [*edges[1:], len(part)])
+    }
 
 
-BLOBS = "kind STRING, part INT, blob BINARY"
+BLOBS = "part INT, grams BINARY, contexts BINARY, figures ARRAY<BIGINT>"
 
 
-def _batch(rows):
-    kinds, parts, blobs = zip(*rows) if rows else ((), (), ())
+def _batch(grams, contexts=None, figures=None):
+    """One row for each range that has rows, and one, of range -1, with the figures of a level."""
+    contexts = contexts or {}
+    parts = sorted(grams.keys() | contexts.keys())
+    extra = [] if figures is None else [figures]
     return pa.RecordBatch.from_arrays(
-        [pa.array(kinds, pa.string()), pa.array(parts, pa.int32()), pa.array(blobs, pa.binary())],
-        names=["kind", "part", "blob"],
+        [
+            pa.array([*parts, *[-1] * len(extra)], pa.int32()),
+            pa.array([*map(grams.get, parts), *[None] * len(extra)], pa.binary()),
+            pa.array([*map(contexts.get, parts), *[None] * len(extra)], pa.binary()),
+            pa.array([*[None] * len(parts), *extra], pa.list_(pa.int64())),
+        ],
+        names=["part", "grams", "contexts", "figures"],
     )
 
 
@@ -147,7 +160,7 @@ def _count_texts(order, ranges):
             keys = gram_hash(columns)
             kept, (counts,) = _summed(keys, np.ones(len(keys), np.int64))
             columns = [c[kept] for c in columns]
-            return _batch(list(_dealt_blobs("gram", columns, [counts, counts], keys[kept], ranges)))
+            return _batch(_dealt_blobs(columns, [counts, counts], keys[kept], ranges))
 
         for table in tables:
             for _, data, offsets in W.batches(table.column(0)):
@@ -162,46 +175,43 @@ def _count_texts(order, ranges):
     return count
 
 
-def _reduce(level, order, ranges, folder):
+def _reduce(level, ranges, folder):
     """Adds up one hash range of a level, stores its arrays and sends on what the next level needs.
 
-    ``gram`` rows are words, KN counts and token counts; ``context`` rows of this level's n-grams
-    as contexts of the level above are one hash and four sums.
+    ``grams`` hold words, KN counts and token counts; ``contexts`` hold n-grams of this level as
+    contexts of the level above, by one hash, with four sums.
     """
-    def store(part, name, *arrays):
-        for number, array in enumerate(arrays):
-            shared_files.save_array(f"{folder}/{name}-{level}/{part}-{number}.npy", array)
+    def gathered(column, width, values):
+        found = [_from_blob(blob.as_buffer(), width, values) for blob in column if blob.is_valid]
+        columns = [np.concatenate(c) for c in zip(*(c for c, _ in found))]
+        return columns, [np.concatenate(v) for v in zip(*(v for _, v in found))]
 
     def reduce(group: pa.Table) -> pa.Table:
-        part, found = group.column("part")[0].as_py(), {"gram": [], "context": []}
-        for kind, blob in zip(group.column("kind").to_pylist(), group.column("blob")):
-            width, values = (level, 2) if kind == "gram" else (1, 4)
-            found[kind].append(_from_blob(blob.as_buffer(), width, values))
-        rows = []
-        if found["gram"]:
-            columns = [np.concatenate(c) for c in zip(*(c for c, _ in found["gram"]))]
-            counts, tokens = (np.concatenate(v) for v in zip(*(v for _, v in found["gram"])))
+        part, shorter, contexts, figures = group.column("part")[0].as_py(), {}, {}, None
+        columns, sums = gathered(group.column("grams"), level, 2)
+        if columns:
             keys = gram_hash(columns)
-            kept, (counts, tokens) = _summed(keys, counts, tokens)
+            kept, (counts, tokens) = _summed(keys, *sums)
             columns, keys = [c[kept] for c in columns], keys[kept]
-            store(part, "grams", keys, *pack(counts))
             if level == 1:
-                store(part, "tokens", *pack(tokens))
+                arrays = [keys, *pack(counts), *pack(tokens)]
             else:
-                shorter = gram_hash(columns[1:])
-                at, (lefts, sums) = _summed(shorter, np.ones(len(shorter), np.int64), tokens)
-                rows += _dealt_blobs("gram", [c[at] for c in columns[1:]], [lefts, sums], shorter[at], ranges)
-                context = gram_hash(columns[:-1])
-                at, sums = _summed(context, counts, *((counts == k).astype(np.int64) for k in (1, 2)), (counts > 2).astype(np.int64))
-                rows += _dealt_blobs("context", [context[at]], sums, context[at], ranges)
+                arrays = [keys, *pack(counts)]
+                tails = gram_hash(columns[1:])
+                at, (lefts, sums) = _summed(tails, np.ones(len(tails), np.int64), tokens)
+                shorter = _dealt_blobs([c[at] for c in columns[1:]], [lefts, sums], tails[at], ranges)
+                heads = gram_hash(columns[:-1])
+                each = [(counts == 1), (counts == 2), (counts > 2)]
+                at, sums = _summed(heads, counts, *(e.astype(np.int64) for e in each))
+                contexts = _dealt_blobs([heads[at]], sums, heads[at], ranges)
+            shared_files.save_arrays(f"{folder}/grams-{level}/{part}", arrays)
             figures = [len(keys), counts.sum(), tokens.sum(), *((counts == k).sum() for k in (1, 2, 3, 4))]
-            rows.append(("figures", -1, np.array(figures, np.int64).tobytes()))
-        if found["context"]:
-            keys = np.concatenate([c[0] for c, _ in found["context"]])
-            sums = [np.concatenate(v) for v in zip(*(v for _, v in found["context"]))]
-            at, sums = _summed(keys, *sums)
-            store(part, "contexts", keys[at], *(a for s in sums for a in pack(s)))
-        return pa.Table.from_batches([_batch(rows)])
+        columns, sums = gathered(group.column("contexts"), 1, 4)
+        if columns:
+            at, sums = _summed(columns[0], *sums)
+            arrays = [columns[0][at], *(a for s in sums for a in pack(s))]
+            shared_files.save_arrays(f"{folder}/contexts-{level}/{part}", arrays)
+        return pa.Table.from_batches([_batch(shorter, contexts, figures)])
 
     return reduce
 
@@ -212,7 +222,7 @@ class Model:
 
     folder: str
     order: int
-    ranges: int
+    ranges: tuple  # hash ranges of level 1, 2 and so on
     tokens: int
     words: int
     discounts: tuple  # of level 1, 2 and so on: D(1), D(2), D(3+)
@@ -232,35 +242,39 @@ def _discounts(figures):
 def fit(docs, text_column="text", order=ORDER):
     """Counts the model over all texts and stores its arrays; runs one job per level."""
     spark = docs.sparkSession
-    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ranges = (partitions,) * (order - 1) + (RANGES_PER_PARTITION * partitions,)
     folder = scratch_path(spark, "ngrams")
-    blobs = docs.select(F.col(f"`{text_column}`").alias("text")).mapInArrow(_count_texts(order, ranges), BLOBS)
+    texts = docs.select(F.col(f"`{text_column}`").alias("text"))
+    blobs = texts.mapInArrow(_count_texts(order, ranges[-1]), BLOBS)
     figures = {}
     for level in range(order, 0, -1):
         # The hash range is the key itself: each is one group, about as large as the others.
-        dealt = blobs.where(F.col("part") >= 0).groupBy("part").applyInArrow(_reduce(level, order, ranges, folder), BLOBS)
+        reduce = _reduce(level, ranges[level - 2], folder)
         path = scratch_path(spark, f"ngram-level-{level}")
-        dealt.write.parquet(path)
+        blobs.where(F.col("part") >= 0).groupBy("part").applyInArrow(reduce, BLOBS).write.parquet(path)
         blobs = spark.read.schema(BLOBS).parquet(path)
-        rows = blobs.where(F.col("kind") == "figures").select("blob").collect()
-        figures[level] = sum((np.frombuffer(r["blob"], np.int64) for r in rows), np.zeros(7, np.int64))
+        each = F.posexplode("figures").alias("place", "figure")
+        rows = blobs.where(F.col("part") == -1).select(each).groupBy("place").agg(F.sum("figure").alias("sum"))
+        found = {r["place"]: r["sum"] for r in rows.collect()}
+        figures[level] = [found.get(place, 0) for place in range(7)]
     one = figures[1]
-    more = int(one[0] - one[3] - one[4])
+    more = one[0] - one[3] - one[4]
     return Model(
-        folder, order, ranges, int(one[2]), int(one[0]),
+        folder, order, ranges, one[2], one[0],
         tuple(_discounts(figures[level]) for level in range(1, order + 1)),
-        (int(one[0]), int(one[1]), int(one[3]), int(one[4]), more),
+        (one[0], one[1], one[3], one[4], more),
     )
 
 
-def _opened(model, name, level, part, arrays):
+def _opened(model, name, level, part):
     """The mapped arrays of one hash range, or None where it holds nothing."""
     key = (model.folder, name, level, part)
     if key not in _OPEN:
-        if len(_OPEN) > 4096:
-            _OPEN.clear()
+        if len(_OPEN) >= MOST_OPEN:
+            _OPEN.pop(next(iter(_OPEN)))
         try:
-            _OPEN[key] = [shared_files.map_array(f"{model.folder}/{name}-{level}/{part}-{i}.npy") for i in range(arrays)]
+            _OPEN[key] = shared_files.map_arrays(f"{model.folder}/{name}-{level}/{part}")
         except FileNotFoundError:
             _OPEN[key] = None
     return _OPEN[key]
@@ -279,15 +293,11 @@ def _look_up(model, level, hashes, sums):
     """``sums`` columns for every hash, zeros where it isn't stored."""
     wanted, back = np.unique(hashes, return_inverse=True)
     out = np.zeros((sums, len(wanted)), np.int64)
-    edges = np.searchsorted(_range_of(wanted, model.ranges), np.arange(model.ranges + 1))
+    ranges = model.ranges[level - 1]
+    edges = np.searchsorted(_range_of(wanted, ranges), np.arange(ranges + 1))
     for part in np.flatnonzero(np.diff(edges)):
         a, b = edges[part], edges[part + 1]
-        if sums == 4:
-            arrays = _opened(model, "contexts", level, part, 13)
-        else:
-            arrays = _opened(model, "grams", level, part, 4)
-            if arrays is not None and sums == 2:
-                arrays = arrays + _opened(model, "tokens", level, part, 3)
+        arrays = _opened(model, "contexts" if sums == 4 else "grams", level, part)
         if arrays is None:
             continue
         at = np.minimum(np.searchsorted(arrays[0], wanted[a:b]), len(arrays[0]) - 1)

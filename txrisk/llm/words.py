@@ -49,19 +49,21 @@ def _powers(n):
     return _CACHE["powers"]
 
 
-def batches(column, most_bytes=BATCH_BYTES):
-    """(first row, data, offsets) for runs of rows of about ``most_bytes``, a longer text alone."""
-    column = column.fill_null("")
-    if not pa.types.is_large_string(column.type):
-        column = column.cast(pa.large_string())
-    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset:column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)
-    row = 0
-    while row < len(column):
-        end = int(np.searchsorted(offsets, offsets[row] + most_bytes, side="right")) - 1
-        end = min(max(end, row + 1), len(column))
-        yield row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
-        row = end
+def batches(column, most_bytes=BATCH_BYTES, most_rows=1024):
+    """(first row, data, offsets) for runs of rows of about ``most_bytes``, a longer text alone.
+
+    Rows are taken ``most_rows`` at a time, so that no copy of a whole Arrow batch is made.
+    """
+    for first in range(0, len(column), most_rows):
+        part = column.slice(first, most_rows).fill_null("").cast(pa.large_string())
+        offsets = np.frombuffer(part.buffers()[1], np.int64)[part.offset:part.offset + len(part) + 1]
+        data = np.frombuffer(part.buffers()[2] or b"", np.uint8)
+        row = 0
+        while row < len(part):
+            end = int(np.searchsorted(offsets, offsets[row] + most_bytes, side="right")) - 1
+            end = min(max(end, row + 1), len(part))
+            yield first + row, data[offsets[row]:offsets[end]], offsets[row:end + 1] - offsets[row]
+            row = end
 
 
 def words(data, offsets):
