@@ -188,6 +188,8 @@ def _reduce(level, ranges, folder):
 
     def reduce(group: pa.Table) -> pa.Table:
         part, shorter, contexts, figures = group.column("part")[0].as_py(), {}, {}, None
+        if part < 0:
+            return group  # the figures of longer n-grams pass
         columns, sums = gathered(group.column("grams"), level, 2)
         if columns:
             keys = gram_hash(columns)
@@ -205,7 +207,7 @@ def _reduce(level, ranges, folder):
                 at, sums = _summed(heads, counts, *(e.astype(np.int64) for e in each))
                 contexts = _dealt_blobs([heads[at]], sums, heads[at], ranges)
             shared_files.save_arrays(f"{folder}/grams-{level}/{part}", arrays)
-            figures = [len(keys), counts.sum(), tokens.sum(), *((counts == k).sum() for k in (1, 2, 3, 4))]
+            figures = [level, len(keys), counts.sum(), tokens.sum(), *((counts == k).sum() for k in (1, 2, 3, 4))]
         columns, sums = gathered(group.column("contexts"), 1, 4)
         if columns:
             at, sums = _summed(columns[0], *sums)
@@ -240,24 +242,23 @@ def _discounts(figures):
 
 
 def fit(docs, text_column="text", order=ORDER):
-    """Counts the model over all texts and stores its arrays; runs one job per level."""
+    """Counts the model over all texts in one job, whose reducers store the arrays."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
     ranges = (partitions,) * (order - 1) + (RANGES_PER_PARTITION * partitions,)
     folder = scratch_path(spark, "ngrams")
     texts = docs.select(F.col(f"`{text_column}`").alias("text"))
     blobs = texts.mapInArrow(_count_texts(order, ranges[-1]), BLOBS)
-    figures = {}
     for level in range(order, 0, -1):
         # The hash range is the key itself: each is one group, about as large as the others.
-        reduce = _reduce(level, ranges[level - 2], folder)
-        path = scratch_path(spark, f"ngram-level-{level}")
-        blobs.where(F.col("part") >= 0).groupBy("part").applyInArrow(reduce, BLOBS).write.parquet(path)
-        blobs = spark.read.schema(BLOBS).parquet(path)
-        each = F.posexplode("figures").alias("place", "figure")
-        rows = blobs.where(F.col("part") == -1).select(each).groupBy("place").agg(F.sum("figure").alias("sum"))
-        found = {r["place"]: r["sum"] for r in rows.collect()}
-        figures[level] = [found.get(place, 0) for place in range(7)]
+        blobs = blobs.groupBy("part").applyInArrow(_reduce(level, ranges[level - 2], folder), BLOBS)
+    each = blobs.where(F.col("part") == -1).select(
+        F.col("figures")[0].alias("level"), F.posexplode(F.slice("figures", 2, 7)).alias("place", "figure")
+    )
+    rows = each.groupBy("level", "place").agg(F.sum("figure").alias("sum")).collect()  # runs the counting
+    figures = {level: [0] * 7 for level in range(1, order + 1)}
+    for row in rows:
+        figures[row["level"]][row["place"]] = row["sum"]
     one = figures[1]
     more = one[0] - one[3] - one[4]
     return Model(
