@@ -28,7 +28,7 @@ from txrisk.llm import words as W
 register_pickle_by_value(sys.modules[__name__])
 
 HIDDEN, WINDOW, AT_ONCE = 8, 64, 4096
-DOCS_PER_LANGUAGE, STRETCH = 1500, 512
+DOCS_PER_LANGUAGE, STRETCH, MAX_LANGUAGES = 1500, 512, 200
 STEPS, BATCH, RATE, SEED = 450, 192, 0.02, 3
 UNDECIDED = "und"
 
@@ -191,14 +191,19 @@ def fit(labelled, text_column="text", lang_column="lang", docs_per_language=DOCS
     known = labelled.where(text.isNotNull() & lang.isNotNull() & (text != "")).select(
         lang.cast("string").alias("lang"), text.alias("text")
     )
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("held"))
+    counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages are more than one network can learn")
+    if not counts:
+        return [], None
+    held = F.create_map(*[F.lit(part) for row in counts for part in row])
     # About three times the wanted share of each language's hashes, whatever its size; the exact
     # number is taken from these few. Copies have one hash and fold in the map tasks.
     place = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
     start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
     drawn = (
-        known.withColumn("h", F.xxhash64("text")).join(counts, "lang")
-        .where(place * F.col("held") < 3.0 * docs_per_language)
+        known.withColumn("h", F.xxhash64("text"))
+        .where(place * held[F.col("lang")] < 3.0 * docs_per_language)
         .groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(STRETCH))).alias("stretch"))
     )
     order = Window.partitionBy("lang").orderBy("h")
@@ -206,8 +211,6 @@ def fit(labelled, text_column="text", lang_column="lang", docs_per_language=DOCS
     picked = picked.select("lang", "n", "stretch")
     rows = sorted(picked.toArrow().to_pylist(), key=lambda r: (r["lang"], r["n"]))
     languages = sorted({r["lang"] for r in rows})
-    if not languages:
-        return [], None
     number = {lang: i for i, lang in enumerate(languages)}
     return languages, train_network(
         [r["stretch"].encode() for r in rows], [number[r["lang"]] for r in rows], len(languages)
