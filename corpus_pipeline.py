@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 
 from txrisk.llm import bpe, langid
 from txrisk.llm.catalog import mix_documents, public_tokenizer
-from txrisk.llm.near_dedup import near_duplicates
+from txrisk.llm.near_dedup import near_duplicates, with_maybe
 from txrisk.session import written
 
 ORACLE_SQL = None  # the language model and the similarity classes have no SQL form
@@ -30,15 +30,22 @@ def deduplicated(spark, docs, sf_dir):
     Rows that repeat an id are one document, of which the smallest row by text stays. Rows with a
     null id have no class and stay.
     """
-    classes = written(near_duplicates(docs), "classes")
-    gone = classes.where(F.col("doc_id") != F.col("class_id")).select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    ids = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows"))
-    again = written(ids.where(F.col("__rows") > 1).select("doc_id"), "repeated-ids")
-    once = kept.join(again, "doc_id", "left_anti").select(*docs.columns)
+    classes = near_duplicates(docs).select(
+        F.col("doc_id").alias("id"), (F.col("doc_id") != F.col("class_id")).alias("__gone")
+    )
+    ids = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"))
+    counted = ids.agg((F.count(F.lit(1)) > 1).alias("__again"))
+    marks = written(classes.join(counted, "id").where(F.col("__gone") | F.col("__again")), "marked-ids")
+    # Only rows that the bitmap cannot clear meet the marks, so few texts are shuffled.
+    marked = with_maybe(docs, marks.select("id"), "doc_id")
+    clear = marked.where(~F.col("__maybe")).select(*docs.columns)
+    unsure = marked.where("__maybe").drop("__maybe").join(
+        marks.withColumnRenamed("id", "__id"), F.col("doc_id") == F.col("__id"), "left"
+    ).where(~F.coalesce("__gone", F.lit(False)))
+    again = F.coalesce("__again", F.lit(False))
     order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    first = kept.join(again, "doc_id", "left_semi").withColumn("__place", F.row_number().over(order))
-    return once.unionByName(first.where(F.col("__place") == 1).select(*docs.columns))
+    once = unsure.where(again).withColumn("__place", F.row_number().over(order)).where(F.col("__place") == 1)
+    return clear.unionByName(unsure.where(~again).select(*docs.columns)).unionByName(once.select(*docs.columns))
 
 
 def mixed(spark, docs, sf_dir):

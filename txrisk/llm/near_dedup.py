@@ -157,20 +157,30 @@ def _compared(tables):
         ], names=["a", "b", "similarity", "edits"])
 
 
-def maybe_among(docs, ids, bits=FILTER_BITS):
-    """The rows whose id is one of ``ids``, and few others: a filter by one broadcast bitmap.
+def with_maybe(docs, ids, id_column="id", bits=FILTER_BITS):
+    """``docs`` with ``__maybe``: false where the id is surely none of ``ids`` (id), by one bitmap.
 
-    The bitmap has a fixed size however many ids there are; with very many it lets more rows pass.
+    The broadcast bitmap has a fixed size however many ids there are; with very many of them more
+    rows are true. Null ids are false.
     """
-    place = F.pmod(F.xxhash64("id"), F.lit(bits)) + 1
-    bitmap = ids.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(
+    def place_of(column):
+        return F.when(column.isNotNull(), F.pmod(F.xxhash64(column.cast("bigint")), F.lit(bits)) + 1)
+
+    place = place_of(F.col(f"`{id_column}`"))
+    bitmap = ids.select(place_of(F.col("id")).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("__bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("__bits")
     )
     placed = docs.withColumns({"__bucket": F.bitmap_bucket_number(place), "__at": F.bitmap_bit_position(place)})
     byte = F.substring("__bits", (F.col("__at") / 8).cast("int") + 1, F.lit(1))
     number = F.conv(F.hex(byte), 16, 10).cast("int")
     hit = number.bitwiseAND(F.pow(F.lit(2), F.col("__at") % 8).cast("int")) > 0
-    return placed.join(F.broadcast(bitmap), "__bucket").where(hit).select(*docs.columns)
+    marked = placed.join(F.broadcast(bitmap), "__bucket", "left")
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], F.coalesce(hit, F.lit(False)).alias("__maybe"))
+
+
+def maybe_among(docs, ids, bits=FILTER_BITS):
+    """The rows whose id is one of ``ids``, and few others."""
+    return with_maybe(docs, ids, bits=bits).where("__maybe").drop("__maybe")
 
 
 def shingle_sets(docs, ids):
