@@ -12,7 +12,7 @@ from pyspark.cloudpickle import register_pickle_by_value
 
 register_pickle_by_value(sys.modules[__name__])
 
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 SHINGLE_WORDS = 5
 _STEP = 0x9E3779B97F4A7C15  # odd, so its powers have inverses modulo 2^64
 _CACHE = {}
