@@ -340,6 +340,19 @@ def test_near_duplicates_of_a_large_group(spark):
     assert found == classes_of(texts)
 
 
+def test_near_duplicates_that_repeat_lines_unequally(spark):
+    """Pages of equal lines, of which each repeats another half: all are similar as sets."""
+    texts = {}
+    for page in range(30):
+        lines = [" ".join(f"p{page}l{line}w{word}" for word in range(40)) for line in range(10)]
+        for half in range(2):
+            repeated = [" ".join([line] * (30 if i % 2 == half else 1)) for i, line in enumerate(lines)]
+            texts[2 * page + half] = " ".join(repeated)
+    table = spark.createDataFrame(list(texts.items()), "id BIGINT, body STRING")
+    found = {r.id: r.class_id for r in near_dedup.near_duplicates(table, **NAMES).collect()}
+    assert found == classes_of(texts) == {i: i - i % 2 for i in texts}
+
+
 def test_signatures_estimate_probability_jaccard():
     rng = np.random.default_rng(8)
     items = rng.integers(1, 2**63, 300).astype(np.uint64)

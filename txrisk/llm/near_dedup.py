@@ -4,8 +4,10 @@ A text is its set of five-word shingles, each with weight 1 + ln(count). A shing
 process whose rate is its weight; every arrival falls into a random register, and a register keeps
 the shingle that arrived first (ProbMinHash, Ertl 2020). Two texts agree in a register with the
 probability Jaccard similarity of their weighted sets. Arrivals are drawn until no shingle can still
-beat the slowest register. Runs of ``BAND_ROWS`` registers are buckets: at similarity 0.8 a pair
-shares none of ``BANDS`` buckets with probability 5e-5.
+beat the slowest register. Runs of ``BAND_ROWS`` registers are buckets. As links are decided by the
+plain sets, a text that repeats shingles goes into the buckets of a second signature too, with all
+weights 1, where the probability is the similarity of the sets: at 0.8 a pair shares none of
+``BANDS`` buckets with probability 5e-5, however often either text repeats what it holds.
 
 Candidates are verified by the exact Jaccard similarity of their shingle sets. To verify a bucket
 without all of its pairs, its members are compared with its most central member, the one that meets
@@ -103,6 +105,24 @@ def band_keys(signatures, rows=BAND_ROWS, bands=BANDS):
     return total
 
 
+def bucket_keys(texts, of, items, weights):
+    """(text, key): the distinct keys of each text by its weighted shingles and by their plain set.
+
+    Both signatures have the same buckets. Texts that repeat no shingle have one signature.
+    """
+    weighted = band_keys(prob_min_hash(texts, of, items, weights))
+    again = np.unique(of[weights > 1])
+    own = np.isin(of, again)
+    plain = band_keys(prob_min_hash(len(again), np.searchsorted(again, of[own]), items[own], np.ones(own.sum())))
+    text = np.repeat(np.concatenate([np.arange(texts), again]), BANDS)
+    keys = np.concatenate([weighted, plain]).ravel()
+    order = np.lexsort((keys, text))
+    text, keys = text[order], keys[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (text[1:] != text[:-1])
+    return text[new], keys[new]
+
+
 def _sketch(tables):
     for table in tables:
         ids = table.column(0)
@@ -111,11 +131,11 @@ def _sketch(tables):
             text, _, _, hashes = W.words(data, offsets)
             print1, print2, worded = fingerprints(texts, text, hashes)
             of, items, weights = weighted_shingles(text, hashes)
-            keys = band_keys(prob_min_hash(texts, of, items, weights))
+            owner, keys = bucket_keys(texts, of, items, weights)
             keep = np.flatnonzero(worded)
-            lists = pa.ListArray.from_arrays(
-                np.arange(len(keep) + 1, dtype=np.int32) * BANDS, keys[keep].astype(np.int64).ravel()
-            )
+            kept = worded[owner]
+            edges = np.searchsorted(owner[kept], np.append(keep, texts)).astype(np.int32)
+            lists = pa.ListArray.from_arrays(edges, keys[kept].astype(np.int64))
             yield pa.RecordBatch.from_arrays([
                 ids.slice(row, texts).take(pa.array(keep)), pa.array(print1[keep].astype(np.int64)),
                 pa.array(print2[keep].astype(np.int64)), lists,
