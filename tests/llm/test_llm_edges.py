@@ -203,6 +203,18 @@ def test_language_edges(rows, empty):
     assert kept.columns == rows.columns and sorted(r.id for r in kept.collect()) == [1, 5, 6, 6, 7, 9]
 
 
+def test_copies_take_no_other_text_out_of_the_training(spark, monkeypatch):
+    """One language is nearly all copies of one page, another one nothing but copies."""
+    pages = [(f"page {i} of the {lang} texts", lang) for lang in ("en", "fr") for i in range(30)]
+    copied = spark.range(20_000).select(F.lit("la page").alias("body"), F.lit("fr").alias("lang"))
+    only = spark.range(20_000).select(F.lit("una pagina").alias("body"), F.lit("es").alias("lang"))
+    labelled = spark.createDataFrame(pages, "body STRING, lang STRING").unionByName(copied).unionByName(only)
+    monkeypatch.setattr(langid, "train_network", lambda stretches, labels, languages: (stretches, labels))
+    languages, (stretches, labels) = langid.fit(labelled, "body", docs_per_language=20)
+    assert languages == ["en", "es", "fr"] and np.bincount(labels).tolist() == [20, 1, 20]
+    assert len(set(stretches)) == 41
+
+
 def test_gradients_by_differences():
     rng = np.random.default_rng(2)
     network = {k: v.astype(np.float64) for k, v in langid.new_network(3, rng, hidden=4).items()}

@@ -191,19 +191,21 @@ def fit(labelled, text_column="text", lang_column="lang", docs_per_language=DOCS
     known = labelled.where(text.isNotNull() & lang.isNotNull() & (text != "")).select(
         lang.cast("string").alias("lang"), text.alias("text")
     )
-    counts = known.groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
+    known = known.withColumn("h", F.xxhash64("text"))
+    # Different texts, as copies are drawn once: a page copied often takes no other page's place.
+    # Pairs of language and hash are narrow, and copies fold in the map tasks.
+    counts = known.select("lang", "h").distinct().groupBy("lang").count().limit(MAX_LANGUAGES + 1).collect()
     if len(counts) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages are more than one network can learn")
     if not counts:
         return [], None
     held = F.create_map(*[F.lit(part) for row in counts for part in row])
     # About three times the wanted share of each language's hashes, whatever its size; the exact
-    # number is taken from these few. Copies have one hash and fold in the map tasks.
+    # number is taken from these few.
     place = F.col("h").cast("double") / F.lit(2.0**64) + 0.5
     start = F.pmod("h", F.greatest(F.lit(1), F.length("text") - STRETCH + 1)).cast("int") + 1
     drawn = (
-        known.withColumn("h", F.xxhash64("text"))
-        .where(place * held[F.col("lang")] < 3.0 * docs_per_language)
+        known.where(place * held[F.col("lang")] < 3.0 * docs_per_language)
         .groupBy("lang", "h").agg(F.min(F.substring("text", start, F.lit(STRETCH))).alias("stretch"))
     )
     order = Window.partitionBy("lang").orderBy("h")
