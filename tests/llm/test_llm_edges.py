@@ -1,6 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
 import random
+import zlib
 
 import numpy as np
 import pytest
@@ -154,6 +155,18 @@ def test_lm_is_modified_kneser_ney(spark, order):
         assert r.score == pytest.approx(sum(logs)) and r.perplexity == pytest.approx(10 ** (-sum(logs) / len(logs)))
 
 
+def test_registered_lm_sees_two_words_of_context(spark, tmp_path):
+    rng = random.Random(6)
+    texts = {i: [rng.choice("abcdefg") for _ in range(rng.randint(0, 12))] for i in range(60)}
+    table = spark.createDataFrame([(i, " ".join(t)) for i, t in texts.items()], "doc_id BIGINT, text STRING")
+    table.write.parquet(f"{tmp_path}/documents.parquet")
+    probability, _ = kneser_ney([t for i, t in texts.items() if zlib.crc32(str(i).encode()) % 7 != 2], 3)
+    for r in catalog.op3_lm_scores(spark, str(tmp_path)).collect():
+        row = ["<", "<", *texts[r.doc_id], ">"]
+        logs = [np.log10(probability(tuple(row[i - 2:i + 1]))) for i in range(2, len(row))]
+        assert r.score == pytest.approx(sum(logs))
+
+
 def test_packed_counts():
     counts = np.array([0, 1, 254, 255, 256, 70_000, 3])
     assert lm.unpack(*lm.pack(counts)).tolist() == counts.tolist()

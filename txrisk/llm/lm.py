@@ -34,7 +34,7 @@ from txrisk.session import scratch_path
 
 register_pickle_by_value(sys.modules[__name__])
 
-ORDER = 2
+ORDER = 3
 BEFORE, END = np.uint64(0x1F3A), np.uint64(0x2E7B)  # stand for the start and the end of a text
 CHUNK_BYTES = 1 << 22  # texts whose n-grams are made distinct together
 # Hash ranges of the longest n-grams for each shuffle partition; the shorter ones, far fewer, have one.
