@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from txrisk.llm import ann, bpe, chat, langid, licenses, lm, mixing, near_dedup, topk, url_filter
+from txrisk.llm import ann, bpe, chat, codes, langid, licenses, lm, merkle, mixing, near_dedup, quality, topk, url_filter
 
 QUERIES, ORACLES = {}, {}
 
@@ -267,3 +267,158 @@ def op3_lm_scores(spark, folder):
 @query
 def op1_license_scan(spark, folder):
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query
+def op11_quality_scores(spark, folder):
+    docs = table(spark, folder, "documents")
+    held_out = fold_of(F.col("doc_id"), 4) == 2
+    model = quality.fit(docs.where(~held_out), table(spark, folder, "labels"))
+    return quality.predict(docs, model).select(
+        "doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted")
+    )
+
+
+LEAF_COLUMNS = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+@query
+def op12_merkle_manifest(spark, folder):
+    docs = table(spark, folder, "documents")
+    touched = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    changed = [F.col(c) + 1 if c == "n_chars" else F.col(c) for c in LEAF_COLUMNS]
+    found = merkle.manifest(
+        docs, LEAF_COLUMNS, "lang", "doc_id",
+        doc_id=F.col("doc_id"), tampered=F.when(touched, merkle.leaf_of(*changed)),
+    )
+    folded = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    proved = found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    )
+    return proved.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+def _field_sql(value):
+    return f"coalesce(strlen(({value})::VARCHAR) || ':' || ({value})::VARCHAR, '-')"
+
+
+def _leaf_sql(**changed):
+    return "sha256(" + " || ".join(_field_sql(changed.get(c, c)) for c in LEAF_COLUMNS) + ")"
+
+
+#: crc32 of a number's decimal digits, bit by bit.
+_CRC_SQL = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    [ord(d)::BIGINT FOR d IN string_split({0}::VARCHAR, '')]),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT FOR i IN range(8)]),
+        lambda x, y: xor(x >> 1, (x & 1) * 3988292384))))"""
+
+
+def _tree_sql(name, leaves):
+    """Nodes (tree, level, pos, size, node) of the trees over ``leaves`` (tree, pos, size, node)."""
+    return f"""
+{name} AS (
+    SELECT tree, 0 AS level, pos, size, node FROM {leaves}
+    UNION ALL
+    SELECT tree, max(level) + 1, pos // 2, (max(size) + 1) // 2, sha256(string_agg(node, '' ORDER BY pos))
+    FROM {name} WHERE size > 1 GROUP BY tree, pos // 2
+)"""
+
+
+def _path_sql(leaves, nodes):
+    """A list of (side, sibling) of each leaf, level by level; the side is empty where there is none."""
+    return f"""
+    SELECT l.tree, l.pos, list(CASE WHEN s.node IS NULL THEN '-' WHEN s.pos < n.pos THEN 'L' || s.node
+            ELSE 'R' || s.node END ORDER BY n.level) AS steps
+    FROM {leaves} l JOIN {nodes} n ON n.tree = l.tree AND n.size > 1 AND n.pos = l.pos >> n.level
+    LEFT JOIN {nodes} s ON s.tree = n.tree AND s.level = n.level AND s.pos = xor(n.pos, 1)
+    GROUP BY l.tree, l.pos"""
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE hashed AS (
+    SELECT doc_id, lang, {_leaf_sql()} AS leaf, CASE WHEN {_CRC_SQL.format("doc_id")} % 7 = 0
+        THEN {_leaf_sql(n_chars="n_chars + 1")} ELSE {_leaf_sql()} END AS tampered
+    FROM documents
+),
+leaves AS (
+    SELECT *, coalesce('1' || lang, '0') AS tree, leaf AS node,
+        row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos,
+        count(*) OVER (PARTITION BY lang) AS size
+    FROM hashed
+),
+{_tree_sql("nodes", "leaves")},
+groups AS (
+    SELECT '' AS tree, tree AS name, node,
+        row_number() OVER (ORDER BY encode(tree)) - 1 AS pos, count(*) OVER () AS size
+    FROM nodes WHERE size = 1
+),
+{_tree_sql("top", "groups")},
+low AS ({_path_sql("leaves", "nodes")}),
+high AS ({_path_sql("groups", "top")}),
+proved AS (
+    SELECT l.doc_id, l.leaf, l.tampered, g.node AS subroot, r.node AS root,
+        list_concat(coalesce(low.steps, []), coalesce(high.steps, [])) AS steps
+    FROM leaves l JOIN groups g ON g.name = l.tree JOIN top r ON r.size = 1
+    LEFT JOIN low ON low.tree = l.tree AND low.pos = l.pos LEFT JOIN high ON high.pos = g.pos
+)
+SELECT doc_id, leaf, subroot, root,
+    sha256(array_to_string([s[2:] FOR s IN steps], '')) AS proof_sha256,
+    list_reduce(list_prepend(tampered, steps), lambda node, s: sha256(CASE s[1]
+        WHEN 'L' THEN s[2:] || node WHEN 'R' THEN node || s[2:] ELSE node END)) AS folded_root,
+    folded_root = root AS verified
+FROM proved
+"""
+
+
+@query
+def op13_vector_codes(spark, folder):
+    coded, books = codes.compress(table(spark, folder, "embeddings"))
+    digest = F.lit(books.sha256() if books else None).cast("string")
+    return codes.with_label_errors(coded).select(
+        F.col("id").alias("vec_id"), "code", "error", "label_error", digest.alias("codebooks_sha256")
+    )
+
+
+def _round_sql(number):
+    """SQL of one round: every part's nearest entry, then the moved entries."""
+    return f"""
+near_{number} AS MATERIALIZED (
+    SELECT p.row, p.part, any_value(p.v) AS v, min(d) AS least, arg_min(entry, (d, entry)) AS entry FROM (
+        SELECT p.row, p.part, p.v, e.entry, CAST(list_sum([(p.v[i] - e.v[i]) ** 2 FOR i IN range(1, len(p.v) + 1)]) AS BIGINT) AS d
+        FROM parts p JOIN books_{number} e USING (part)) p
+    GROUP BY p.row, p.part
+),
+moved_{number} AS (
+    SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS v FROM (
+        SELECT part, entry, i, sum(v[i])::BIGINT AS s, count(*) AS n
+        FROM (SELECT part, entry, v, unnest(range(1, len(v) + 1)) AS i FROM near_{number}) GROUP BY ALL)
+    GROUP BY part, entry
+),
+books_{number + 1} AS MATERIALIZED (
+    SELECT part, entry, coalesce(m.v, b.v) AS v FROM books_{number} b LEFT JOIN moved_{number} m USING (part, entry)
+)"""
+
+
+ORACLES["op13_vector_codes"] = f"""
+WITH kept AS MATERIALIZED (
+    SELECT row_number() OVER (ORDER BY vec_id, v) AS row, vec_id, label, v FROM (
+        SELECT vec_id, label, [CAST(floor({codes.SCALE} * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS v
+        FROM embeddings
+        WHERE embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0)
+),
+parts AS MATERIALIZED (
+    SELECT row, part, v[part * len(v) // {codes.PARTS} + 1:(part + 1) * len(v) // {codes.PARTS}] AS v
+    FROM (SELECT row, v, unnest(range({codes.PARTS})) AS part FROM kept)
+),
+books_0 AS MATERIALIZED (SELECT part, row - 1 AS entry, v FROM parts WHERE row <= {codes.ENTRIES}),
+{",".join(map(_round_sql, range(codes.ROUNDS + 1)))},
+coded AS (
+    SELECT row, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(least)::BIGINT AS error
+    FROM near_{codes.ROUNDS} GROUP BY row
+)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+    (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) FROM books_{codes.ROUNDS})
+        AS codebooks_sha256
+FROM coded JOIN kept USING (row)
+"""
