@@ -149,7 +149,8 @@ def _climb(nodes, largest, arity, levels, above=None):
 def manifest(rows, columns, group_column, order_column, arity=ARITY, levels=LEVELS, **carried):
     """(carried columns, leaf, subroot, root, path) of every row.
 
-    ``carried`` names columns of the result by expressions over the rows. ``path`` lists, from the leaf
+    ``carried`` names columns of the result by expressions over the rows; without any it is the order
+    column. ``path`` lists, from the leaf
     to the root, the digests ``left`` and ``right`` of the node among its siblings.
     """
     def above(trees):
@@ -157,6 +158,7 @@ def manifest(rows, columns, group_column, order_column, arity=ARITY, levels=LEVE
         top = _climb(*_placed(named, "group"), arity, levels)
         return top.select(F.col("group").alias("tree"), "path", F.col("subroot").alias("root"))
 
+    carried = carried or {order_column: F.col(f"`{order_column}`")}
     group = F.col(f"`{group_column}`").cast("string")
     leaves = rows.select(
         # never null, and in the order of the groups, null first
