@@ -114,7 +114,7 @@ def _(v):
               round(stddev_samp(amount), 4) AS stddev FROM labeled""",
 )
 def _(v):
-    row = profiling.amount_statistics(v.labeled).select("min", "max", "mean", "stddev")
+    row = profiling.amount_moments(v.labeled)
     return rounded(rounded(row, "min", "max", digits=2), "mean", "stddev", digits=4)
 
 
@@ -124,7 +124,7 @@ def _(v):
               quantile_disc(amount, 0.75) AS q75 FROM labeled""",
 )
 def _(v):
-    return profiling.amount_statistics(v.labeled).select("q25", "q50", "q75")
+    return profiling.amount_quartiles(v.labeled)
 
 
 @query(
@@ -239,13 +239,11 @@ def _(v):
 )
 def _(v):
     fraud = v.stored.where(F.col("class") == 1)
-    parts = [
-        reports.quantile_bounds(df, "amount", low, 0.99).select(
-            F.lit(part).alias("part"), "lower", "upper"
-        )
+    rows = [
+        (part, *reports.quantile_bounds(df, "amount", low, 0.99))
         for part, df, low in (("all", v.stored, 0.01), ("fraud", fraud, 0.0))
     ]
-    return parts[0].unionByName(parts[1])
+    return v.spark.createDataFrame(rows, "part STRING, lower DOUBLE, upper DOUBLE")
 
 
 @query(

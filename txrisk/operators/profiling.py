@@ -5,7 +5,9 @@ from pyspark.sql import functions as F
 from txrisk.functions import text
 from txrisk.functions.scoring import percentage
 from txrisk.operators.cleaning import usable_amount
-from txrisk.settings import QUANTILE_ACCURACY
+from txrisk.operators.quantiles import exact_quantiles
+
+QUARTILES = {"q25": 0.25, "q50": 0.5, "q75": 0.75}
 
 
 def raw_profile(raw):
@@ -68,22 +70,29 @@ def class_distribution(df, column="class"):
     return counts.withColumn("percentage", percentage(F.col("count"), whole)).orderBy(column)
 
 
-def amount_statistics(df, column="amount", accuracy=QUANTILE_ACCURACY):
-    """One row: min, max, mean, sample deviation and the quartiles.
-
-    ``accuracy`` bounds the sketch: rank error is rows / accuracy, memory does not grow with rows.
-    """
-    quartiles = F.percentile_approx(column, [0.25, 0.5, 0.75], accuracy)
-    row = df.agg(
+def amount_moments(df, column="amount"):
+    """One row: min, max, mean and sample deviation."""
+    return df.agg(
         F.min(column).alias("min"),
         F.max(column).alias("max"),
         F.avg(column).alias("mean"),
         F.stddev_samp(column).alias("stddev"),
-        quartiles.alias("q"),
     )
-    return row.select(
-        "min", "max", "mean", "stddev",
-        *(F.col("q")[i].alias(f"q{p}") for i, p in enumerate((25, 50, 75))),
+
+
+def amount_quartiles(df, column="amount"):
+    """One row (q25, q50, q75), exact."""
+    found = exact_quantiles(df, column, QUARTILES.values())
+    return df.sparkSession.range(1).select(
+        *(F.lit(value).cast("double").alias(name) for name, value in zip(QUARTILES, found))
+    )
+
+
+def amount_statistics(df, column="amount"):
+    """One row: min, max, mean, sample deviation and the exact quartiles."""
+    found = exact_quantiles(df, column, QUARTILES.values())
+    return amount_moments(df, column).select(
+        "*", *(F.lit(value).cast("double").alias(name) for name, value in zip(QUARTILES, found))
     )
 
 

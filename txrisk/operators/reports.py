@@ -3,8 +3,9 @@
 from pyspark.sql import Window, functions as F
 
 from txrisk.functions.scoring import bin_index, decision, fraud_probability, status
+from txrisk.operators.quantiles import exact_quantiles
 from txrisk.schemas import NEW_PREDICTION_COLUMNS
-from txrisk.settings import ALERT_FEED_ROWS, NEEDS_REVIEW, QUANTILE_ACCURACY, SUSPICIOUS_ROWS
+from txrisk.settings import ALERT_FEED_ROWS, NEEDS_REVIEW, SUSPICIOUS_ROWS
 
 
 def score_rows(model, features, threshold, *carry):
@@ -45,10 +46,9 @@ def new_prediction_table(scored, slug, threshold):
     return named.select(*NEW_PREDICTION_COLUMNS)
 
 
-def quantile_bounds(df, column, low, high, accuracy=QUANTILE_ACCURACY):
-    """One row (lower, upper) to clip a histogram at. Rank error is rows / accuracy."""
-    pair = df.agg(F.percentile_approx(column, [low, high], accuracy).alias("q"))
-    return pair.select(F.col("q")[0].alias("lower"), F.col("q")[1].alias("upper"))
+def quantile_bounds(df, column, low, high):
+    """(lower, upper) to clip a histogram at: two exact quantiles."""
+    return tuple(exact_quantiles(df, column, (low, high)))
 
 
 def histogram(df, column, bins, lower, upper):
@@ -71,12 +71,12 @@ def histogram(df, column, bins, lower, upper):
     )
 
 
-def clipped_histogram(df, column, bins, low, high, accuracy=QUANTILE_ACCURACY):
+def clipped_histogram(df, column, bins, low, high):
     """Histogram between two quantiles; the two numbers are looked up first."""
-    bounds = quantile_bounds(df, column, low, high, accuracy).first()
-    if bounds["lower"] is None:
+    lower, upper = quantile_bounds(df, column, low, high)
+    if lower is None:
         raise ValueError(f"no values in {column} to take bounds from")
-    return histogram(df, column, bins, bounds["lower"], bounds["upper"])
+    return histogram(df, column, bins, lower, upper)
 
 
 def flagged(predictions):

@@ -49,9 +49,6 @@ MAX_FOREST_NODES = 2_000_000
 TRAINING_REPORT = "metadata/training.json"
 EVALUATION_REPORT = "metadata/evaluation.json"
 
-# Quantiles are sketches: their rank is off by rows / accuracy at most, their size by nothing.
-QUANTILE_ACCURACY = 1_000_000
-
 # Training parameters.
 LOGISTIC_REGRESSION = {
     "maxIter": 20,
