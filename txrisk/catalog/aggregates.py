@@ -8,10 +8,11 @@ from txrisk.catalog.registry import query, rounded
 from txrisk.catalog.sql import RATES, md5_bucket as md5_sql, md5_place as place_sql, pr_auc, rates, rounded as r, share_bound
 from txrisk.functions.hashing import md5_place
 from txrisk.operators import audits, keys, metrics, profiling, reports, sampling
+from txrisk.operators.categories import category_dictionary
 from txrisk.operators.cleaning import valid_transaction
 from txrisk.operators.features import preprocessor, training_features
 from txrisk.plans.evaluate import choose_thresholds, decide, describe_models, result_tables
-from txrisk.settings import CATEGORICAL_FEATURES
+
 
 RAW = (
     "id", "date", "client_id", "card_id", "amount", "use_chip", "merchant_id", "merchant_city",
@@ -629,19 +630,8 @@ def _(v):
              UNION ALL SELECT 'merchant_state_category', merchant_state_category, count(*) FROM features GROUP BY ALL)""",
 )
 def _(v):
-    names = list(CATEGORICAL_FEATURES)
-    rows = training_features(v.stored)
-    indexer = preprocessor().getStages()[0].fit(rows)  # the product's own first stage
-    pairs = F.array(
-        *(
-            F.struct(
-                F.lit(n).alias("feature"), F.col(n).alias("value"), F.col(f"{n}_index").alias("index")
-            )
-            for n in names
-        )
-    )
-    indexed = indexer.transform(rows).select(F.inline(pairs))
-    return indexed.groupBy("feature", "value", "index").agg(F.count(F.lit(1)).alias("n"))
+    found = category_dictionary(training_features(v.stored))
+    return found.select("feature", "value", F.col("slot").cast("double").alias("index"), "n")
 
 
 @query(

@@ -8,7 +8,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from txrisk.catalog.registry import query, rounded
-from txrisk.operators import classifiers, features, isolation_forest, sampling
+from txrisk.operators import categories, classifiers, features, isolation_forest, sampling
 from txrisk.operators.cleaning import unlabeled_transactions
 from txrisk.plans.predict import score_new
 from txrisk.session import scratch_path, written
@@ -130,6 +130,21 @@ def _(v):
     return rounded(_entries(Fitted(v).test, "features"), "value")
 
 
+@query(
+    "ml_05_distributed_vector",
+    """SELECT transaction_id, position, round(value / deviation, 6) AS value
+       FROM vector_entries JOIN vector_scales USING (position)
+       WHERE split = 'test' AND value <> 0 AND deviation > 0""",
+)
+def _(v):
+    """The same vectors from a dictionary that stays a table."""
+    splits = {name: features.training_features(df) for name, df in v.splits.items()}
+    dictionary = categories.category_dictionary(splits["train"])
+    scales = categories.entry_scales(splits["train"], dictionary)
+    entries = categories.sparse_entries(splits["test"], dictionary)
+    return rounded(categories.scaled_entries(entries, scales), "value")
+
+
 @query(
     "ml_06_feature_names",
     "SELECT position, name FROM (VALUES "
