@@ -90,7 +90,7 @@ def test_rule_job_survives_a_restart_without_doubling(spark, tmp_path):
 
 def test_a_repeated_batch_overwrites_itself(spark, tmp_path):
     paths = [str(tmp_path / p) for p in ("alerts", "letters")]
-    store = jobs._to_tables(*paths)
+    store = jobs.to_tables(*paths)
     for _ in range(2):
         events = rules.parsed(records(spark, GOOD))
         store(rules.high_amount_alerts(events), rules.dead_letters(events), "own-id", 4)
@@ -174,3 +174,49 @@ def test_minimum_score_applies_on_top_of_the_outlier_rule(spark):
 def test_kafka_needs_its_connector(spark):
     with pytest.raises(Exception, match="(?i)kafka"):
         endpoints.kafka_source(spark, "localhost:9092", "transactions", group="g")
+
+
+def test_checkpoint_state(spark, tmp_path):
+    from txrisk.streaming import recovery
+
+    progress = str(tmp_path / "progress")
+    assert recovery.checkpoint_state(spark, progress) == (None, None) and recovery.next_batch(spark, progress) == 0
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    for i in range(3):
+        (inbox / f"{i}.txt").write_text(lines({**GOOD, "transactionId": f"t{i}"}))
+    stored = []
+
+    def store(alerts, letters, query, number):
+        stored.append((number, sorted(r["transactionId"] for r in alerts.collect())))
+        if len(stored) == 2:
+            raise RuntimeError("stop")
+
+    def run():
+        source = endpoints.text_source(spark, str(inbox), maxFilesPerTrigger=1)
+        jobs.run_rule(source, jobs.amount_rule(), store, progress, once=True).awaitTermination()
+
+    with pytest.raises(Exception, match="stop"):
+        run()
+    assert recovery.checkpoint_state(spark, progress) == (1, 0) and recovery.next_batch(spark, progress) == 1
+    run()
+    # The batch that was stored but not committed comes again with the same records.
+    assert [n for n, _ in stored] == [0, 1, 1, 2] and stored[1] == stored[2]
+    assert recovery.checkpoint_state(spark, progress) == (2, 2) and recovery.next_batch(spark, progress) == 3
+
+
+def test_kept_feed_stays_small_and_repeats(spark, tmp_path):
+    path = str(tmp_path / "feed")
+
+    def alerts(*times):
+        rows = [(f"t{t}", f"2024-01-{t:02d}T00:00:00Z") for t in times]
+        return spark.createDataFrame(rows, "transactionId STRING, detectedAt STRING")
+
+    with pytest.raises(ValueError, match="no feed"):
+        feed.kept_feed(spark, path)
+    for number, times in enumerate([(5, 1, 9), (7, 2), (), (8, 3)]):
+        for _ in range(2):  # a batch that is run again gives the same feed
+            feed.keep_newest(alerts(*times), path, number, rows=3)
+        assert len(feed._states(spark, path)) <= 2
+    assert [r["transactionId"] for r in feed.kept_feed(spark, path, 3).collect()] == ["t9", "t8", "t7"]
+    assert spark.read.parquet(f"{path}/batch=3").count() == 3

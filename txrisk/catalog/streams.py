@@ -1,5 +1,6 @@
 """Stream queries: the events table read as a stream, run to its end, and read back."""
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import functions as F
 
 from txrisk.catalog.registry import query
@@ -7,7 +8,7 @@ from txrisk.functions.text import iso_timestamp
 from txrisk.operators.isolation_forest import ForestScorer, fit_forest
 from txrisk.operators.reports import latest_alerts
 from txrisk.session import scratch_path, written
-from txrisk.streaming import endpoints, feed, jobs, rules
+from txrisk.streaming import endpoints, feed, jobs, recovery, rules
 
 ALERT = '"transactionId", "accountId", amount, currency, threshold, status, reason'
 
@@ -114,17 +115,80 @@ def _(v):
     return _run(v, rules.dead_letters(_records(v), need_time=True), "letters")
 
 
+def _inbox(v):
+    """(folder of text files holding the events, files a batch may take): four batches or more."""
+    path, parts = scratch_path(v.spark, "inbox"), int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(parts, 4)
+    v.records(v.table("events").repartition(parts, "event_id")).write.text(path)
+    return path, -(-parts // 4)
+
+
 @query(
-    "str_09_recent_alerts",
-    """SELECT "transactionId", amount, threshold FROM (
-         SELECT a.*, e.transaction_time FROM rule_alerts a JOIN stream_events e USING ("transactionId"))
-       ORDER BY transaction_time DESC, "transactionId" LIMIT 100""",
+    "str_08_recovery",
+    'SELECT "transactionId", count(*) AS copies FROM rule_alerts GROUP BY "transactionId"',
 )
 def _(v):
-    # The time of detection is now; the time of the event stands in for it, so that SQL can follow.
-    events = rules.parsed(_records(v))
-    timed = rules.high_amounts(events, 100.0).select(
+    """A job that stops after it stored a batch and before it committed it, and is started again."""
+    inbox, files = _inbox(v)
+    base = scratch_path(v.spark, "recovery")
+    progress, at = f"{base}/progress", 2
+    store = jobs.to_tables(f"{base}/alerts", f"{base}/letters")
+    seen = []
+
+    def stopping(alerts, letters, query, number):
+        store(alerts, letters, query, number)
+        seen.append(number)
+        if number == at and seen.count(at) == 1:
+            raise RuntimeError("stopped on purpose")
+
+    def start():
+        source = endpoints.text_source(v.spark, inbox, maxFilesPerTrigger=files)
+        return jobs.run_rule(source, jobs.amount_rule(100.0), stopping, progress, once=True)
+
+    try:
+        start().awaitTermination()
+    except StreamingQueryException as error:
+        if "stopped on purpose" not in str(error):
+            raise
+    if recovery.checkpoint_state(v.spark, progress) != (at, at - 1) or recovery.next_batch(v.spark, progress) != at:
+        raise RuntimeError("the job did not stop between storing and committing")
+    start().awaitTermination()
+    if seen[:at + 2] != [*range(at + 1), at] or seen[at + 1:] != list(range(at, seen[-1] + 1)):
+        raise RuntimeError(f"the restart did not go on in the middle of the source: {seen}")
+    return v.spark.read.parquet(f"{base}/alerts").groupBy("transactionId").agg(F.count(F.lit(1)).alias("copies"))
+
+
+RECENT = """SELECT "transactionId", amount, threshold FROM (
+         SELECT a.*, e.transaction_time FROM rule_alerts a JOIN stream_events e USING ("transactionId"))
+       ORDER BY transaction_time DESC, "transactionId" LIMIT 100"""
+
+
+def _timed_alerts(records):
+    """Alerts whose time of detection, which is now, is replaced by the event's, so that SQL can follow."""
+    events = rules.high_amounts(rules.parsed(records), 100.0)
+    return events.select(
         *rules.rule_alert_fields(100.0, stamp=False), iso_timestamp("transaction_time").alias("detectedAt")
     )
+
+
+@query("str_09_kept_feed", RECENT)
+def _(v):
+    """The feed that the stream itself keeps, batch by batch."""
+    inbox, files = _inbox(v)
+    base = scratch_path(v.spark, "kept-feed")
+    source = endpoints.text_source(v.spark, inbox, maxFilesPerTrigger=files)
+    endpoints.to_batches(
+        _timed_alerts(source), lambda batch, number: feed.keep_newest(batch, f"{base}/feed", number), f"{base}/progress",
+        once=True,
+    ).awaitTermination()
+    return feed.kept_feed(v.spark, f"{base}/feed").select("transactionId", "amount", "threshold")
+
+
+@query(
+    "str_09_recent_alerts",
+    RECENT,
+)
+def _(v):
+    timed = _timed_alerts(_records(v))
     stored = _run(v, timed.withColumn("day", F.to_date("detectedAt")), "feed", "day")
     return latest_alerts(feed.recent_days(stored)).select("transactionId", "amount", "threshold")

@@ -4,14 +4,15 @@ from pyspark.sql import functions as F
 
 from txrisk.catalog.registry import query
 from txrisk.operators import metrics, reports
+from txrisk.operators.classifiers import model_spec, score_all
 from txrisk.operators.cleaning import parse_new_transactions
 from txrisk.operators.isolation_forest import fit_forest
 from txrisk.operators.features import numeric_features
 from txrisk.plans import train
 from txrisk.plans.evaluate import choose_thresholds
-from txrisk.session import scratch_path
+from txrisk.session import scratch_path, written
 from txrisk.settings import EVALUATION_REPORT
-from txrisk.sources import model_store, readers, writers
+from txrisk.sources import layouts, model_store, readers, writers
 
 # A CSV cell without characters reads as null.
 RAW_CELLS = """id, date, client_id, card_id, amount, use_chip, merchant_id,
@@ -164,6 +165,50 @@ def _(v):
     return v.spark.createDataFrame(list(found.items()), "class STRING, rows BIGINT")
 
 
+@query("snk_07_saved_model", "SELECT transaction_id, true AS sound FROM test_rows")
+def _(v):
+    """A model in place scores as the one in memory, also after a save over it that failed halfway."""
+    from txrisk.catalog.models import Fitted
+
+    fitted, base, slug = Fitted(v), scratch_path(v.spark, "models"), "lr_none"
+    model, check = fitted.fit(slug), fitted.test.limit(10)
+    model_store.save_classifier(slug, model, base, check)
+
+    def unreadable(name):
+        raise OSError(f"{name} is unreadable on purpose")
+
+    folder = f"{base}/{model_spec(slug).folder}"
+    try:
+        model_store.save_checked(model, folder, unreadable, check)
+    except OSError as error:
+        if "on purpose" not in str(error):
+            raise
+    again = model_store.load_classifier(slug, base)
+    scored = score_all({"own": model, "again": again}, fitted.test)
+    p = F.col("fraud_probability")
+    return scored.groupBy("transaction_id").agg((F.min(p) == F.max(p)).alias("sound"))
+
+
+@query(
+    "flt_15_required_columns",
+    """SELECT 'late' AS folder, 'mcc' AS "column", 'missing' AS problem, count(*) AS rows
+       FROM clean_tx WHERE transaction_year >= 1998
+       UNION ALL SELECT 'late', 'amount', 'is string', count(*) FROM clean_tx WHERE transaction_year >= 1998""",
+)
+def _(v):
+    """A folder whose newer files lack a column and hold another as text; footers tell."""
+    base = scratch_path(v.spark, "layouts")
+    clean = written(v.clean, "clean")
+    early = F.col("transaction_year") < 1998
+    clean.where(early).write.parquet(f"{base}/early")
+    late = clean.where(~early).drop("mcc").withColumn("amount", F.col("amount").cast("string"))
+    writers.write_table(late, f"{base}/late", "transaction_year")
+    wanted = dict(clean.dtypes)
+    problems = layouts.layout_problems(layouts.file_columns(v.spark, base), wanted)
+    folder = F.regexp_extract("path", "/(early|late)/", 1).alias("folder")
+    return problems.groupBy(folder, "column", "problem").agg(F.sum("rows").alias("rows"))
+
+
 @query(
     "snk_09_forest_table",
     """SELECT tree::INTEGER AS tree, least(256, (SELECT count(*) FROM train_rows))::INTEGER AS sample_size,

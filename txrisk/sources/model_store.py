@@ -7,18 +7,34 @@ from txrisk.operators.classifiers import MODELS, model_spec
 from txrisk.operators.isolation_forest import ForestScorer, score_forest
 from txrisk.session import written
 from txrisk.settings import FOREST_SLUG
+from txrisk.sources.publish import publish
 
 PREPROCESSOR = "preprocessor"
 
 
-def save_checked(model, path, load, rows):
-    """Saves, loads again and scores ``rows``; raises if any row gets lost."""
-    model.write().overwrite().save(path)
-    loaded = load(path)
-    expected = rows.count()
-    if expected == 0 or loaded.transform(rows).count() != expected:
-        raise RuntimeError(f"model reloaded from {path} did not score all check rows")
-    return loaded
+def _predictions(model, rows):
+    """What the model adds to the check rows, in a fixed order."""
+    found = model.transform(rows)
+    added = [c for c in found.columns if c not in rows.columns]
+    return sorted(repr(row) for row in found.select("transaction_id", *added).collect())
+
+
+def save_checked(model, path, load, rows, most_rows=1000):
+    """Saves the model, provided that it predicts the same for ``rows`` once it is loaded again.
+
+    It is written under an unfinished name and takes the place of what was there only after the
+    check, so a save that fails leaves the model before it. Check rows are few and reach the driver.
+    """
+    few = written(rows.limit(most_rows), "check-rows")
+    expected = _predictions(model, few)
+
+    def check(name):
+        loaded = load(name)
+        if not expected or _predictions(loaded, few) != expected:
+            raise RuntimeError(f"the model reloaded for {path} does not predict what was fitted")
+        return loaded
+
+    return publish(few.sparkSession, path, lambda name: model.write().save(name), check)
 
 
 def save_classifier(slug, model, base, rows):
@@ -37,8 +53,11 @@ def load_preprocessor(base):
 
 def save_forest(nodes, base):
     """Stores the node table and returns a scorer over what was stored."""
-    path = f"{base}/{FOREST_SLUG}"
-    nodes.write.mode("overwrite").parquet(path)
+    def check(name):
+        if not nodes.sparkSession.read.parquet(name).head(1):
+            raise RuntimeError("a forest without nodes is not stored")
+
+    publish(nodes.sparkSession, f"{base}/{FOREST_SLUG}", lambda name: nodes.write.parquet(name), check)
     return load_forest(nodes.sparkSession, base)
 
 

@@ -3,6 +3,7 @@
 import json
 
 from txrisk.operators.audits import require_rows
+from txrisk.sources.publish import publish
 
 
 def write_table(df, path, *partition_columns, rebalance=False):
@@ -39,9 +40,15 @@ def write_export(df, path):
 
 
 def write_report(spark, report, path):
-    """A nested report as one JSON document."""
+    """A nested report as one JSON document; an earlier one is replaced once it is read back whole."""
     text = json.dumps(report, indent=2, ensure_ascii=False)
-    spark.createDataFrame([(text,)], "value STRING").coalesce(1).write.mode("overwrite").text(path)
+    document = spark.createDataFrame([(text,)], "value STRING").coalesce(1)
+
+    def check(name):
+        if [row[0].strip() for row in spark.read.text(name, wholetext=True).take(2)] != [text]:
+            raise RuntimeError(f"the report for {path} was not written whole")
+
+    publish(spark, path, document.write.text, check)
     return path
 
 

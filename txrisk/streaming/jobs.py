@@ -21,7 +21,7 @@ def _each_batch(alerts_of, letters_of, store):
     return write
 
 
-def _to_tables(alert_path, letter_path):
+def to_tables(alert_path, letter_path):
     """Stores both outputs below the query's id and the batch number, alerts by day as well.
 
     A batch that is run again after a failure overwrites its own folders. A job that starts with
@@ -57,23 +57,30 @@ def anomaly_rule(scorer, minimum=MIN_ANOMALY_SCORE):
     )
 
 
+def run_rule(records, rule, store, checkpoint, once=False):
+    """Hands the alerts and dead letters of every micro-batch to ``store(alerts, letters, query, number)``.
+
+    The source's position and the batch are planned in the checkpoint before the batch runs and
+    committed after it. A batch that stopped between runs again under its number, so a store that
+    writes by (query, number) holds it once.
+    """
+    return endpoints.to_batches(records, _each_batch(*rule, store), checkpoint, once)
+
+
 def run_to_topics(records, rule, servers, alert_topic, letter_topic, checkpoint, once=False):
     """Alerts and dead letters of a rule to two topics, from one read of the source."""
-    write = _each_batch(*rule, _to_topics(servers, alert_topic, letter_topic))
-    return endpoints.to_batches(records, write, checkpoint, once)
+    return run_rule(records, rule, _to_topics(servers, alert_topic, letter_topic), checkpoint, once)
 
 
 def run_high_amount_rule(
     records, alert_path, letter_path, checkpoint, threshold=HIGH_AMOUNT_THRESHOLD, once=False
 ):
     """Amount alerts and unreadable records, from one read of the source."""
-    write = _each_batch(*amount_rule(threshold), _to_tables(alert_path, letter_path))
-    return endpoints.to_batches(records, write, checkpoint, once)
+    return run_rule(records, amount_rule(threshold), to_tables(alert_path, letter_path), checkpoint, once)
 
 
 def run_anomaly_rule(
     records, scorer, alert_path, letter_path, checkpoint, minimum=MIN_ANOMALY_SCORE, once=False
 ):
     """Anomaly alerts and unusable records, from one read of the source."""
-    write = _each_batch(*anomaly_rule(scorer, minimum), _to_tables(alert_path, letter_path))
-    return endpoints.to_batches(records, write, checkpoint, once)
+    return run_rule(records, anomaly_rule(scorer, minimum), to_tables(alert_path, letter_path), checkpoint, once)
