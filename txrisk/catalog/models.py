@@ -8,11 +8,11 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from txrisk.catalog.registry import query, rounded
-from txrisk.operators import categories, classifiers, features, isolation_forest, sampling
+from txrisk.operators import categories, certificates, classifiers, features, isolation_forest, sampling
 from txrisk.operators.cleaning import unlabeled_transactions
 from txrisk.plans.predict import score_new
 from txrisk.session import scratch_path, written
-from txrisk.settings import CATEGORICAL_FEATURES, NUMERIC_FEATURES
+from txrisk.settings import CATEGORICAL_FEATURES, LOGISTIC_REGRESSION, NUMERIC_FEATURES
 from txrisk.sources import model_store
 
 
@@ -81,6 +81,23 @@ for _name, _slug in (
     query(_name, _expected_scores(_slug))(_scores(_slug))
 
 
+@query(
+    "ml_15_fit_certificates",
+    """SELECT slug, (SELECT count(*) FROM train_rows WHERE class = 1) AS fraud_rows, true AS certified
+       FROM (VALUES ('lr_none'), ('lr_class_weight'), ('rf_none'), ('rf_class_weight'), ('rf_undersampling')) AS m(slug)""",
+)
+def _(v):
+    """Each classifier against its own training rows: the gradient of its loss, or the shares in its leaves."""
+    fitted, found = Fitted(v), []
+    for slug, spec in classifiers.MODELS.items():
+        rows = written(fitted.training_rows(slug), "training-vectors")
+        weight = "class_weight" if spec.balancing == "Class Weight" else None
+        model = classifiers.timed_fit(classifiers.estimator_for(slug), rows)[0]
+        certified = certificates.is_certified(rows, model, LOGISTIC_REGRESSION["regParam"], weight)
+        found.append((slug, rows.where(F.col("class") == 1).count(), certified))
+    return v.spark.createDataFrame(found, "slug STRING, fraud_rows BIGINT, certified BOOLEAN")
+
+
 def _entries(vectors, column):
     """(transaction_id, position, value) of everything but zeros."""
     values = vectors.select("transaction_id", F.posexplode(vector_to_array(column)).alias("position", "value"))

@@ -11,6 +11,8 @@ from txrisk.operators import audits, cleaning, features, metrics, reports, sampl
 from txrisk.plans.predict import score_new
 from txrisk.settings import UNKNOWN
 from txrisk.streaming import rules
+from txrisk.session import scratch_path
+from txrisk.sources.buckets import open_bucketed, store_bucketed
 
 CLEAN_COLUMNS = (
     "transaction_id, transaction_time, client_id, card_id, amount, use_chip, merchant_id, "
@@ -250,6 +252,18 @@ def _(v):
     return v.clean.join(v.labels, "transaction_id", "inner").select("transaction_id", "amount", "class")
 
 
+@query("join_01_bucketed_tables", "SELECT transaction_id, amount, class FROM labeled")
+def _(v):
+    """The same from tables stored in buckets by id, opened as a later session would."""
+    buckets = int(v.spark.conf.get("spark.sql.shuffle.partitions"))
+    sides = []
+    for name, df in (("clean", v.clean), ("labels", v.labels)):
+        path = scratch_path(v.spark, f"bucketed-{name}")
+        table = store_bucketed(df, path, "transaction_id", buckets)
+        sides.append(open_bucketed(v.spark, path, table.schema, "transaction_id", buckets))
+    return sides[0].join(sides[1], "transaction_id").select("transaction_id", "amount", "class")
+
+
 @query(
     "join_02_unlabeled_transactions",
     """SELECT transaction_id, amount FROM clean_tx
