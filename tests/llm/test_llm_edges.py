@@ -1,5 +1,7 @@
 """Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import collections
+import hashlib
 import random
 import zlib
 
@@ -409,6 +411,57 @@ def test_mixing_edges(spark, rows, empty):
     assert mixing.mix(rows, levels, {("d",): 0}, **NAMES).count() == 0
 
 
+def plain_prefix(rows, tokens, seed=mixing.SEED):
+    """{row number: copies} of one leaf of (id, body) rows with a budget."""
+    sizes = [len((body or "").split()) for _, body in rows]
+    whole, rest = divmod(tokens, sum(sizes))
+
+    def place(n):
+        key = ":".join(str(x) for x in (rows[n][0], seed, whole) if x is not None)
+        return hashlib.md5(key.encode()).hexdigest(), rows[n][0] is not None, rows[n][0] or 0, sizes[n]
+
+    copies, before = {}, 0
+    for n in sorted(range(len(rows)), key=place):
+        copies[n] = whole + (before < rest)
+        before += sizes[n]
+    return copies
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_mixing_equals_a_plain_prefix(spark, digits):
+    rng = random.Random(4)
+    data = [(i, "w " * rng.randrange(6)) for i in range(300)] + [(7, "w w w")] * 150 + [(None, "w")] * 20 + [(400, None)]
+    table = spark.createDataFrame(data, "id BIGINT, body STRING").repartition(6)
+    for tokens in (1, 150, 700, 1211, 2000):
+        found = mixing.mix(table, [F.lit("d"), F.lit("l"), F.lit("s")], {}, total_tokens=tokens, digits=digits, **NAMES)
+        ours = collections.Counter((r.id, r.body) for r in found.collect())
+        wanted = collections.Counter()
+        for n, copies in plain_prefix(data, tokens).items():
+            wanted[data[n]] += copies
+        assert ours == +wanted, tokens
+
+
+def test_leaves_without_tokens_are_kept(spark):
+    data = [(1, "a b c", "x"), (2, None, "y"), (3, " ", "y"), (3, " ", "y"), (4, "", "z"), (5, "d e", "x")]
+    table = spark.createDataFrame(data, "id BIGINT, body STRING, source STRING")
+    levels = [F.lit("d"), F.lit("l"), F.col("source")]
+    found = mixing.mix(table, levels, {("d", "l", "z"): 0}, **NAMES).collect()
+    assert sorted(r.id for r in found) == [1, 2, 3, 3, 5] and {r.copy for r in found} == {1}
+    none = mixing.mix(table.where("source = 'y'"), levels, {}, **NAMES)
+    assert sorted(r.id for r in none.collect()) == [2, 3, 3]
+
+
+def test_mixing_keeps_columns_whatever_their_names(spark):
+    names = ["id", "body", "own", "border", "rest", "digest", "tokens", "__bucket", "place", "a.b"]
+    table = spark.createDataFrame([(1, "x y", *names[2:])], names)
+    found = mixing.mix(table, [F.lit("d"), F.lit("l"), F.col("own")], {}, **NAMES)
+    assert found.columns == [*names, *mixing.LEVELS, "__tokens", "copy"]
+    assert found.first()[:len(names)] == (1, "x y", *names[2:])
+    taken = table.select("id", "body", F.lit("old").alias("__level1"), F.lit("old").alias("__tokens"), F.lit("old").alias("copy"))
+    row = mixing.mix(taken, [F.lit("d"), F.lit("l"), F.lit("s")], {}, **NAMES)
+    assert len(set(row.columns)) == len(row.columns) and "old" not in row.first()
+
+
 def test_shortages_go_to_siblings_first(spark):
     """Domain a is 80 of 100 by weight; its language x has too little, so y gets more, not b."""
     leaves = [("a", "x", "s", 5), ("a", "y", "s", 1000), ("b", "x", "s", 1000), ("b", "y", "t", 3), ("c", "z", "s", 2)]

@@ -204,16 +204,14 @@ WITH docs AS (
         CAST(len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS BIGINT) AS tokens
     FROM documents
 ),
-leaves AS (
-    SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens
-    FROM docs GROUP BY ALL HAVING sum(tokens) > 0
-),
-tree AS (
+leaves AS (SELECT domain, lang, source, CAST(sum(tokens) AS BIGINT) AS tokens FROM docs GROUP BY ALL),
+weighed AS (
     SELECT l.domain, l.lang, l.source, tokens, coalesce(a.w, 1.0)::DOUBLE AS w1,
         coalesce(b.w, 1.0)::DOUBLE AS w2, tokens * {mixing.MAX_EPOCHS} AS capacity
     FROM leaves l LEFT JOIN {_weights_sql(1)} a(domain, w) ON l.domain = a.domain
     LEFT JOIN {_weights_sql(2)} b(domain, lang, w) ON l.domain = b.domain AND l.lang = b.lang
 ),
+tree AS (SELECT * FROM weighed WHERE tokens > 0),
 {_DOMAINS}, {_LANGUAGES}, {_SOURCES},
 placed AS (
     SELECT d.*, s.budget // s.tokens AS whole, s.budget % s.tokens AS rest,
@@ -226,6 +224,10 @@ SELECT doc_id,
     CAST(unnest(range(1, (whole + CASE WHEN begins < rest THEN 1 ELSE 0 END)::BIGINT + 1)) AS INTEGER) AS copy,
     domain, lang, source, tokens
 FROM placed
+UNION ALL
+SELECT doc_id, 1, domain, lang, source, tokens
+FROM docs JOIN (SELECT domain, lang, source FROM weighed WHERE tokens = 0 AND w1 > 0 AND w2 > 0)
+    USING (domain, lang, source)
 """
 
 
