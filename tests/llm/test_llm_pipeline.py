@@ -1,5 +1,7 @@
 """The pipeline's stages on a small corpus, each against what it must keep."""
 
+import hashlib
+
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -34,6 +36,8 @@ def test_stages_one_by_one(spark):
     assert {(r.doc_id, r["count"]) for r in mixture.groupBy("doc_id").count().collect()} == {(r.doc_id, r.n) for r in wanted.collect()}
 
     ids = corpus_pipeline.tokenized(spark, mixture, str(DATA))
+    digests = {r.doc_id: hashlib.sha256(r.text.encode()).hexdigest() for r in mixture.collect()}
+    assert all(r.decoded_sha256 == digests[r.doc_id] for r in ids.collect())
     texts = {r.doc_id: r.text for r in mixture.collect()}
     own = bpe.Codec(*catalog.public_tokenizer())
     found = ids.collect()
@@ -43,7 +47,7 @@ def test_stages_one_by_one(spark):
 
 def test_run_gives_the_last_stage(spark):
     found = corpus_pipeline.run(spark, str(DATA))
-    assert found.columns == ["doc_id", "n_tokens", "ids"] and found.count() > 0
+    assert found.columns == ["doc_id", "n_tokens", "ids", "decoded_sha256"] and found.count() > 0
 
 
 def test_an_empty_corpus_passes(spark):
@@ -51,3 +55,29 @@ def test_an_empty_corpus_passes(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, str(DATA))
     assert docs.count() == 0
+
+
+def test_documents_are_ids_with_texts(spark):
+    """Repeated ids with other texts, rows without an id, and columns named like the stage's own."""
+    def words(k):
+        return " ".join(f"{k}w{i}" for i in range(60))
+
+    near = words("a").replace("aw30", "other")
+    data = [
+        (0, words("a")), (0, words("b")), (0, words("c")), (0, words("c")), (1, near), (None, words("d")),
+        (None, words("d")), (None, words("b")), (5, words("d")), (6, ""), (6, None), (None, None), (7, words("e").upper()),
+        (8, words("e")),
+    ]
+    docs = spark.createDataFrame([(*row, "x", "y", "z", 1) for row in data], "doc_id BIGINT, text STRING, key STRING, own STRING, __bucket STRING, n INT")
+    found = corpus_pipeline.deduplicated(spark, docs, str(DATA))
+    assert found.columns == docs.columns
+    rows = found.collect()
+    kept = sorted(((r.doc_id, r.text) for r in rows), key=repr)
+    assert kept == sorted([
+        (0, words("a")), (0, words("b")), (0, words("c")), (5, words("d")), (6, ""), (6, None), (None, None),
+        (7, words("e").upper()),
+    ], key=repr)
+    assert {r[2:] for r in rows} == {("x", "y", "z", 1)}
+    flagged = docs.withColumn("lettered", F.lit("mine")).withColumn("lang", F.lit("en"))
+    known = corpus_pipeline.recognised(spark, flagged, str(DATA))
+    assert known.columns == flagged.columns and {r.lettered for r in known.collect()} == {"mine"}

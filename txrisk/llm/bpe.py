@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
+from txrisk.llm.words import release
+
 register_pickle_by_value(sys.modules[__name__])
 
 MEMO = 150_000  # pre-tokens a task remembers before it starts afresh
@@ -159,6 +161,38 @@ def encode_texts(docs, path, pattern, id_column="doc_id", text_column="text"):
     return chosen.mapInArrow(encode, "id BIGINT, n_tokens BIGINT, ids ARRAY<INT>").withColumnRenamed("id", id_column)
 
 
+def round_trips(docs, path, pattern, id_column="doc_id", text_column="text"):
+    """(id, n_tokens, ids, decoded_sha256) of every text: its ids, and the digest of what they decode to.
+
+    Encoding and decoding are one pass of one worker. A text that its ids would not give back is an error.
+    """
+    names = ["id", "n_tokens", "ids", "decoded_sha256"]
+
+    def turn(tables):
+        own = codec(path, pattern)
+        for table in tables:
+            keys, texts = table.column(0), table.column(1)
+            for first in range(0, len(texts), 64):
+                raw = [t or "" for t in texts.slice(first, 64).to_pylist()]
+                lists = [np.frombuffer(own.encode(t), np.int32) for t in raw]
+                decoded = [own.decode(ids) for ids in lists]
+                if decoded != [t.encode() for t in raw]:
+                    raise ValueError("decoded ids are not the text that was encoded")
+                sizes = np.array([len(ids) for ids in lists], np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([
+                    keys.slice(first, 64).cast(pa.int64()), pa.array(sizes),
+                    pa.ListArray.from_arrays(offsets, np.concatenate([np.zeros(0, np.int32), *lists])),
+                    pa.array([hashlib.sha256(d).hexdigest() for d in decoded], pa.string()),
+                ], names=names)
+        own.memo = {}
+        release()
+
+    chosen = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text_column}`").alias("text"))
+    fields = "id BIGINT, n_tokens BIGINT, ids ARRAY<INT>, decoded_sha256 STRING"
+    return chosen.mapInArrow(turn, fields).withColumnRenamed("id", id_column)
+
+
 def decode_ids(encoded, path, pattern, id_column="doc_id"):
     """(id, n_tokens, ids_sha256, decoded_sha256, decoded) of tables made by :func:`encode_texts`.
 

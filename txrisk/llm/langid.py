@@ -257,7 +257,9 @@ def predict(docs, model, id_column="doc_id", text_column="text"):
 
 def recognised(docs, model, least_score, text_column="text"):
     """The rows whose language is recognised with at least ``least_score``, with all their columns."""
-    place = docs.columns.index(text_column)
+    place, flag = docs.columns.index(text_column), "lettered"
+    while flag in docs.columns:
+        flag += "_"
 
     def keep(tables):
         for table in tables:
@@ -265,6 +267,7 @@ def recognised(docs, model, least_score, text_column="text"):
             kept = [n != UNDECIDED and s >= least_score for n, s in zip(names, scores)]
             own = table.select(range(table.num_columns - 1))
             yield own.filter(pa.array(kept, pa.bool_()))
+        W.release()
 
-    flagged = docs.withColumn("__lettered", has_letter(F.col(f"`{text_column}`")))
+    flagged = docs.withColumn(flag, has_letter(F.col(f"`{text_column}`")))
     return flagged.mapInArrow(keep, docs.schema)

@@ -140,6 +140,7 @@ def _sketch(tables):
                 ids.slice(row, texts).take(pa.array(keep)), pa.array(print1[keep].astype(np.int64)),
                 pa.array(print2[keep].astype(np.int64)), lists,
             ], names=["id", "print1", "print2", "bands"])
+    W.release()
 
 
 def _shingle_sets(tables):
@@ -154,6 +155,7 @@ def _shingle_sets(tables):
                 ids.slice(row, texts), pa.array(np.diff(edges).astype(np.int32)),
                 pa.array([items[a:b].tobytes() for a, b in zip(edges, edges[1:])], pa.binary()),
             ], names=["id", "size", "shingles"])
+    W.release()
 
 
 def _compared(tables):
@@ -261,6 +263,10 @@ def _open_pairs(compared, sizes, roots):
     # ``left`` counts the text's edits from this one on, and so bounds what a pair that first meets
     # here can share.
     needed = (F.col("length") + (F.col("size_a") - F.col("size_b")) / F.lit(9.0)) / 2 - F.lit(1e-6)
+    # An edit that only one component has makes no pair; families of near copies have many of them.
+    several = placed.groupBy("a", "edit").agg(F.min("root_b").alias("least"), F.max("root_b").alias("most"))
+    several = several.where(F.col("least") != F.col("most")).select("a", "edit")
+    placed = written(placed.join(several, ["a", "edit"], "left_semi"), "shared-edits")
     looked = placed.where(F.col("left") >= needed).select(
         "a", "edit", F.col("b").alias("x"), F.col("root_b").alias("root_x"), F.col("size_b").alias("size_x"),
         F.col("left").alias("left_x"), F.col("length").alias("length_x"),

@@ -4,6 +4,7 @@ A word is a maximal run of bytes other than space, tab, newline, vertical tab, f
 carriage return; A-Z count as a-z. Null texts count as empty.
 """
 
+import ctypes
 import sys
 
 import numpy as np
@@ -18,6 +19,19 @@ _STEP = 0x9E3779B97F4A7C15  # odd, so its powers have inverses modulo 2^64
 _CACHE = {}
 
 
+def release():
+    """Gives memory that a task no longer needs back to the system, as Spark keeps its workers.
+
+    Freed arrays otherwise stay in the worker's C heap and in Arrow's pool while later stages run.
+    """
+    _CACHE.pop("powers", None)
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library, which has no such call
+        pass
+
+
 def mix(x):
     """Finishing step that spreads every input bit over the whole 64-bit result."""
     x = x.astype(np.uint64, copy=True)
