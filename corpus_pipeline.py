@@ -4,7 +4,7 @@ Every stage takes documents and gives documents with the columns they came with;
 gives token ids.
 """
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from txrisk.llm import bpe, langid
 from txrisk.llm.catalog import mix_documents, public_tokenizer
@@ -27,25 +27,30 @@ def recognised(spark, docs, sf_dir):
 def deduplicated(spark, docs, sf_dir):
     """One document of each class of near-duplicates, the one with the smallest id.
 
-    Rows that repeat an id are one document, of which the smallest row by text stays. Rows with a
-    null id have no class and stay.
+    A document is an id with a text: rows equal in both are one, of which the smallest row stays;
+    different texts under one id, and rows without an id, are documents each. An id comes before none.
     """
-    classes = near_duplicates(docs).select(
-        F.col("doc_id").alias("id"), (F.col("doc_id") != F.col("class_id")).alias("__gone")
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("own"), F.xxhash64("doc_id", "text").alias("key")
     )
-    ids = docs.where(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id"))
-    counted = ids.agg((F.count(F.lit(1)) > 1).alias("__again"))
-    marks = written(classes.join(counted, "id").where(F.col("__gone") | F.col("__again")), "marked-ids")
+    classes = near_duplicates(rows.select("key", F.col("own.text").alias("text")), "key")
+    ids = rows.groupBy("key").agg(F.min("own.doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
+    known = written(classes.select("key", "class_id").join(ids, "key"), "document-classes")
+    first = known.groupBy("class_id").agg(
+        F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).getField("key").alias("kept")
+    )
+    gone = known.join(first, "class_id").withColumn("gone", F.col("key") != F.col("kept"))
+    marks = written(gone.where(F.col("gone") | (F.col("n") > 1)).select(F.col("key").alias("id"), "gone"), "marked-keys")
     # Only rows that the bitmap cannot clear meet the marks, so few texts are shuffled.
-    marked = with_maybe(docs, marks.select("id"), "doc_id")
-    clear = marked.where(~F.col("__maybe")).select(*docs.columns)
-    unsure = marked.where("__maybe").drop("__maybe").join(
-        marks.withColumnRenamed("id", "__id"), F.col("doc_id") == F.col("__id"), "left"
-    ).where(~F.coalesce("__gone", F.lit(False)))
-    again = F.coalesce("__again", F.lit(False))
-    order = Window.partitionBy("doc_id").orderBy(*[F.col(f"`{c}`") for c in docs.columns])
-    once = unsure.where(again).withColumn("__place", F.row_number().over(order)).where(F.col("__place") == 1)
-    return clear.unionByName(unsure.where(~again).select(*docs.columns)).unionByName(once.select(*docs.columns))
+    marked = with_maybe(rows, marks.select("id"), "key")
+    clear = marked.where(~F.col("__maybe")).select("own")
+    unsure = marked.where("__maybe").join(marks, F.col("key") == F.col("id"), "left").where(
+        ~F.coalesce("gone", F.lit(False))
+    )
+    # A kept key may be of several rows, and (next to never) of several documents.
+    unsure = unsure.withColumn("text", F.sha2(F.col("own.text"), 256))
+    once = unsure.groupBy("key", F.col("own.doc_id").alias("id"), "text").agg(F.min("own").alias("own")).select("own")
+    return clear.unionByName(once).select("own.*")
 
 
 def mixed(spark, docs, sf_dir):
@@ -54,9 +59,12 @@ def mixed(spark, docs, sf_dir):
 
 
 def tokenized(spark, docs, sf_dir):
-    """(doc_id, n_tokens, ids) of every document, once for each time it stands there."""
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document, once for each time it stands there.
+
+    The digest is that of the text decoded from the ids, which must be the text itself.
+    """
     path, pattern = public_tokenizer()
-    return bpe.encode_texts(docs, path, pattern)
+    return bpe.round_trips(docs, path, pattern)
 
 
 STAGES = [
