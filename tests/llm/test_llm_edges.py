@@ -110,16 +110,21 @@ def test_lm_edges(rows, empty, spark):
 
 def kneser_ney(texts, order):
     """Reference model with dictionaries: probability of a token after a context."""
-    levels = {order: {}}
+    levels, tokens = {order: {}}, {}
     for words in texts:
         row = ["<"] * (order - 1) + words + [">"]
         for i in range(order - 1, len(row)):
             gram = tuple(row[i - order + 1:i + 1])
             levels[order][gram] = levels[order].get(gram, 0) + 1
+            for level in range(1, order):
+                tokens[gram[-level:]] = tokens.get(gram[-level:], 0) + 1
     for level in range(order - 1, 0, -1):
         levels[level] = {}
         for gram in levels[level + 1]:
             levels[level][gram[1:]] = levels[level].get(gram[1:], 0) + 1
+        for gram in levels[level]:
+            if gram[0] == "<":  # nothing but the start stands before the start of a text
+                levels[level][gram] = tokens[gram]
     discounts = {}
     for level, grams in levels.items():
         ns = [sum(c == k for c in grams.values()) for k in (1, 2, 3, 4)]
@@ -140,10 +145,14 @@ def kneser_ney(texts, order):
     return probability, {g[0] for g in levels[1]}
 
 
-@pytest.mark.parametrize("order", [2, 3])
-def test_lm_is_modified_kneser_ney(spark, order):
+@pytest.mark.parametrize("order, kinds, numbered", [(2, 120, 20), (3, 7, 1000), (3, 120, 0), (3, 120, 1000), (4, 120, 20)])
+def test_lm_is_modified_kneser_ney(spark, order, kinds, numbered, monkeypatch):
+    """With few kinds all contexts are hot, with many most are not; words with and without numbers."""
+    monkeypatch.setattr(lm, "NUMBERED_WORDS", numbered)
+    monkeypatch.setattr(lm, "RANGES_PER_PARTITION", 1)
     rng = random.Random(5)
-    texts = [[rng.choice("abcdefg") for _ in range(rng.randint(0, 12))] for _ in range(60)]
+    vocabulary = ["a", *(f"w{i}" for i in range(1, kinds))]
+    texts = [[vocabulary[int(kinds * rng.random() ** 3)] for _ in range(rng.randint(0, 12))] for _ in range(60)]
     table = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "id BIGINT, body STRING")
     model = lm.fit(table, "body", order)
     probability, known = kneser_ney(texts, order)

@@ -1,21 +1,30 @@
 """Interpolated modified Kneser-Ney n-gram model (Chen and Goodman, 1999), counted by Spark.
 
-Tokens are words (A-Z as a-z) and one end per text. N-grams are 64-bit hashes. Counting goes from
-the longest n-grams down: tasks send the distinct n-grams of their texts, dealt by n-gram hash; each
-reducer adds the counts up, stores its hashes as a sorted array with the counts beside it, and sends
-on what the next level counts: the n-grams one word shorter with the number of words seen before
-them, and per context how many words followed it once, twice and more often. Everything is summed
-in the map tasks and dealt by hashes of whole n-grams, so a very frequent word, pair or text makes
-no partition larger than others.
+Tokens are words (A-Z as a-z) and one end per text. A first pass counts the words; the most frequent
+get short numbers, by which n-grams travel and are stored in few bytes, the others keep their hashes.
+Counting then goes from the longest n-grams down: tasks send the distinct n-grams of their texts;
+each reducer adds the counts up, stores its contexts as a sorted hash array with the words that
+follow each beside it, and sends on what the next level counts: the n-grams one word shorter with the
+number of words seen before them. N-grams that begin with the start of a text, before which nothing
+differs, keep their token counts instead.
+
+N-grams are dealt by the hash of their context, so that a context's sums are at hand where it is
+stored. A context of very frequent words only, the one kind that could outgrow a hash range, is dealt
+by the hash of the whole n-gram; its sums are added up in the next shuffle. Everything is summed in
+the map tasks, so no word, pair or text makes a partition much larger than others.
 
 Arrays lie in the shared folder, one file per hash range. Workers map them into memory and look up
-sorted batches of hashes, so a model larger than a worker's memory can be used.
+sorted batches, so a model larger than a worker's memory can be used.
 
 An n-gram with count c after a context with total t has probability
 (c - D(c)) / t + gamma(context) * (probability of the shorter n-gram), where D(1), D(2) and D(3+)
 come from the counts of counts of the level; contexts never seen pass the shorter one on, and under
 the single words lies an even share for each of the known tokens and one unknown token.
 
+Words and contexts are hashes of 63 and 64 bits. Beside a context a numbered word is exact, any other
+has 31 bits of its hash: of a context with f such followers, a share of f / 2 ** 31 of its unseen words
+passes for seen.
+
 Null and empty texts are one end token. Repeated texts count each time and score alike. Without any
 training text all tokens are unknown and have probability 1. Columns other than id and text are
 ignored; an empty table gives no rows.
@@ -26,6 +35,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.cloudpickle import register_pickle_by_value
 from pyspark.sql import functions as F
 
@@ -35,10 +45,15 @@ from txrisk.session import scratch_path
 register_pickle_by_value(sys.modules[__name__])
 
 ORDER = 3
-BEFORE, END = np.uint64(0x1F3A), np.uint64(0x2E7B)  # stand for the start and the end of a text
-CHUNK_BYTES = 1 << 22  # texts whose n-grams are made distinct together
-# Hash ranges of the longest n-grams for each shuffle partition; the shorter ones, far fewer, have one.
-RANGES_PER_PARTITION = 2
+# Word names: numbered words are even, hashes odd. The start of a text is number 0, its end a hash.
+BEFORE, END = np.uint64(0), np.uint64(0x2E7B)
+NUMBERED_WORDS = 1 << 19  # at most; their table is what the driver collects
+COUNT_BINS = 1024
+CHUNK_BYTES = 1 << 23  # texts whose n-grams are made distinct together
+WORDS_HELD = 1 << 21  # distinct words of batches held before they are sent
+SCORE_BYTES = 1 << 22  # texts looked up together
+RANGES_PER_PARTITION = 4  # hash ranges for each shuffle partition
+STRIDE = 16  # every so many contexts, where their followers begin is stored
 MOST_OPEN = 8192 if sys.version_info >= (3, 13) else 256  # older versions spend a file number on each
 _OPEN = {}
 
@@ -48,24 +63,24 @@ def token_rows(data, offsets):
     text, _, _, hashes = W.words(data, offsets)
     texts = len(offsets) - 1
     at = np.searchsorted(text, np.arange(texts), side="right")
-    return np.insert(text, at, np.arange(texts)), np.insert(hashes, at, END)
+    return np.insert(text, at, np.arange(texts)), np.insert(hashes | np.uint64(1), at, END)
 
 
-def grams(text, hashes, order):
+def grams(text, names, order):
     """Columns w1..wn of the n-gram that ends at each token; starts are filled up."""
-    columns = [hashes]
+    columns = [names]
     for back in range(1, order):
-        column = np.full(len(hashes), BEFORE, np.uint64)
-        if back < len(hashes):
+        column = np.full(len(names), BEFORE, np.uint64)
+        if back < len(names):
             same = text[back:] == text[:-back]
-            column[back:][same] = hashes[:-back][same]
+            column[back:][same] = names[:-back][same]
         columns.insert(0, column)
     return columns
 
 
 def gram_hash(columns):
-    """One hash for each row of word hashes; of a single word it is the word's own."""
-    total = columns[0]
+    """One hash for each row of word names."""
+    total = W.mix(columns[0] + np.uint64(0x9E3779B97F4A7C15))
     for column in columns[1:]:
         total = W.mix(total * np.uint64(0xD6E8FEB86659FD93) + column)
     return total
@@ -91,28 +106,67 @@ def unpack(small, large, values):
     return counts
 
 
-def _to_blob(columns, counts):
-    """Rows as bytes: the first word column in runs, the others plain, each count in a byte."""
-    n = len(columns[0])
-    runs = np.flatnonzero(np.concatenate([[True], columns[0][1:] != columns[0][:-1]])) if n else np.zeros(0, int)
-    parts = [columns[0][runs], *pack(np.diff(np.append(runs, n))), *columns[1:]]
-    for count in counts:
-        parts += pack(count)
-    head = np.array([len(p) for p in parts], np.int64)
-    return head.tobytes() + b"".join(p.tobytes() for p in parts)
+def _sealed(arrays):
+    head = np.array([len(a) for a in arrays], np.int64)
+    return zstandard.ZstdCompressor(level=3).compress(head.tobytes() + b"".join(a.tobytes() for a in arrays))
+
+
+def _unsealed(blob, kinds):
+    raw = zstandard.ZstdDecompressor().decompress(blob)
+    at, arrays = 8 * len(kinds), []
+    for kind, size in zip(kinds, np.frombuffer(raw, np.int64, len(kinds))):
+        arrays.append(np.frombuffer(raw, kind, size, at))
+        at += arrays[-1].nbytes
+    return arrays
+
+
+COUNTS = [np.uint8, np.int64, np.int64]  # what ``pack`` makes
+UNNUMBERED = 0xFFFFFF
 
 
-def _from_blob(blob, width, values):
-    kinds = [np.uint64, np.uint8, np.int64, np.int64] + [np.uint64] * (width - 1) + [np.uint8, np.int64, np.int64] * values
-    sizes, at = np.frombuffer(blob, np.int64, len(kinds)), 8 * len(kinds)
+def _numbers(names):
+    return np.where(names & np.uint64(1), UNNUMBERED, names >> np.uint64(1)).astype(np.uint32)
+
+
+def _gram_blob(columns, counts):
+    """N-grams, which should be sorted, as bytes: three for each number, byte by byte, hashes apart."""
     parts = []
-    for kind, size in zip(kinds, sizes):
-        parts.append(np.frombuffer(blob, kind, size, at))
-        at += parts[-1].nbytes
-    first = np.repeat(parts[0], unpack(*parts[1:4]))
-    columns = [first, *parts[4:3 + width]]
-    packed = parts[3 + width:]
-    return columns, [unpack(*packed[3 * i:3 * i + 3]) for i in range(values)]
+    for place, names in enumerate(columns):
+        numbers = _numbers(names)
+        if not place:
+            numbers = np.diff(numbers, prepend=np.uint32(0))
+        parts += [np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, 4)[:, :3].T).ravel(), names[(names & np.uint64(1)) > 0]]
+    return _sealed([*parts, *pack(counts)])
+
+
+def _grams_of(blob, width):
+    parts, columns = _unsealed(blob, [np.uint8, np.uint64] * width + COUNTS), []
+    for place in range(width):
+        planes = np.zeros((len(parts[2 * place]) // 3, 4), np.uint8)
+        planes[:, :3] = parts[2 * place].reshape(3, -1).T
+        numbers = planes.view("<u4").ravel()
+        if not place:
+            numbers = np.cumsum(numbers, dtype=np.uint32) & np.uint32(UNNUMBERED)
+        names = numbers.astype(np.uint64) << np.uint64(1)
+        names[numbers == UNNUMBERED] = parts[2 * place + 1]
+        columns.append(names)
+    return columns, [unpack(*parts[2 * width:])]
+
+
+def _hash_blob(hashes, *counts):
+    return _sealed([hashes, *(a for c in counts for a in pack(c))])
+
+
+def _hashes_of(blob, values):
+    hashes, *packed = _unsealed(blob, [np.uint64] + COUNTS * values)
+    return [hashes], [unpack(*packed[3 * i:3 * i + 3]) for i in range(values)]
+
+
+def _gathered(column, read, width):
+    """Columns and counts of all blobs of a group; no columns where there is no blob."""
+    found = [read(blob.as_buffer(), width) for blob in column if blob.is_valid]
+    columns = [np.concatenate(c) for c in zip(*(c for c, _ in found))]
+    return columns, [np.concatenate(v) for v in zip(*(v for _, v in found))]
 
 
 def _range_of(hashes, ranges):
@@ -120,15 +174,31 @@ def _range_of(hashes, ranges):
     return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
 
 
-def _dealt_blobs(columns, counts, keys, ranges):
-    """{hash range: blob} of the ranges that have rows; rows in the order of words."""
-    part = _range_of(keys, ranges)
-    order = np.lexsort((columns[0], part))
-    part, columns, counts = part[order], [c[order] for c in columns], [c[order] for c in counts]
+def _split(part):
+    """(range, first, end) of the runs of ascending range numbers."""
     edges = np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]])) if len(part) else []
+    return [(int(part[a]), a, b) for a, b in zip(edges, [*edges[1:], len(part)])]
+
+
+def _hot(context, most):
+    """Whether all words of a context are so frequent that it could outgrow a hash range."""
+    return np.logical_and.reduce([((c & np.uint64(1)) == 0) & (c >> np.uint64(1) <= np.uint64(most)) for c in context])
+
+
+def _dealt_grams(columns, counts, ranges, most):
+    """{hash range: blob} of n-grams, dealt by context, or whole where the context is hot."""
+    keys = np.where(_hot(columns[:-1], most), gram_hash(columns), gram_hash(columns[:-1]))
+    part = _range_of(keys, ranges)
+    second = _numbers(columns[1]).astype(np.uint64)
+    order = np.lexsort((_numbers(columns[0]).astype(np.uint64) << np.uint64(24) | second, part))
+    part, columns, counts = part[order], [c[order] for c in columns], counts[order]
+    return {r: _gram_blob([c[a:b] for c in columns], counts[a:b]) for r, a, b in _split(part)}
+
+
+def _dealt_hashes(hashes, counts, ranges):
+    """{hash range: blob} of ascending hashes with their counts."""
     return {
-        int(part[a]): _to_blob([c[a:b] for c in columns], [c[a:b] for c in counts])
-        for a, b in zip(edges, [*edges[1:], len(part)])
+        r: _hash_blob(hashes[a:b], *(c[a:b] for c in counts)) for r, a, b in _split(_range_of(hashes, ranges))
     }
 
 
@@ -151,68 +221,203 @@ def _batch(grams, contexts=None, figures=None):
     )
 
 
-def _count_texts(order, ranges):
+def _folded(tables, most):
+    """Lists of (text, hash) rows of texts of about ``most`` bytes; numbers of texts go on within a list."""
+    held, size, texts = [], 0, 0
+    for table in tables:
+        for _, data, offsets in W.batches(table.column(0)):
+            text, hashes = token_rows(data, offsets)
+            held.append((text + texts, hashes))
+            size, texts = size + len(data), texts + len(offsets) - 1
+            if size >= most:
+                yield held
+                held, size, texts = [], 0, 0
+    if held:
+        yield held
+
+
+def _count_words(ranges):
     def count(tables):
         held, size = [], 0
 
         def flush():
-            columns = [np.concatenate(c) for c in zip(*held)]
-            keys = gram_hash(columns)
-            kept, (counts,) = _summed(keys, np.ones(len(keys), np.int64))
-            columns = [c[kept] for c in columns]
-            return _batch(_dealt_blobs(columns, [counts, counts], keys[kept], ranges))
-
-        for table in tables:
-            for _, data, offsets in W.batches(table.column(0)):
-                held.append(grams(*token_rows(data, offsets), order))
-                size += len(data)
-                if size >= CHUNK_BYTES:
-                    yield flush()
-                    held, size = [], 0
+            hashes, counts = map(np.concatenate, zip(*held))
+            kept, (counts,) = _summed(hashes, counts)
+            return _batch(_dealt_hashes(hashes[kept], [counts], ranges))
+
+        for rows in _folded(tables, W.BATCH_BYTES):
+            held.append(np.unique(np.concatenate([h for _, h in rows]), return_counts=True))
+            size += len(held[-1][0])
+            if size >= WORDS_HELD:
+                yield flush()
+                held, size = [], 0
         if held:
             yield flush()
+        W.release()
 
     return count
 
 
-def _reduce(level, ranges, folder):
+def _bins(counts):
+    return np.minimum(np.log2(counts) * 16, COUNT_BINS - 1).astype(np.int64)
+
+
+def _store_words(folder):
+    """Stores the words of a hash range with their token counts; reports kinds, tokens and counts by size."""
+    def store(group: pa.Table) -> pa.Table:
+        part = group.column("part")[0].as_py()
+        (hashes,), (counts,) = _gathered(group.column("grams"), _hashes_of, 1)
+        kept, (counts,) = _summed(hashes, counts)
+        shared_files.save_arrays(f"{folder}/words-1/{part}", [hashes[kept], *pack(counts)])
+        return pa.Table.from_batches([
+            _batch({}, figures=[0, len(kept), counts.sum(), *np.bincount(_bins(counts), minlength=COUNT_BINS)])
+        ])
+
+    return store
+
+
+def _frequent(folder, least):
+    """The stored words whose counts are of size ``least`` or more."""
+    def read(tables):
+        for table in tables:
+            for part in table.column(0).to_pylist():
+                try:
+                    hashes, *counts = shared_files.map_arrays(f"{folder}/words-1/{part}")
+                except FileNotFoundError:
+                    continue
+                counts = unpack(*counts)
+                kept = np.flatnonzero(_bins(counts) >= least)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(hashes[kept].view(np.int64)), pa.array(counts[kept])], names=["hash", "tokens"]
+                )
+
+    return read
+
+
+def _names(folder, hashes):
+    """Words by their numbers, where they have one."""
+    numbered, numbers = _opened(folder, "numbers", 0, 0)[:2]
+    if not len(numbered):
+        return hashes
+    at = np.minimum(np.searchsorted(numbered, hashes), len(numbered) - 1)
+    return np.where(numbered[at] == hashes, numbers[at].astype(np.uint64) << np.uint64(1), hashes)
+
+
+def _hashes(folder, names):
+    by_number = _opened(folder, "numbers", 0, 0)[2]
+    out = names.copy()
+    numbered = np.flatnonzero((names & np.uint64(1)) == 0)
+    out[numbered] = by_number[(names[numbered] >> np.uint64(1)).astype(np.int64) - 1]
+    return out
+
+
+def _short(names):
+    """A word beside its context: its number, or 31 bits of its hash."""
+    return np.where(
+        names & np.uint64(1), names >> np.uint64(33) | np.uint64(1 << 31), names >> np.uint64(1)
+    ).astype(np.uint32)
+
+
+def _count_texts(folder, order, ranges, most):
+    def count(tables):
+        for rows in _folded(tables, CHUNK_BYTES):
+            columns = grams(*map(np.concatenate, zip(*((t, _names(folder, h)) for t, h in rows))), order)
+            keys = gram_hash(columns)
+            kept, (counts,) = _summed(keys, np.ones(len(keys), np.int64))
+            yield _batch(_dealt_grams([c[kept] for c in columns], counts, ranges, most))
+        W.release()
+
+    return count
+
+
+def _context_sums(counts, first):
+    """(total count, followers seen once, twice, more often) of the contexts that begin at ``first``."""
+    each = (counts, counts == 1, counts == 2, counts > 2)
+    return [np.add.reduceat(e.astype(np.int64), first) if len(first) else np.zeros(0, np.int64) for e in each]
+
+
+def _begins(*columns):
+    """Where a run of equal rows begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([c[1:] != c[:-1] for c in columns])]))
+
+
+def _context_arrays(contexts, last, counts):
+    """Arrays of the rows of a level, sorted by context and short word.
+
+    A context with one follower, seen once, is a hash and a word; others have sums and runs of words.
+    """
+    first = _begins(contexts)
+    sums, sizes = _context_sums(counts, first), np.diff(np.append(first, len(contexts)))
+    lone = (sizes == 1) & (sums[0] == 1)
+    inner = np.repeat(~lone, sizes)
+    starts = np.cumsum(sizes[~lone]) - sizes[~lone]
+    return [
+        contexts[first[lone]], last[first[lone]], contexts[first[~lone]], starts[::STRIDE], last[inner],
+        *pack(counts[inner]), *(a for s in sums for a in pack(s[~lone])),
+    ]
+
+
+def _reduce(level, ranges, folder, most):
     """Adds up one hash range of a level, stores its arrays and sends on what the next level needs.
 
-    ``grams`` hold words, KN counts and token counts; ``contexts`` hold n-grams of this level as
-    contexts of the level above, by one hash, with four sums.
+    ``contexts`` hold hot contexts of the level above, n-grams of this level, by hash with four sums.
     """
-    def gathered(column, width, values):
-        found = [_from_blob(blob.as_buffer(), width, values) for blob in column if blob.is_valid]
-        columns = [np.concatenate(c) for c in zip(*(c for c, _ in found))]
-        return columns, [np.concatenate(v) for v in zip(*(v for _, v in found))]
+    def add_grams(part, columns, counts):
+        context, short = gram_hash(columns[:-1]), _short(columns[-1])
+        order = np.lexsort((columns[-1], short, context))
+        columns, context, counts = [c[order] for c in columns], context[order], counts[order]
+        first = _begins(context, columns[-1])
+        counts = np.add.reduceat(counts, first)
+        columns, context, short = [c[first] for c in columns], context[first], short[order[first]]
+        hot, sums = _hot(columns[:-1], most), {}
+        if hot.any():
+            whole = gram_hash([c[hot] for c in columns])
+            sort = np.argsort(whole)
+            shared_files.save_arrays(f"{folder}/hot-{level}/{part}", [whole[sort], *pack(counts[hot][sort])])
+            heads = context[hot]
+            at = _begins(heads)
+            sums = _dealt_hashes(heads[at], _context_sums(counts[hot], at), ranges)
+        if not hot.all():
+            arrays = _context_arrays(context[~hot], short[~hot], counts[~hot])
+            shared_files.save_arrays(f"{folder}/grams-{level}/{part}", arrays)
+        tails = columns[1:]
+        seen = np.where(tails[0] == BEFORE, counts, 1)
+        keys = gram_hash(tails) if level > 2 else _hashes(folder, tails[0])
+        at, (seen,) = _summed(keys, seen)
+        if level > 2:
+            shorter = _dealt_grams([c[at] for c in tails], seen, ranges, most)
+        else:
+            shorter = _dealt_hashes(keys[at], [seen], ranges)
+        return counts, 0, shorter, sums
+
+    def add_words(part, hashes, counts):
+        at, (counts,) = _summed(hashes, counts)
+        words, *tokens = _opened(folder, "words", 1, part)
+        if not np.array_equal(words, hashes[at]):
+            raise ValueError(f"range {part}: the words of the n-grams differ from those counted")
+        shared_files.save_arrays(f"{folder}/seen-1/{part}", pack(counts))
+        return counts, unpack(*tokens).sum(), {}, {}
 
     def reduce(group: pa.Table) -> pa.Table:
         part, shorter, contexts, figures = group.column("part")[0].as_py(), {}, {}, None
         if part < 0:
             return group  # the figures of longer n-grams pass
-        columns, sums = gathered(group.column("grams"), level, 2)
+        if level > 1:
+            columns, sums = _gathered(group.column("grams"), _grams_of, level)
+        else:
+            columns, sums = _gathered(group.column("grams"), _hashes_of, 1)
         if columns:
-            keys = gram_hash(columns)
-            kept, (counts, tokens) = _summed(keys, *sums)
-            columns, keys = [c[kept] for c in columns], keys[kept]
-            if level == 1:
-                arrays = [keys, *pack(counts), *pack(tokens)]
-            else:
-                arrays = [keys, *pack(counts)]
-                tails = gram_hash(columns[1:])
-                at, (lefts, sums) = _summed(tails, np.ones(len(tails), np.int64), tokens)
-                shorter = _dealt_blobs([c[at] for c in columns[1:]], [lefts, sums], tails[at], ranges)
-                heads = gram_hash(columns[:-1])
-                each = [(counts == 1), (counts == 2), (counts > 2)]
-                at, sums = _summed(heads, counts, *(e.astype(np.int64) for e in each))
-                contexts = _dealt_blobs([heads[at]], sums, heads[at], ranges)
-            shared_files.save_arrays(f"{folder}/grams-{level}/{part}", arrays)
-            figures = [level, len(keys), counts.sum(), tokens.sum(), *((counts == k).sum() for k in (1, 2, 3, 4))]
-        columns, sums = gathered(group.column("contexts"), 1, 4)
-        if columns:
-            at, sums = _summed(columns[0], *sums)
-            arrays = [columns[0][at], *(a for s in sums for a in pack(s))]
+            add = (lambda: add_grams(part, columns, *sums)) if level > 1 else (lambda: add_words(part, *columns, *sums))
+            counts, tokens, shorter, contexts = add()
+            figures = [level, len(counts), counts.sum(), tokens, *((counts == k).sum() for k in (1, 2, 3, 4))]
+        heads, sums = _gathered(group.column("contexts"), _hashes_of, 4)
+        if heads:
+            at, sums = _summed(heads[0], *sums)
+            arrays = [heads[0][at], *(a for s in sums for a in pack(s))]
             shared_files.save_arrays(f"{folder}/contexts-{level}/{part}", arrays)
+        W.release()
         return pa.Table.from_batches([_batch(shorter, contexts, figures)])
 
     return reduce
@@ -224,7 +429,8 @@ class Model:
 
     folder: str
     order: int
-    ranges: tuple  # hash ranges of level 1, 2 and so on
+    ranges: int
+    most: int  # numbers up to this one are words that may make hot contexts
     tokens: int
     words: int
     discounts: tuple  # of level 1, 2 and so on: D(1), D(2), D(3+)
@@ -241,41 +447,67 @@ def _discounts(figures):
     return tuple(found)
 
 
+def _figures(blobs, size):
+    """{level: sums of its figures}; runs the counting."""
+    each = blobs.where(F.col("part") == -1).select(
+        F.col("figures")[0].alias("level"), F.posexplode(F.slice("figures", 2, size)).alias("place", "figure")
+    )
+    found = {}
+    for row in each.groupBy("level", "place").agg(F.sum("figure").alias("sum")).collect():
+        found.setdefault(row["level"], [0] * size)[row["place"]] = row["sum"]
+    return found
+
+
+def _number_words(spark, texts, ranges, partitions, folder):
+    """Counts the words and numbers the most frequent; the last number of those that may make hot contexts."""
+    blobs = texts.mapInArrow(_count_words(ranges), BLOBS).groupBy("part").applyInArrow(_store_words(folder), BLOBS)
+    _, tokens, *sizes = _figures(blobs, 2 + COUNT_BINS).get(0, [0] * (2 + COUNT_BINS))
+    above = np.cumsum(sizes[::-1])[::-1]  # words of each size or larger
+    least = int(np.searchsorted(-above, -NUMBERED_WORDS))
+    parts = spark.range(0, ranges, 1, partitions)
+    found = parts.mapInArrow(_frequent(folder, least), "hash BIGINT, tokens BIGINT").toArrow()
+    hashes, counts = (found.column(c).to_numpy() for c in ("hash", "tokens"))
+    hashes = np.ascontiguousarray(hashes).view(np.uint64)
+    rank = np.lexsort((hashes, -counts))
+    numbers = np.empty(len(rank), np.uint32)
+    numbers[rank] = np.arange(1, len(rank) + 1)
+    order = np.argsort(hashes)
+    shared_files.save_arrays(f"{folder}/numbers-0/0", [hashes[order], numbers[order], hashes[rank]])
+    return int((counts > tokens / (4 * ranges)).sum())
+
+
 def fit(docs, text_column="text", order=ORDER):
-    """Counts the model over all texts in one job, whose reducers store the arrays."""
+    """Counts words, then n-grams, over all texts in two jobs, whose reducers store the arrays."""
+    if order < 2:
+        raise ValueError("an n-gram model needs an order of 2 or more")
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranges = (partitions,) * (order - 1) + (RANGES_PER_PARTITION * partitions,)
+    ranges = RANGES_PER_PARTITION * partitions
     folder = scratch_path(spark, "ngrams")
     texts = docs.select(F.col(f"`{text_column}`").alias("text"))
-    blobs = texts.mapInArrow(_count_texts(order, ranges[-1]), BLOBS)
+    most = _number_words(spark, texts, ranges, partitions, folder)
+    blobs = texts.mapInArrow(_count_texts(folder, order, ranges, most), BLOBS)
     for level in range(order, 0, -1):
         # The hash range is the key itself: each is one group, about as large as the others.
-        blobs = blobs.groupBy("part").applyInArrow(_reduce(level, ranges[level - 2], folder), BLOBS)
-    each = blobs.where(F.col("part") == -1).select(
-        F.col("figures")[0].alias("level"), F.posexplode(F.slice("figures", 2, 7)).alias("place", "figure")
-    )
-    rows = each.groupBy("level", "place").agg(F.sum("figure").alias("sum")).collect()  # runs the counting
-    figures = {level: [0] * 7 for level in range(1, order + 1)}
-    for row in rows:
-        figures[row["level"]][row["place"]] = row["sum"]
+        blobs = blobs.groupBy("part").applyInArrow(_reduce(level, ranges, folder, most), BLOBS)
+    figures = {level: [0] * 7 for level in range(1, order + 1)} | _figures(blobs, 7)
     one = figures[1]
     more = one[0] - one[3] - one[4]
     return Model(
-        folder, order, ranges, one[2], one[0],
+        folder, order, ranges, most, one[2], one[0],
         tuple(_discounts(figures[level]) for level in range(1, order + 1)),
         (one[0], one[1], one[3], one[4], more),
     )
 
 
-def _opened(model, name, level, part):
+def _opened(folder, name, level, part):
     """The mapped arrays of one hash range, or None where it holds nothing."""
-    key = (model.folder, name, level, part)
+    key = (folder, name, level, part)
     if key not in _OPEN:
         if len(_OPEN) >= MOST_OPEN:
             _OPEN.pop(next(iter(_OPEN)))
         try:
-            _OPEN[key] = shared_files.map_arrays(f"{model.folder}/{name}-{level}/{part}")
+            _OPEN[key] = shared_files.map_arrays(f"{folder}/{name}-{level}/{part}")
         except FileNotFoundError:
             _OPEN[key] = None
     return _OPEN[key]
@@ -290,22 +522,84 @@ def _found(small, large, values, at):
     return counts
 
 
-def _look_up(model, level, hashes, sums):
+def _places(stored, wanted):
+    """(rows of ``wanted`` that are stored, where) in a sorted array."""
+    if not len(stored):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at = np.minimum(np.searchsorted(stored, wanted), len(stored) - 1)
+    hit = np.flatnonzero(stored[at] == wanted)
+    return hit, at[hit]
+
+
+def _by_range(model, hashes, names, level):
+    """(rows, opened arrays of each name) of every hash range that is stored; rows by hash."""
+    order = np.argsort(hashes)
+    for part, a, b in _split(_range_of(hashes[order], model.ranges)):
+        arrays = [_opened(model.folder, name, level, part) for name in names]
+        if arrays[0] is not None:
+            yield order[a:b], *arrays
+
+
+def _look_up(model, name, level, hashes, sums):
     """``sums`` columns for every hash, zeros where it isn't stored."""
-    wanted, back = np.unique(hashes, return_inverse=True)
-    out = np.zeros((sums, len(wanted)), np.int64)
-    ranges = model.ranges[level - 1]
-    edges = np.searchsorted(_range_of(wanted, ranges), np.arange(ranges + 1))
-    for part in np.flatnonzero(np.diff(edges)):
-        a, b = edges[part], edges[part + 1]
-        arrays = _opened(model, "contexts" if sums == 4 else "grams", level, part)
-        if arrays is None:
-            continue
-        at = np.minimum(np.searchsorted(arrays[0], wanted[a:b]), len(arrays[0]) - 1)
-        hit = np.flatnonzero(arrays[0][at] == wanted[a:b])
-        for row in range(sums):
-            out[row, a + hit] = _found(*arrays[1 + 3 * row:4 + 3 * row], at[hit])
-    return out[:, back.ravel()]
+    out = np.zeros((sums, len(hashes)), np.int64)
+    for rows, arrays in _by_range(model, hashes, [name], level):
+        hit, at = _places(arrays[0], hashes[rows])
+        for k in range(sums):
+            out[k, rows[hit]] = _found(*arrays[1 + 3 * k:4 + 3 * k], at)
+    return out
+
+
+def _word_counts(model, hashes):
+    """Counts of left neighbours and of tokens."""
+    out = np.zeros((2, len(hashes)), np.int64)
+    for rows, words, seen in _by_range(model, hashes, ["words", "seen"], 1):
+        hit, at = _places(words[0], hashes[rows])
+        out[0, rows[hit]], out[1, rows[hit]] = _found(*seen, at), _found(*words[1:], at)
+    return out
+
+
+def _followers(model, level, contexts, short):
+    """Count of the word after its context, and the context's four sums."""
+    out = np.zeros((5, len(contexts)), np.int64)
+    for rows, arrays in _by_range(model, contexts, ["grams"], level):
+        lone, only, several, starts, words = arrays[:5]
+        hit, at = _places(lone, contexts[rows])
+        out[:3, rows[hit]] = only[at] == short[rows[hit]], np.ones(len(hit)), np.ones(len(hit))
+        hit, at = _places(several, contexts[rows])
+        hit = rows[hit]
+        for k in range(4):
+            out[1 + k, hit] = _found(*arrays[8 + 3 * k:11 + 3 * k], at)
+        inner, back = np.unique(at, return_inverse=True)  # several tokens may have one context
+        near = inner[:, None] // STRIDE * STRIDE + np.arange(STRIDE)
+        before = near < inner[:, None]
+        sizes = sum(_found(*arrays[8 + 3 * k:11 + 3 * k], near[before]) for k in (1, 2, 3))
+        skipped = np.zeros(near.shape, np.int64)
+        skipped[before] = sizes
+        low = (starts[inner // STRIDE] + skipped.sum(axis=1))[back.ravel()]
+        end = low + out[2:, hit].sum(axis=0)
+        high, wanted = end.copy(), short[hit]
+        while (low < high).any():
+            middle = (low + high) // 2
+            less = (low < high) & (words[np.minimum(middle, len(words) - 1)] < wanted)
+            low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+        known = np.flatnonzero(low < end)
+        known = known[words[low[known]] == wanted[known]]
+        out[0, hit[known]] = _found(*arrays[5:8], low[known])
+    return out
+
+
+def _level_counts(model, level, columns):
+    """Count of each n-gram, and the four sums of its context."""
+    contexts = gram_hash(columns[:-1])
+    hot = _hot(columns[:-1], model.most)
+    out = np.zeros((5, len(contexts)), np.int64)
+    cold = np.flatnonzero(~hot)
+    out[:, cold] = _followers(model, level, contexts[cold], _short(columns[-1][cold]))
+    hot = np.flatnonzero(hot)
+    out[0, hot] = _look_up(model, "hot", level, gram_hash([c[hot] for c in columns]), 1)[0]
+    out[1:, hot] = _look_up(model, "contexts", level - 1, contexts[hot], 4)
+    return out
 
 
 def _discounted(counts, discounts):
@@ -316,16 +610,15 @@ def _log_probabilities(model, text, hashes):
     """(log10 probability, token count in training) of each token."""
     kinds, total, n1, n2, more = model.base
     d1, d2, d3 = model.discounts[0]
-    lefts, tokens = _look_up(model, 1, hashes, 2)
+    lefts, tokens = _word_counts(model, hashes)
+    names = _names(model.folder, hashes)
     even = 1.0 / (kinds + 1)
     if total:
         probability = (_discounted(lefts, model.discounts[0]) + (d1 * n1 + d2 * n2 + d3 * more) * even) / total
     else:
         probability = np.full(len(hashes), even)
     for level in range(2, model.order + 1):
-        columns = grams(text, hashes, level)
-        counts = _look_up(model, level, gram_hash(columns), 1)[0]
-        whole, n1, n2, more = _look_up(model, level - 1, gram_hash(columns[:-1]), 4)
+        counts, whole, n1, n2, more = _level_counts(model, level, grams(text, names, level))
         d1, d2, d3 = model.discounts[level - 1]
         seen = whole > 0
         mixed = (_discounted(counts, model.discounts[level - 1]) + (d1 * n1 + d2 * n2 + d3 * more) * probability)
@@ -343,20 +636,30 @@ def score(docs, model, id_column="doc_id", text_column="text"):
     """(id, n_tokens, n_known, train_tokens, base_score, score, perplexity) of every row."""
     def rate(tables):
         for table in tables:
-            ids = table.column(0)
-            for row, data, offsets in W.batches(table.column(1)):
-                texts = len(offsets) - 1
+            held, size, texts = [], 0, 0
+            for _, data, offsets in W.batches(table.column(1)):
                 text, hashes = token_rows(data, offsets)
-                logs, counts = _log_probabilities(model, text, hashes)
-                first = np.searchsorted(text, np.arange(texts))
-                sizes = np.diff(np.append(first, len(text)))
-                base = np.log10((counts + 1) / (model.tokens + model.words + 1))
-                scores = np.add.reduceat(logs, first)
-                yield pa.RecordBatch.from_arrays([
-                    ids.slice(row, texts), pa.array(sizes), pa.array(np.add.reduceat((counts > 0).astype(np.int64), first)),
-                    pa.array(np.full(texts, model.tokens)), pa.array(np.add.reduceat(base, first)), pa.array(scores),
-                    pa.array(10.0 ** (-scores / sizes)),
-                ], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
+                held.append((text + texts, hashes))
+                size, texts = size + len(data), texts + len(offsets) - 1
+                if size >= SCORE_BYTES:
+                    yield rated(held, texts, table.column(0).slice(0, texts))
+                    table, held, size, texts = table.slice(texts), [], 0, 0
+            if held:
+                yield rated(held, texts, table.column(0))
+        W.release()
+
+    def rated(held, texts, ids):
+        text, hashes = map(np.concatenate, zip(*held))
+        logs, counts = _log_probabilities(model, text, hashes)
+        first = np.searchsorted(text, np.arange(texts))
+        sizes = np.diff(np.append(first, len(text)))
+        base = np.log10((counts + 1) / (model.tokens + model.words + 1))
+        scores = np.add.reduceat(logs, first)
+        return pa.RecordBatch.from_arrays([
+            ids, pa.array(sizes), pa.array(np.add.reduceat((counts > 0).astype(np.int64), first)),
+            pa.array(np.full(texts, model.tokens)), pa.array(np.add.reduceat(base, first)), pa.array(scores),
+            pa.array(10.0 ** (-scores / sizes)),
+        ], names=["id", "n_tokens", "n_known", "train_tokens", "base_score", "score", "perplexity"])
 
     rows = docs.select(F.col(f"`{id_column}`").cast("bigint").alias("id"), F.col(f"`{text_column}`").alias("text"))
     return rows.mapInArrow(rate, SCORES).withColumnRenamed("id", id_column)

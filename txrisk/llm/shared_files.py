@@ -21,7 +21,7 @@ def _place(uri):
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-KINDS = ("<u8", "<i8", "|u1")
+KINDS = ("<u8", "<i8", "|u1", "<u4")
 
 
 def save_arrays(uri, arrays):
