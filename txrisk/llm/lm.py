@@ -162,9 +162,9 @@ def _hashes_of(blob, values):
     return [hashes], [unpack(*packed[3 * i:3 * i + 3]) for i in range(values)]
 
 
-def _gathered(column, read, width):
-    """Columns and counts of all blobs of a group; no columns where there is no blob."""
-    found = [read(blob.as_buffer(), width) for blob in column if blob.is_valid]
+def _gathered(blobs, read, width):
+    """Columns and counts of all blobs of a range; no columns where there is no blob."""
+    found = [read(blob, width) for blob in blobs]
     columns = [np.concatenate(c) for c in zip(*(c for c, _ in found))]
     return columns, [np.concatenate(v) for v in zip(*(v for _, v in found))]
 
@@ -202,25 +202,44 @@ def _dealt_hashes(hashes, counts, ranges):
     }
 
 
-BLOBS = "part INT, grams BINARY, contexts BINARY, figures ARRAY<BIGINT>"
+BLOBS = "part INT, grams ARRAY<BINARY>, contexts ARRAY<BINARY>, figures ARRAY<BIGINT>"
 
 
 def _batch(grams, contexts=None, figures=None):
-    """One row for each range that has rows, and one, of range -1, with the figures of a level."""
-    contexts = contexts or {}
+    """One row for each group of ranges that has blobs, and one, of group -1, for each list of figures.
+
+    ``grams`` and ``contexts`` are {range: blob} or lists of them. A blob is led by its range.
+    """
+    def grouped(dealt):
+        found = {}
+        for blobs in dealt if isinstance(dealt, list) else [dealt or {}]:
+            for part, blob in blobs.items():
+                found.setdefault(part // RANGES_PER_PARTITION, []).append(part.to_bytes(8, "little") + blob)
+        return found
+
+    grams, contexts, extra = grouped(grams), grouped(contexts), figures or []
     parts = sorted(grams.keys() | contexts.keys())
-    extra = [] if figures is None else [figures]
     return pa.RecordBatch.from_arrays(
         [
             pa.array([*parts, *[-1] * len(extra)], pa.int32()),
-            pa.array([*map(grams.get, parts), *[None] * len(extra)], pa.binary()),
-            pa.array([*map(contexts.get, parts), *[None] * len(extra)], pa.binary()),
+            pa.array([*map(grams.get, parts), *[None] * len(extra)], pa.list_(pa.binary())),
+            pa.array([*map(contexts.get, parts), *[None] * len(extra)], pa.list_(pa.binary())),
             pa.array([*[None] * len(parts), *extra], pa.list_(pa.int64())),
         ],
         names=["part", "grams", "contexts", "figures"],
     )
 
 
+def _by_own_range(column):
+    """{range: its blobs} of a group."""
+    found = {}
+    for blobs in column:
+        for blob in blobs if blobs.is_valid else ():
+            raw = memoryview(blob.as_buffer())
+            found.setdefault(int.from_bytes(raw[:8], "little"), []).append(raw[8:])
+    return found
+
+
 def _folded(tables, most):
     """Lists of (text, hash) rows of texts of about ``most`` bytes; numbers of texts go on within a list."""
     held, size, texts = [], 0, 0
@@ -265,13 +284,13 @@ def _bins(counts):
 def _store_words(folder):
     """Stores the words of a hash range with their token counts; reports kinds, tokens and counts by size."""
     def store(group: pa.Table) -> pa.Table:
-        part = group.column("part")[0].as_py()
-        (hashes,), (counts,) = _gathered(group.column("grams"), _hashes_of, 1)
-        kept, (counts,) = _summed(hashes, counts)
-        shared_files.save_arrays(f"{folder}/words-1/{part}", [hashes[kept], *pack(counts)])
-        return pa.Table.from_batches([
-            _batch({}, figures=[0, len(kept), counts.sum(), *np.bincount(_bins(counts), minlength=COUNT_BINS)])
-        ])
+        figures = []
+        for part, blobs in _by_own_range(group.column("grams")).items():
+            (hashes,), (counts,) = _gathered(blobs, _hashes_of, 1)
+            kept, (counts,) = _summed(hashes, counts)
+            shared_files.save_arrays(f"{folder}/words-1/{part}", [hashes[kept], *pack(counts)])
+            figures.append([0, len(kept), counts.sum(), *np.bincount(_bins(counts), minlength=COUNT_BINS)])
+        return pa.Table.from_batches([_batch({}, figures=figures)])
 
     return store
 
@@ -365,7 +384,7 @@ def _reduce(level, ranges, folder, most):
     ``contexts`` hold hot contexts of the level above, n-grams of this level, by hash with four sums.
     """
     def add_grams(part, columns, counts):
-        context, short = gram_hash(columns[:-1]), _short(columns[-1])
+        (counts,), context, short = counts, gram_hash(columns[:-1]), _short(columns[-1])
         order = np.lexsort((columns[-1], short, context))
         columns, context, counts = [c[order] for c in columns], context[order], counts[order]
         first = _begins(context, columns[-1])
@@ -401,21 +420,22 @@ def _reduce(level, ranges, folder, most):
         return counts, unpack(*tokens).sum(), {}, {}
 
     def reduce(group: pa.Table) -> pa.Table:
-        part, shorter, contexts, figures = group.column("part")[0].as_py(), {}, {}, None
-        if part < 0:
+        if group.column("part")[0].as_py() < 0:
             return group  # the figures of longer n-grams pass
-        if level > 1:
-            columns, sums = _gathered(group.column("grams"), _grams_of, level)
-        else:
-            columns, sums = _gathered(group.column("grams"), _hashes_of, 1)
-        if columns:
-            add = (lambda: add_grams(part, columns, *sums)) if level > 1 else (lambda: add_words(part, *columns, *sums))
-            counts, tokens, shorter, contexts = add()
-            figures = [level, len(counts), counts.sum(), tokens, *((counts == k).sum() for k in (1, 2, 3, 4))]
-        heads, sums = _gathered(group.column("contexts"), _hashes_of, 4)
-        if heads:
-            at, sums = _summed(heads[0], *sums)
-            arrays = [heads[0][at], *(a for s in sums for a in pack(s))]
+        shorter, contexts, figures = [], [], []
+        for part, blobs in _by_own_range(group.column("grams")).items():
+            if level > 1:
+                counts, tokens, less, sums = add_grams(part, *_gathered(blobs, _grams_of, level))
+            else:
+                (hashes,), (counts,) = _gathered(blobs, _hashes_of, 1)
+                counts, tokens, less, sums = add_words(part, hashes, counts)
+            shorter.append(less)
+            contexts.append(sums)
+            figures.append([level, len(counts), counts.sum(), tokens, *((counts == k).sum() for k in (1, 2, 3, 4))])
+        for part, blobs in _by_own_range(group.column("contexts")).items():
+            (heads,), sums = _gathered(blobs, _hashes_of, 4)
+            at, sums = _summed(heads, *sums)
+            arrays = [heads[at], *(a for s in sums for a in pack(s))]
             shared_files.save_arrays(f"{folder}/contexts-{level}/{part}", arrays)
         W.release()
         return pa.Table.from_batches([_batch(shorter, contexts, figures)])
@@ -488,7 +508,7 @@ def fit(docs, text_column="text", order=ORDER):
     most = _number_words(spark, texts, ranges, partitions, folder)
     blobs = texts.mapInArrow(_count_texts(folder, order, ranges, most), BLOBS)
     for level in range(order, 0, -1):
-        # The hash range is the key itself: each is one group, about as large as the others.
+        # A few hash ranges make a group; they are added up one after the other.
         blobs = blobs.groupBy("part").applyInArrow(_reduce(level, ranges, folder, most), BLOBS)
     figures = {level: [0] * 7 for level in range(1, order + 1)} | _figures(blobs, 7)
     one = figures[1]
