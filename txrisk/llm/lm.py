@@ -202,13 +202,18 @@ def _dealt_hashes(hashes, counts, ranges):
     }
 
 
-BLOBS = "part INT, grams ARRAY<BINARY>, contexts ARRAY<BINARY>, figures ARRAY<BIGINT>"
+BLOBS = (
+    "part INT, grams ARRAY<BINARY>, contexts ARRAY<BINARY>, "
+    "figures ARRAY<STRUCT<level: INT, place: INT, figure: BIGINT>>"
+)
+FIGURES = pa.list_(pa.struct([("level", pa.int32()), ("place", pa.int32()), ("figure", pa.int64())]))
 
 
 def _batch(grams, contexts=None, figures=None):
-    """One row for each group of ranges that has blobs, and one, of group -1, for each list of figures.
+    """One row for each group of ranges that has blobs, and one, of group -1, for the figures.
 
     ``grams`` and ``contexts`` are {range: blob} or lists of them. A blob is led by its range.
+    ``figures`` is a pair of a level and its figures; those that are zero are left out.
     """
     def grouped(dealt):
         found = {}
@@ -217,14 +222,17 @@ def _batch(grams, contexts=None, figures=None):
                 found.setdefault(part // RANGES_PER_PARTITION, []).append(part.to_bytes(8, "little") + blob)
         return found
 
-    grams, contexts, extra = grouped(grams), grouped(contexts), figures or []
+    grams, contexts, extra = grouped(grams), grouped(contexts), []
+    if figures:
+        level, values = figures
+        extra = [[{"level": level, "place": int(p), "figure": int(values[p])} for p in np.flatnonzero(values)]]
     parts = sorted(grams.keys() | contexts.keys())
     return pa.RecordBatch.from_arrays(
         [
             pa.array([*parts, *[-1] * len(extra)], pa.int32()),
             pa.array([*map(grams.get, parts), *[None] * len(extra)], pa.list_(pa.binary())),
             pa.array([*map(contexts.get, parts), *[None] * len(extra)], pa.list_(pa.binary())),
-            pa.array([*[None] * len(parts), *extra], pa.list_(pa.int64())),
+            pa.array([*[None] * len(parts), *extra], FIGURES),
         ],
         names=["part", "grams", "contexts", "figures"],
     )
@@ -284,13 +292,13 @@ def _bins(counts):
 def _store_words(folder):
     """Stores the words of a hash range with their token counts; reports kinds, tokens and counts by size."""
     def store(group: pa.Table) -> pa.Table:
-        figures = []
+        figures = np.zeros(2 + COUNT_BINS, np.int64)
         for part, blobs in _by_own_range(group.column("grams")).items():
             (hashes,), (counts,) = _gathered(blobs, _hashes_of, 1)
             kept, (counts,) = _summed(hashes, counts)
             shared_files.save_arrays(f"{folder}/words-1/{part}", [hashes[kept], *pack(counts)])
-            figures.append([0, len(kept), counts.sum(), *np.bincount(_bins(counts), minlength=COUNT_BINS)])
-        return pa.Table.from_batches([_batch({}, figures=figures)])
+            figures += [len(kept), counts.sum(), *np.bincount(_bins(counts), minlength=COUNT_BINS)]
+        return pa.Table.from_batches([_batch({}, figures=(0, figures))])
 
     return store
 
@@ -422,7 +430,7 @@ def _reduce(level, ranges, folder, most):
     def reduce(group: pa.Table) -> pa.Table:
         if group.column("part")[0].as_py() < 0:
             return group  # the figures of longer n-grams pass
-        shorter, contexts, figures = [], [], []
+        shorter, contexts, figures = [], [], np.zeros(7, np.int64)
         for part, blobs in _by_own_range(group.column("grams")).items():
             if level > 1:
                 counts, tokens, less, sums = add_grams(part, *_gathered(blobs, _grams_of, level))
@@ -431,14 +439,14 @@ def _reduce(level, ranges, folder, most):
                 counts, tokens, less, sums = add_words(part, hashes, counts)
             shorter.append(less)
             contexts.append(sums)
-            figures.append([level, len(counts), counts.sum(), tokens, *((counts == k).sum() for k in (1, 2, 3, 4))])
+            figures += [len(counts), counts.sum(), tokens, *((counts == k).sum() for k in (1, 2, 3, 4))]
         for part, blobs in _by_own_range(group.column("contexts")).items():
             (heads,), sums = _gathered(blobs, _hashes_of, 4)
             at, sums = _summed(heads, *sums)
             arrays = [heads[at], *(a for s in sums for a in pack(s))]
             shared_files.save_arrays(f"{folder}/contexts-{level}/{part}", arrays)
         W.release()
-        return pa.Table.from_batches([_batch(shorter, contexts, figures)])
+        return pa.Table.from_batches([_batch(shorter, contexts, (level, figures))])
 
     return reduce
 
@@ -469,9 +477,7 @@ def _discounts(figures):
 
 def _figures(blobs, size):
     """{level: sums of its figures}; runs the counting."""
-    each = blobs.where(F.col("part") == -1).select(
-        F.col("figures")[0].alias("level"), F.posexplode(F.slice("figures", 2, size)).alias("place", "figure")
-    )
+    each = blobs.where(F.col("part") == -1).select(F.inline("figures"))
     found = {}
     for row in each.groupBy("level", "place").agg(F.sum("figure").alias("sum")).collect():
         found.setdefault(row["level"], [0] * size)[row["place"]] = row["sum"]
