@@ -195,6 +195,14 @@ def _dealt_grams(columns, counts, ranges, most):
     return {r: _gram_blob([c[a:b] for c in columns], counts[a:b]) for r, a, b in _split(part)}
 
 
+def _dealt_words(names, hashes, counts, ranges):
+    """{hash range: blob} of words with their counts, dealt by hash and sent by number."""
+    part = _range_of(hashes, ranges)
+    order = np.lexsort((_numbers(names), part))
+    part, names, counts = part[order], names[order], counts[order]
+    return {r: _gram_blob([names[a:b]], counts[a:b]) for r, a, b in _split(part)}
+
+
 def _dealt_hashes(hashes, counts, ranges):
     """{hash range: blob} of ascending hashes with their counts."""
     return {
@@ -411,16 +419,17 @@ def _reduce(level, ranges, folder, most):
             shared_files.save_arrays(f"{folder}/grams-{level}/{part}", arrays)
         tails = columns[1:]
         seen = np.where(tails[0] == BEFORE, counts, 1)
-        keys = gram_hash(tails) if level > 2 else _hashes(folder, tails[0])
-        at, (seen,) = _summed(keys, seen)
+        at, (seen,) = _summed(gram_hash(tails) if level > 2 else tails[0], seen)
         if level > 2:
             shorter = _dealt_grams([c[at] for c in tails], seen, ranges, most)
         else:
-            shorter = _dealt_hashes(keys[at], [seen], ranges)
+            words = tails[0][at]
+            shorter = _dealt_words(words, _hashes(folder, words), seen, ranges)
         return counts, 0, shorter, sums
 
-    def add_words(part, hashes, counts):
-        at, (counts,) = _summed(hashes, counts)
+    def add_words(part, columns, counts):
+        hashes = _hashes(folder, columns[0])
+        at, (counts,) = _summed(hashes, *counts)
         words, *tokens = _opened(folder, "words", 1, part)
         if not np.array_equal(words, hashes[at]):
             raise ValueError(f"range {part}: the words of the n-grams differ from those counted")
@@ -432,11 +441,8 @@ def _reduce(level, ranges, folder, most):
             return group  # the figures of longer n-grams pass
         shorter, contexts, figures = [], [], np.zeros(7, np.int64)
         for part, blobs in _by_own_range(group.column("grams")).items():
-            if level > 1:
-                counts, tokens, less, sums = add_grams(part, *_gathered(blobs, _grams_of, level))
-            else:
-                (hashes,), (counts,) = _gathered(blobs, _hashes_of, 1)
-                counts, tokens, less, sums = add_words(part, hashes, counts)
+            add = add_grams if level > 1 else add_words
+            counts, tokens, less, sums = add(part, *_gathered(blobs, _grams_of, level))
             shorter.append(less)
             contexts.append(sums)
             figures += [len(counts), counts.sum(), tokens, *((counts == k).sum() for k in (1, 2, 3, 4))]
