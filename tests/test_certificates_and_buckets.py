@@ -4,6 +4,7 @@ import pytest
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from txrisk.catalog import models
 from txrisk.operators import certificates, classifiers
 from txrisk.sources.buckets import open_bucketed, store_bucketed
 
@@ -60,6 +61,35 @@ def test_forest_certificate(rows, weight):
     assert not certificates.is_certified(rows, shuffled, PENALTY, weight)
 
 
+@pytest.mark.parametrize("weight", [None, "class_weight"])
+def test_deviation_is_that_of_every_row_in_its_leaf(rows, weight):
+    """Sums by class and one vector of a leaf tell as much as each row and each tree by itself."""
+    model = classifiers.random_forest(weight, trees=3, depth=4).fit(rows)
+    found = {r.tree: r for r in certificates.forest_certificate(rows, model, weight).collect()}
+    for i, tree in enumerate(model.trees):
+        own = tree.copy().setLeafCol("leaf").setProbabilityCol("p").setRawPredictionCol("").setPredictionCol("")
+        leaves = {}
+        for r in own.transform(rows).collect():
+            w = getattr(r, weight) if weight else 1.0
+            leaves.setdefault(r.leaf, []).append(w * (r["class"] - r.p[1]))
+        spreads = [(sum(v) ** 2, sum(x * x for x in v)) for v in leaves.values()]
+        assert found[i].deviation == pytest.approx(sum(a / b if b else 0.0 for a, b in spreads) / len(leaves), rel=1e-6)
+        assert (found[i].leaves, found[i].rows) == (len(leaves), 6000)
+
+
+def test_training_vectors_are_stored_once_for_all_classifiers(rows, monkeypatch):
+    names = []
+    monkeypatch.setattr(models, "written", lambda df, name: names.append(name) or df)
+    fitted = object.__new__(models.Fitted)
+    fitted.train = rows.withColumnRenamed("id", "transaction_id")
+    fitted.splits = {"train": fitted.train}
+    found = {slug: fitted.training_rows(slug) for slug in classifiers.MODELS}
+    assert names == ["training-vectors", "undersampled-vectors"]
+    assert found["lr_none"].count() == found["rf_class_weight"].count() == 6000
+    assert found["rf_undersampling"].where("class = 1").count() == rows.where("class = 1").count()
+    assert set(found["rf_none"].columns) == {"transaction_id", "class", "features"}
+
+
 def test_bucketed_tables_join_and_group_without_a_shuffle(spark, tmp_path):
     left = spark.range(1000).select((F.col("id") * 7 % 1000).alias("k"), F.lit("x").alias("a"))
     right = spark.range(0, 1000, 3).select(F.col("id").alias("k"), F.lit(1).alias("b"))

@@ -4,6 +4,8 @@ SQL can follow the preprocessor exactly. It cannot repeat a model fit: where a f
 checks which rows come out and that they are sound, or nothing, and tests check the rest.
 """
 
+from functools import cached_property
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
@@ -25,18 +27,31 @@ class Fitted:
         self.train = self.preprocessor.transform(self.splits["train"])
         self.test = self.preprocessor.transform(self.splits["test"])
 
+    @cached_property
+    def vectors(self):
+        """The training vectors, written once for all classifiers and in parts that keep all cores busy."""
+        narrow = self.train.select("transaction_id", "class", "features")
+        return written(narrow.repartition(self.parts(), "transaction_id"), "training-vectors")
+
+    def parts(self):
+        spark = self.train.sparkSession
+        return max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+
+    @cached_property
+    def undersampled(self):
+        return written(sampling.undersample(self.vectors), "undersampled-vectors")
+
     def training_rows(self, slug):
         balancing = classifiers.model_spec(slug).balancing
         if balancing == "None":
-            return self.train
+            return self.vectors
         if balancing == "Class Weight":
-            rows = {r["class"]: r for r in sampling.class_weights(self.splits["train"]).collect()}
-            return sampling.with_class_weight(self.train, rows[0]["weight"], rows[1]["weight"])
-        return self.preprocessor.transform(sampling.undersample(self.splits["train"]))
+            rows = {r["class"]: r for r in sampling.class_weights(self.vectors).collect()}
+            return sampling.with_class_weight(self.vectors, rows[0]["weight"], rows[1]["weight"])
+        return self.undersampled
 
     def fit(self, slug):
-        rows = written(self.training_rows(slug), "training-vectors")
-        return classifiers.timed_fit(classifiers.estimator_for(slug), rows)[0]
+        return classifiers.timed_fit(classifiers.estimator_for(slug), self.training_rows(slug))[0]
 
 
 def _recomputed(slug, model, rows):
@@ -90,7 +105,7 @@ def _(v):
     """Each classifier against its own training rows: the gradient of its loss, or the shares in its leaves."""
     fitted, found = Fitted(v), []
     for slug, spec in classifiers.MODELS.items():
-        rows = written(fitted.training_rows(slug), "training-vectors")
+        rows = fitted.training_rows(slug)
         weight = "class_weight" if spec.balancing == "Class Weight" else None
         model = classifiers.timed_fit(classifiers.estimator_for(slug), rows)[0]
         certified = certificates.is_certified(rows, model, LOGISTIC_REGRESSION["regParam"], weight)

@@ -10,10 +10,11 @@ import math
 from functools import reduce
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
 
+from txrisk.session import written
 
 #: A gradient this much shorter than that of the best constant, after the few steps of a fit.
 MOST_GRADIENT = 0.5
@@ -99,29 +100,53 @@ def forest_loss(rows, model, weight=None, label="class"):
     return row["loss"], -(share * math.log(share) + (1 - share) * math.log(1 - share))
 
 
-def forest_certificate(rows, model, weight=None, label="class"):
-    """(tree, leaves, rows, deviation) per tree of a random forest over its training rows.
+def _print():
+    return F.xxhash64(vector_to_array("features"))
 
-    ``deviation`` is the mean over leaves of the squared difference between the weighted fraud of the
-    leaf's rows and what the tree says of them, in units of the variance that drawing these rows anew
-    would give. A tree that was fitted on a draw of these rows has a deviation of about 1; one that
-    was fitted on other labels has found structure that is not there, and has far more.
-    """
+
+def _leaf_shares(rows, model, prints):
+    """(tree, leaf, p): the fraud that the trees see in the leaves of the few vectors with these prints."""
     def routed(df, item):
         number, tree = item
         own = tree.copy().setLeafCol(f"leaf{number}").setProbabilityCol(f"p{number}")
         return own.setRawPredictionCol("").setPredictionCol("").transform(df)
 
-    w = F.col(weight).cast("double") if weight else F.lit(1.0)
-    narrow = rows.select("features", (F.col(label) == 1).cast("double").alias("y"), w.alias("w"))
-    wide = reduce(routed, enumerate(model.trees), narrow)
+    few = rows.select("features").withColumn("print", _print()).join(F.broadcast(prints), "print", "left_semi")
+    # Stored, so that no tree is walked before the rows are few; equal vectors are in the same leaves.
+    few = written(few.groupBy("print", vector_to_array("features").alias("values")).agg(F.count(F.lit(1)).alias("n")), "leaf-vectors")
+    wide = reduce(routed, enumerate(model.trees), few.select(array_to_vector("values").alias("features")))
     places = F.array(*(
         F.struct(F.lit(i).alias("tree"), F.col(f"leaf{i}").alias("leaf"), vector_to_array(f"p{i}")[1].alias("p"))
         for i in range(len(model.trees))
     ))
-    off = F.col("w") * (F.col("y") - F.col("p"))
-    leaves = wide.select("y", "w", F.inline(places)).groupBy("tree", "leaf").agg(
-        F.count(F.lit(1)).alias("n"), F.sum(off).alias("off"), F.sum(off * off).alias("spread")
+    return wide.select(F.inline(places)).groupBy("tree", "leaf").agg(F.max("p").alias("p"))
+
+
+def forest_certificate(rows, model, weight=None, label="class"):
+    """(tree, leaves, rows, deviation) per tree of a random forest over its training rows.
+
+    ``deviation`` is the mean over leaves of the squared difference between the weighted fraud of the
+    leaf's rows and what the tree says of them, in units of the variance that drawing these rows anew
+    would give. A tree that was fitted on a draw of these rows has a deviation of about 1; one that
+    was fitted on other labels has found structure that is not there, and has far more.
+    """
+    w = F.col(weight).cast("double") if weight else F.lit(1.0)
+    own = model.copy().setLeafCol("leaves").setProbabilityCol("").setRawPredictionCol("").setPredictionCol("")
+    narrow = rows.select("features", (F.col(label) == 1).cast("double").alias("y"), w.alias("w"))
+    placed = own.transform(narrow.withColumn("print", _print()))
+    each = placed.select("y", "w", "print", F.posexplode(vector_to_array("leaves")).alias("tree", "leaf"))
+    # What a leaf says is one number, so sums by class are enough; one vector of each leaf tells it below.
+    fraud = F.col("y") == 1
+    leaves = written(each.groupBy("tree", "leaf").agg(
+        F.count(F.lit(1)).alias("n"), F.min("print").alias("print"),
+        *(F.sum(F.when(side, value).otherwise(0.0)).alias(f"{name}{k}")
+          for k, side in enumerate((~fraud, fraud)) for name, value in (("w", F.col("w")), ("s", F.col("w") * F.col("w")))),
+    ), "leaves")
+    told = leaves.join(_leaf_shares(rows, model, leaves.select("print").distinct()), ["tree", "leaf"])
+    p = F.col("p")
+    leaves = told.select(
+        "tree", "n", (F.col("w1") * (1 - p) - F.col("w0") * p).alias("off"),
+        (F.col("s1") * (1 - p) * (1 - p) + F.col("s0") * p * p).alias("spread"),
     )
     # Rows of a leaf that all are as the tree says have no spread, and nothing is off.
     deviation = F.coalesce(F.try_divide(F.col("off") * F.col("off"), F.col("spread")), F.lit(0.0))
