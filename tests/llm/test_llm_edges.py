@@ -350,6 +350,18 @@ def test_components(spark):
     assert components.components(table.limit(0)).count() == 0
 
 
+def test_components_that_are_known_take_no_round(spark, monkeypatch):
+    """Stars come back as they are, and a chain still takes rounds."""
+    rounds, star = [], components._large_star
+    monkeypatch.setattr(components, "_large_star", lambda edges: rounds.append(1) or star(edges))
+    stars = spark.createDataFrame([(2, 1), (3, 1), (1, 3), (9, 4), (4, 4)], "u BIGINT, v BIGINT")
+    assert {r.node: r.root for r in components.components(stars).collect()} == {2: 1, 3: 1, 9: 4}
+    assert not rounds
+    chain = spark.createDataFrame([(2, 1), (3, 2), (9, 3)], "u BIGINT, v BIGINT")
+    assert {r.node: r.root for r in components.components(chain).collect()} == {2: 1, 3: 1, 9: 1}
+    assert rounds
+
+
 def test_near_duplicates_edges(rows, empty):
     found = {r.id: r.class_id for r in near_dedup.near_duplicates(rows, **NAMES).collect()}
     assert found == {1: 1, 6: 1, **{i: i for i in (2, 3, 4, 5, 7, 8, 9)}}

@@ -21,7 +21,8 @@ def _large_star(edges):
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
     linked = both.where(F.col("v") > F.col("u")).join(least, "u")
-    return _ends(linked.select(F.col("v").alias("u"), F.col("m").alias("v")))
+    # One row for each edge, so repeated ones may stay until the small star makes them distinct.
+    return linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
 def _small_star(edges):
@@ -30,17 +31,21 @@ def _small_star(edges):
     return _ends(linked.unionByName(least.select("u", F.col("m").alias("v"))))
 
 
+def _are_stars(edges):
+    """Whether every node has one smaller neighbour or is one, not both: no round would change that."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("smaller"), F.lit(0).alias("larger")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("smaller"), F.lit(1).alias("larger"))
+    )
+    nodes = ends.groupBy("node").agg(F.sum("smaller").alias("smaller"), F.max("larger").alias("larger"))
+    return nodes.where(F.col("smaller") + F.col("larger") > 1).isEmpty()
+
+
 def components(edges):
     """(node, root) for every node of ``edges`` (u, v) that isn't its component's smallest.
 
     No edges give no rows. Repeated edges, both directions of one edge, and loops change nothing.
     """
-    state, seen = written(_ends(edges), "component-edges"), None
-    while True:
-        mark = state.agg(
-            F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-        ).first()
-        if mark == seen or mark["n"] == 0:
-            return state.select(F.col("u").alias("node"), F.col("v").alias("root"))
-        seen = mark
+    state = written(_ends(edges), "component-edges")
+    while not _are_stars(state):
         state = written(_small_star(_large_star(state)), "component-edges")
+    return state.select(F.col("u").alias("node"), F.col("v").alias("root"))

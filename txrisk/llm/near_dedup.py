@@ -241,6 +241,10 @@ def _spokes(starred):
     return pairs.agg((F.max("n") > 2).alias("many"))
 
 
+def _star_edges(roots):
+    return roots.select(F.col("node").alias("u"), F.col("root").alias("v"))
+
+
 def _with_roots(frame, roots, column, name):
     found = frame.join(roots.select(F.col("node").alias(column), F.col("root").alias("__root")), column, "left")
     return found.withColumn(name, F.coalesce("__root", column)).drop("__root")
@@ -303,13 +307,15 @@ def near_duplicates(docs, id_column="doc_id", text_column="text"):
     second = verified(sets, _spokes(again).withColumn("many", F.lit(False)))
     links = linked(first).unionByName(linked(second))
     sizes = sets.groupBy("id").agg(F.max("size").alias("size"))
-    third = verified(sets, _open_pairs(first, sizes, components(links)))
+    # Components that are known are stars already, so only new links take rounds.
+    roots = components(_star_edges(roots).unionByName(linked(second)))
+    third = verified(sets, _open_pairs(first, sizes, roots))
 
     links = written(links.unionByName(linked(third)).distinct(), "links")
     copies = sketches.join(groups.drop("bands"), ["print1", "print2"]).select("id", "rep").distinct()
     copies = written(copies, "copies")
     many = copies.where(F.col("id") != F.col("rep")).select(F.col("id").alias("u"), F.col("rep").alias("v"))
-    roots = components(links.unionByName(many))
+    roots = components(_star_edges(roots).unionByName(linked(third)).unionByName(many))
     ends = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
     degrees = ends.groupBy("u").agg(F.count_distinct("v").alias("links"))
     degree_of = copies.groupBy("id").agg(F.min("rep").alias("u")).join(degrees, "u", "left")
