@@ -178,6 +178,17 @@ def test_registered_lm_sees_two_words_of_context(spark, tmp_path):
         assert r.score == pytest.approx(sum(logs))
 
 
+def test_lm_looks_each_word_up_once(spark, monkeypatch):
+    table = spark.createDataFrame([(i, "a b a a c b a") for i in range(20)], "id BIGINT, body STRING")
+    model, asked, names = lm.fit(table, "body"), [], lm._names
+    monkeypatch.setattr(lm, "_names", lambda folder, hashes: asked.append(hashes.tolist()) or names(folder, hashes))
+    data = np.frombuffer(b"a b a a c b a", np.uint8)
+    text, hashes = lm.token_rows(data, np.array([0, len(data)]))
+    logs, tokens = lm._log_probabilities(model, text, hashes)
+    assert len(asked) == 1 and sorted(asked[0]) == sorted(set(hashes.tolist())) and len(logs) == 8
+    assert tokens.tolist() == [80, 40, 80, 80, 20, 40, 80, 20]
+
+
 def test_packed_counts():
     counts = np.array([0, 1, 254, 255, 256, 70_000, 3])
     assert lm.unpack(*lm.pack(counts)).tolist() == counts.tolist()

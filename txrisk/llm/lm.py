@@ -88,7 +88,7 @@ def gram_hash(columns):
 
 def _summed(keys, *values):
     """(positions of distinct keys, sums of each value per key), keys in ascending order."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ordered = keys[order]
     first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]])) if len(keys) else order
     return order[first], [np.add.reduceat(v[order], first) if len(keys) else v for v in values]
@@ -189,8 +189,11 @@ def _dealt_grams(columns, counts, ranges, most):
     """{hash range: blob} of n-grams, dealt by context, or whole where the context is hot."""
     keys = np.where(_hot(columns[:-1], most), gram_hash(columns), gram_hash(columns[:-1]))
     part = _range_of(keys, ranges)
-    second = _numbers(columns[1]).astype(np.uint64)
-    order = np.lexsort((_numbers(columns[0]).astype(np.uint64) << np.uint64(24) | second, part))
+    pairs = _numbers(columns[0]).astype(np.uint64) << np.uint64(24) | _numbers(columns[1]).astype(np.uint64)
+    if ranges <= 1 << 16:  # one number of 64 bits sorts much faster than two columns
+        order = np.argsort(part.astype(np.uint64) << np.uint64(48) | pairs)
+    else:
+        order = np.lexsort((pairs, part))
     part, columns, counts = part[order], [c[order] for c in columns], counts[order]
     return {r: _gram_blob([c[a:b] for c in columns], counts[a:b]) for r, a, b in _split(part)}
 
@@ -338,6 +341,12 @@ def _names(folder, hashes):
     return np.where(numbered[at] == hashes, numbers[at].astype(np.uint64) << np.uint64(1), hashes)
 
 
+def _names_of_tokens(folder, hashes):
+    """The same with each word looked up once."""
+    words, back = np.unique(hashes, return_inverse=True)
+    return _names(folder, words)[back]
+
+
 def _hashes(folder, names):
     by_number = _opened(folder, "numbers", 0, 0)[2]
     out = names.copy()
@@ -356,7 +365,7 @@ def _short(names):
 def _count_texts(folder, order, ranges, most):
     def count(tables):
         for rows in _folded(tables, CHUNK_BYTES):
-            columns = grams(*map(np.concatenate, zip(*((t, _names(folder, h)) for t, h in rows))), order)
+            columns = grams(*map(np.concatenate, zip(*((t, _names_of_tokens(folder, h)) for t, h in rows))), order)
             keys = gram_hash(columns)
             kept, (counts,) = _summed(keys, np.ones(len(keys), np.int64))
             yield _batch(_dealt_grams([c[kept] for c in columns], counts, ranges, most))
@@ -602,13 +611,14 @@ def _followers(model, level, contexts, short):
         hit = rows[hit]
         for k in range(4):
             out[1 + k, hit] = _found(*arrays[8 + 3 * k:11 + 3 * k], at)
-        inner, back = np.unique(at, return_inverse=True)  # several tokens may have one context
-        near = inner[:, None] // STRIDE * STRIDE + np.arange(STRIDE)
-        before = near < inner[:, None]
-        sizes = sum(_found(*arrays[8 + 3 * k:11 + 3 * k], near[before]) for k in (1, 2, 3))
-        skipped = np.zeros(near.shape, np.int64)
-        skipped[before] = sizes
-        low = (starts[inner // STRIDE] + skipped.sum(axis=1))[back.ravel()]
+        first = _begins(at)  # several tokens may have one context; places ascend, as the hashes do
+        inner, back = at[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
+        many = inner % STRIDE  # contexts between the stored start and this one
+        ends = np.cumsum(many)
+        near = np.arange(many.sum()) + np.repeat(inner - ends, many)
+        sizes = sum(_found(*arrays[8 + 3 * k:11 + 3 * k], near) for k in (1, 2, 3))
+        skipped = np.concatenate([[0], np.cumsum(sizes)])
+        low = (starts[inner // STRIDE] + skipped[ends] - skipped[ends - many])[back]
         end = low + out[2:, hit].sum(axis=0)
         high, wanted = end.copy(), short[hit]
         while (low < high).any():
@@ -642,13 +652,15 @@ def _log_probabilities(model, text, hashes):
     """(log10 probability, token count in training) of each token."""
     kinds, total, n1, n2, more = model.base
     d1, d2, d3 = model.discounts[0]
-    lefts, tokens = _word_counts(model, hashes)
-    names = _names(model.folder, hashes)
+    words, back = np.unique(hashes, return_inverse=True)  # each word is looked up once
+    lefts, tokens = _word_counts(model, words)
+    names = _names(model.folder, words)[back]
     even = 1.0 / (kinds + 1)
     if total:
         probability = (_discounted(lefts, model.discounts[0]) + (d1 * n1 + d2 * n2 + d3 * more) * even) / total
     else:
-        probability = np.full(len(hashes), even)
+        probability = np.full(len(words), even)
+    probability, tokens = probability[back], tokens[back]
     for level in range(2, model.order + 1):
         counts, whole, n1, n2, more = _level_counts(model, level, grams(text, names, level))
         d1, d2, d3 = model.discounts[level - 1]
