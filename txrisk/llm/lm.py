@@ -600,17 +600,30 @@ def _word_counts(model, hashes):
     return out
 
 
+def _in_run(words, low, high, wanted):
+    """Where each wanted word is, or would be, between two places of a run of ascending words."""
+    out, rows = low.copy(), np.arange(len(low))
+    while len(rows):
+        middle = (low + high) >> 1
+        less = (words[np.minimum(middle, len(words) - 1)] < wanted) & (low < high)
+        low, high = np.where(less, middle + 1, low), np.where(less, high, middle)
+        still = low < high
+        if 2 * np.count_nonzero(still) < len(rows):  # most runs are short and done at once
+            out[rows] = low
+            rows, low, high, wanted = rows[still], low[still], high[still], wanted[still]
+    return out
+
+
 def _followers(model, level, contexts, short):
     """Count of the word after its context, and the context's four sums."""
     out = np.zeros((5, len(contexts)), np.int64)
     for rows, arrays in _by_range(model, contexts, ["grams"], level):
         lone, only, several, starts, words = arrays[:5]
         hit, at = _places(lone, contexts[rows])
-        out[:3, rows[hit]] = only[at] == short[rows[hit]], np.ones(len(hit)), np.ones(len(hit))
+        out[0, rows[hit]] = only[at] == short[rows[hit]]
+        out[1:3, rows[hit]] = 1
         hit, at = _places(several, contexts[rows])
         hit = rows[hit]
-        for k in range(4):
-            out[1 + k, hit] = _found(*arrays[8 + 3 * k:11 + 3 * k], at)
         first = _begins(at)  # several tokens may have one context; places ascend, as the hashes do
         inner, back = at[first], np.repeat(np.arange(len(first)), np.diff(np.append(first, len(at))))
         many = inner % STRIDE  # contexts between the stored start and this one
@@ -618,13 +631,13 @@ def _followers(model, level, contexts, short):
         near = np.arange(many.sum()) + np.repeat(inner - ends, many)
         sizes = sum(_found(*arrays[8 + 3 * k:11 + 3 * k], near) for k in (1, 2, 3))
         skipped = np.concatenate([[0], np.cumsum(sizes)])
-        low = (starts[inner // STRIDE] + skipped[ends] - skipped[ends - many])[back]
-        end = low + out[2:, hit].sum(axis=0)
-        high, wanted = end.copy(), short[hit]
-        while (low < high).any():
-            middle = (low + high) // 2
-            less = (low < high) & (words[np.minimum(middle, len(words) - 1)] < wanted)
-            low, high = np.where(less, middle + 1, low), np.where(less, high, np.minimum(middle, high))
+        low = starts[inner // STRIDE] + skipped[ends] - skipped[ends - many]
+        sums = [_found(*arrays[8 + 3 * k:11 + 3 * k], inner) for k in range(4)]
+        for k in range(4):
+            out[1 + k, hit] = sums[k][back]
+        low, end = low[back], (low + sums[1] + sums[2] + sums[3])[back]
+        wanted = short[hit]
+        low = _in_run(words, low, end, wanted)
         known = np.flatnonzero(low < end)
         known = known[words[low[known]] == wanted[known]]
         out[0, hit[known]] = _found(*arrays[5:8], low[known])
